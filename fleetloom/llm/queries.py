@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from .simhash import op4_simhash_near_dedup
+from .substring import OP9_SQL, op9_substring_dedup
+from .suffix import OP10_SQL, op10_suffix_dedup
 
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_substring_dedup": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
+}
