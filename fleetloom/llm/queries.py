@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .lm import op8_lm_scoring
+from .store import op7_token_store
 from .simhash import op4_simhash_near_dedup
 from .substring import OP9_SQL, op9_substring_dedup
 from .suffix import OP10_SQL, op10_suffix_dedup
@@ -11,6 +12,7 @@ from .suffix import OP10_SQL, op10_suffix_dedup
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_token_store": op7_token_store,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
