@@ -6,10 +6,12 @@ from .bpe import op5_byte_bpe
 from .lm import op8_lm_scoring
 from .store import op7_token_store
 from .simhash import op4_simhash_near_dedup
+from .warc import OP3_SQL, op3_warc
 from .substring import OP9_SQL, op9_substring_dedup
 from .suffix import OP10_SQL, op10_suffix_dedup
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_token_store": op7_token_store,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc": OP3_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
 }
