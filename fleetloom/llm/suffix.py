@@ -60,7 +60,7 @@ def suffix_order(phrases: list[bytes], parse: list[tuple[int, int]], length: int
     return [x[1:] for x in sorted(out)]
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """Every document without the bytes that a document with a smaller id has in the same `length`-byte string.
 
     (doc_id, n_bytes, n_removed, n_spans, kept): a byte goes if it lies in a `length`-byte string of
