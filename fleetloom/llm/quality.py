@@ -42,26 +42,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, steady: float) -> np.ndarray:
     """For each n-gram bucket log P(trusted) - log P(raw corpus) in millionths, from all documents.
 
-    Words and word pairs are hashed to buckets; both multinomials have `prior` more in each bucket.
-    The counts are two numbers a bucket, which bounds what reaches the driver.
+    Words and word pairs are hashed to buckets. Both multinomials are taken on the scale of the
+    trusted one with `prior` more in each bucket, else a bucket that neither has would tell something.
+    A ratio counts by n / (n + steady), n the raw corpus' count: what few n-grams show is chance, and
+    would speak against every text whose rare words no trusted text has. The counts are two numbers a
+    bucket, which bounds what reaches the driver.
     """
     good = trusted_ids(labels)
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = pick(docs, "doc_id", "text").join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("good_id"), "left")
     grams = features(marked, "good_id").select(F.col("good_id").isNotNull().alias("good"), F.explode(F.expr(f"transform(concat(h, h2), x -> cast(x & {buckets - 1} as int))")).alias("b"))
     counts = np.zeros((2, buckets))
-    for x in grams.groupBy("good", "b").agg(F.count("*").alias("n")).collect():
-        counts[1, x.b] += x.n
-        if x.good:
-            counts[0, x.b] += x.n
-    shares = (counts + prior) / (counts.sum(axis=1, keepdims=True) + prior * buckets)
-    return np.round(1e6 * (np.log(shares[0]) - np.log(shares[1]))).astype(np.int64)
+    found = grams.groupBy("good", "b").agg(F.count("*").alias("n")).toArrow()
+    good_, b, n = (found[c].to_numpy() for c in ("good", "b", "n"))
+    np.add.at(counts[0], b[good_], n[good_])
+    np.add.at(counts[1], b, n)
+    trusted, raw = counts
+    scale = trusted.sum() / max(raw.sum(), 1)
+    ratios = (np.log(trusted + prior) - np.log(raw * scale + prior)) * raw / (raw + steady)
+    return np.round(1e6 * ratios).astype(np.int64)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 16, prior: float = 1.0, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13, buckets: int = 1 << 18, prior: float = 1.0, steady: float = 30.0, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Verdicts on every whole text: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr, kept).
 
@@ -71,11 +76,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, b
     = 1) and that of the raw corpus; a text is kept at threshold or more. Ratios are whole
     millionths, so sums and verdicts don't depend on the order of rows. buckets is a power of two.
 
-    Null text: as empty, fails the base rules; llr 0. No labels: trusted and raw differ in nothing
-    but counts of zero, and all texts have one llr a bucket mix. Null doc_id: judged, never trusted.
+    Null text: as empty, fails the base rules; llr 0. No trusted documents: no bucket tells
+    anything, every llr is 0. Null doc_id: judged, never trusted.
     Repeated rows stay rows and count again. No documents: no rows.
     """
-    ratios = log_ratios(docs, labels, buckets, prior)
+    ratios = log_ratios(docs, labels, buckets, prior, steady)
     table = F.from_json(F.lit(json.dumps(ratios.tolist())), "array<bigint>")
     mean = F.expr(f"aggregate(h, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
     pairs = F.expr(f"aggregate(h2, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")

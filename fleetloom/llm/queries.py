@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .lm import op8_lm_scoring
 from .store import op7_token_store
+from .quality import op2_quality_rules
 from .simhash import op4_simhash_near_dedup
 from .warc import OP3_SQL, op3_warc
 from .substring import OP9_SQL, op9_substring_dedup
 from .suffix import OP10_SQL, op10_suffix_dedup
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
