@@ -51,11 +51,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float =
     with the text. Null doc_id or item_id: kept as a key of its own; rows with one doc_id give one
     row an item. No documents or items: no rows.
     """
-    items = _shingled(benchmark, "item_id", k).where("size(sh) > 0").withColumn("fp", F.expr(_simhash("sh")))
+    items = _shingled(benchmark, "item_id", k).withColumn("fp", F.expr(_simhash("sh")))
     items = items.withColumn("item", F.xxhash64("item_id", "sh"))
-    seeds = items.select("item", F.size("sh").alias("m"), F.posexplode("sh").alias("q", "s"), "sh").select("item", "m", "q", "s", F.expr("get(sh, q - 1)").alias("before")).distinct()
+    seeds = items.select("item", F.size("sh").alias("m"), F.posexplode_outer("sh").alias("q", "s"), "sh").where("s is not null").select("item", "m", "q", "s", F.expr("get(sh, q - 1)").alias("before")).distinct()
     few = seeds.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    placed = _shingled(docs, "doc_id", k).select("doc_id", "sh", F.posexplode("sh").alias("p", "x"))
+    placed = _shingled(docs, "doc_id", k).select("doc_id", "sh", F.posexplode_outer("sh").alias("p", "x")).where("x is not null")
     hits = placed.join(F.broadcast(seeds) if few else seeds, F.col("x") == F.col("s")).where("not (get(sh, p - 1) <=> before) or p = 0 or q = 0")
     windows = hits.select("doc_id", "item", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), F.expr("slice(sh, greatest(p - q, 0) + 1, m + least(p - q, 0))").alias("win"))
     windows = windows.distinct().withColumn("mine", F.expr(_simhash("win")))

@@ -54,9 +54,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, s
     good = trusted_ids(labels)
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = pick(docs, "doc_id", "text").join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("good_id"), "left")
-    grams = features(marked, "good_id").select(F.col("good_id").isNotNull().alias("good"), F.explode(F.expr(f"transform(concat(h, h2), x -> cast(x & {buckets - 1} as int))")).alias("b"))
+    grams = features(marked, "good_id").select(F.col("good_id").isNotNull().alias("good"), F.explode_outer(F.expr(f"transform(concat(h, h2), x -> cast(x & {buckets - 1} as int))")).alias("b"))
     counts = np.zeros((2, buckets))
-    found = grams.groupBy("good", "b").agg(F.count("*").alias("n")).toArrow()
+    # explode_outer: Spark would filter on the size of what explode() takes, and compute it anew for that.
+    found = grams.where("b is not null").groupBy("good", "b").agg(F.count("*").alias("n")).toArrow()
     good_, b, n = (found[c].to_numpy() for c in ("good", "b", "n"))
     np.add.at(counts[0], b[good_], n[good_])
     np.add.at(counts[1], b, n)
