@@ -33,7 +33,12 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays, with their types and lengths, as compressed bytes."""
     head = [struct.pack("<i", len(arrays))]
     head += [struct.pack("<4sq", a.dtype.str.encode(), len(a)) for a in arrays]
-    return squeeze(b"".join(head + [np.ascontiguousarray(a).tobytes() for a in arrays]))
+    return squeeze(b"".join(head + [_planes(np.ascontiguousarray(a)).tobytes() for a in arrays]))
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    """First bytes of all numbers, then second ones and so on: high bytes alike are next to each other."""
+    return a if a.itemsize == 1 else a.view(np.uint8).reshape(-1, a.itemsize).T
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -43,7 +48,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 4 + 12 * n, []
     for kind, length in kinds:
         dtype = np.dtype(kind.rstrip(b"\0").decode())
-        out.append(np.frombuffer(raw, dtype, length, at))
+        part = np.frombuffer(raw, np.uint8, dtype.itemsize * length, at)
+        out.append((part if dtype.itemsize == 1 else np.ascontiguousarray(part.reshape(dtype.itemsize, length).T).reshape(-1)).view(dtype))
         at += dtype.itemsize * length
     return out
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, pick
-from .lexicon import Numbered, kept_by_worker, lexed, sequences
+from .blocks import pack
+from .lexicon import Numbered, joined, kept_by_worker, parts_of, sent_words, sequences, words_sent
+from .repeats import _ranges
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,45 +70,46 @@ class _Parts(dict):
         return n
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8 << 20) -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): every whole text in token ids, without special tokens.
 
-    Global distinct-word shuffle: pre-tokens go out with their positions, packed by block and with
-    one row for each distinct one in it; the shuffle by word brings equal ones together, sorted, and
-    each is encoded once; ids go back to the block and are put together by position. A word in all
-    blocks is one row a block there, so no partition fills with it.
+    Global distinct-word shuffle: pre-tokens go out with their positions, packed by block; the distinct
+    ones of a block go to hash partitions, where equal ones of all blocks meet and each is encoded
+    once; ids go back to the blocks, and documents are put together by position. A word in all blocks
+    is one entry a block in its partition, and partitions grow in number with the input.
 
     Null text: as empty, no ids. Null doc_id: kept. Repeated rows stay rows. No documents: no rows.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
         import tiktoken
 
         coder = kept_by_worker(("tiktoken", ranks_path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}))
-        word = ids = None
-        for batch in batches:
-            out = []
-            for key, place in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != word:
-                    word, ids = key, None if place < 0 else np.array(coder.encode_ordinary(key.decode()), np.uint32).tobytes()
-                out.append(ids)
-            packs = batch.column(4)
-            column = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.compute.coalesce(packs, column)], ["block", "place", "pack"])
-
-    def together(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
-        docs_, sizes, flat, order = sequences(rows)
-        words = rows["pack"].combine_chunks().take(pa.array(order)).to_pylist()
-        length = np.fromiter(map(len, words), np.int64, len(words)) // 4
-        ids = np.frombuffer(b"".join(map(words.__getitem__, flat.tolist())), np.uint32)
-        per_word = np.concatenate([[0], np.cumsum(length[flat])]) if len(flat) else np.zeros(1, np.int64)
-        ends = per_word[np.concatenate([[0], np.cumsum(sizes)])]
-        return pa.table({"doc_id": pa.array(docs_, mask=docs_ == NO_ID), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))})
-
-    rows = lexed(docs, PreTokens, block_bytes=block_bytes)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    back = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(encode, "block long, place int, pack binary")
-    return back.groupBy("block").applyInArrow(together, "doc_id long, ids array<int>")
+        known: dict[bytes, bytes] = {}
+        packs = []
+        for packed in rows["pack"].to_pylist():
+            words, _ = sent_words(packed)
+            for word in words:
+                if word not in known:
+                    known[word] = np.array(coder.encode_ordinary(word.decode()), np.uint32).tobytes()
+            found = [known[w] for w in words]
+            ids = np.frombuffer(b"".join(found), np.uint32)
+            packs.append(pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4, ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids))
+        return pa.table({"part": rows["part"], "block": rows["block"], "digest": rows["digest"], "pack": pa.array(packs, pa.binary())})
+
+    def together(docs_: np.ndarray, sizes: np.ndarray, flat: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray) -> pa.Table:
+        length = np.concatenate([p[0] for p in packs])[order].astype(np.int64) if packs else np.zeros(0, np.int64)
+        asked = np.concatenate([p[1] for p in packs]).astype(np.int32) if packs else np.zeros(0, np.int32)
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([p[0] for p in packs]), dtype=np.int64)])[order] if packs else length
+        each = length[flat]
+        ids = asked[_ranges(starts[flat], each)]
+        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.table({"doc_id": pa.array(docs_, mask=docs_ == NO_ID), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))})
+
+    docs = pick(docs, "doc_id", "text")
+    parts = parts_of(docs)
+    answers = words_sent(docs, PreTokens, parts).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
+    return joined(sequences(docs, PreTokens, parts), answers, together, "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:

@@ -1,23 +1,30 @@
 """Documents as sequences of numbered words, one small dictionary a block.
 
-A word that a block holds a thousand times becomes one row of the word shuffle. The block's sequences
-travel along as a packed row of their own, so the documents are read and cut up once.
+The words of a block meet those of all others in a hash partition, packed: a word that a block holds a
+thousand times goes there once. The sequences stay packed by block, and what is found out about words
+comes back to them in the order in which it was asked.
+
+Both sides are made from the documents by themselves, and each block has a digest of its words. A
+source that deals its rows differently when read again is an error then, not a wrong result.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import NO_ID, cut, pick, utf8
 from .blocks import pack, unpack
 
-SCHEMA = "key binary, block long, place int, n long, pack binary"
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 
 
 def kept_by_worker(key, make):
@@ -36,47 +43,99 @@ class Numbered(dict):
         return n
 
 
-def lexed(docs: DataFrame, numbers: Callable[[], Callable[[bytes], np.ndarray]], counted: Callable[[int], bool] | None = None, block_bytes: int = 8 << 20) -> DataFrame:
-    """Rows (key, block, place, n): each word of a block, its number there, and how often the documents
-    with counted(doc_id) hold it; and for each block a row of place -1 with its sequences in pack.
+@dataclass
+class Lexed:
+    """ids: of documents. sizes: their numbers of words. flat: the words' numbers. words: by number, frequent ones first."""
 
-    numbers() makes an object that is called with a text, returns the numbers of its words, and has
-    them in `words`. The key of a sequence row is like no word's: it begins with a zero byte and
-    ends with one.
-    """
+    ids: np.ndarray
+    sizes: np.ndarray
+    flat: np.ndarray
+    words: list[bytes]
+    digest: int
+
+    def parts(self, n: int) -> np.ndarray:
+        """The hash partition of each word."""
+        return np.fromiter((xxhash.xxh64_intdigest(w, 5) % n for w in self.words), np.uint32, len(self.words))
 
+
+def _blocks(docs: DataFrame, lexer: Callable, make: Callable[[int, Lexed], dict[str, list]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in cut([batch], "text", block_bytes):
+            for part in cut([batch], "text", BLOCK_BYTES):
                 ids = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                lexer = numbers()
-                each = [lexer(t) for t in utf8(part.column(1))]
-                words, n = lexer.words, None
-                if counted:
-                    mine = [e for e, i in zip(each, ids.tolist(), strict=True) if counted(i)]
-                    n = np.bincount(np.concatenate(mine), minlength=len(words)) if mine else np.zeros(len(words), np.int64)
-                flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-                payload = pack(ids, np.fromiter(map(len, each), np.int64, len(each)), flat.astype(np.uint16) if len(words) < 1 << 16 else flat)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array([*words, b"\0%d\0" % block], pa.binary()),
-                        "block": pa.array(np.full(len(words) + 1, block)),
-                        "place": pa.array(np.append(np.arange(len(words)), -1), pa.int32()),
-                        "n": pa.array(np.append(n, 0) if n is not None else np.zeros(len(words) + 1, np.int64), pa.int64()),
-                        "pack": pa.array([None] * len(words) + [payload], pa.binary()),
-                    }
-                )
+                own = lexer()
+                each = [own(t) for t in utf8(part.column(1))]
+                sizes, flat, words = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each), own.words
+                del each
+                order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words), dtype=np.uint32)
+                words = [words[i] for i in order.tolist()]
+                flat = rank[flat]
+                digest = xxhash.xxh64_intdigest(b"".join([ids.tobytes(), sizes.tobytes(), flat.tobytes()])) >> 1
+                yield pa.RecordBatch.from_pydict(make(block, Lexed(ids, sizes, flat, words, digest)))
                 block += 1
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+
+
+def words_sent(docs: DataFrame, lexer: Callable, parts: int, weigh: Callable[[Lexed], np.ndarray] | None = None) -> DataFrame:
+    """(part, block, digest, pack): the distinct words of each block for each hash partition, with their weights."""
+
+    def make(block: int, found: Lexed) -> dict:
+        of = found.parts(parts)
+        weights = weigh(found) if weigh else np.zeros(0, np.uint32)
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[order], prepend=-1)) if len(of) else np.zeros(0, np.int64)
+        packs = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            mine = order[a:b]
+            words = [found.words[i] for i in mine.tolist()]
+            packs.append(pack(np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8), weights[mine] if weigh else weights))
+        n = len(packs)
+        return {"part": pa.array(of[order[cuts]].astype(np.int32)), "block": pa.array([block] * n, pa.int64()), "digest": pa.array([found.digest] * n, pa.int64()), "pack": pa.array(packs, pa.binary())}
+
+    return _blocks(docs, lexer, make, "part int, block long, digest long, pack binary")
+
+
+def sent_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
+    sizes, data, weights = unpack(packed)
+    raw, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64)
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], weights
+
+
+def sequences(docs: DataFrame, lexer: Callable, parts: int, know: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
+    """(block, digest, pack): each block's documents as sequences, the hash partitions of its words, and what is known of them already."""
+
+    def make(block: int, found: Lexed) -> dict:
+        few = (lambda x, n: x.astype(np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32))
+        packed = pack(found.ids, found.sizes.astype(np.uint32), few(found.flat, len(found.words)), few(found.parts(parts), parts), *([know(found.words)] if know else []))
+        return {"block": pa.array([block], pa.int64()), "digest": pa.array([found.digest], pa.int64()), "pack": pa.array([packed], pa.binary())}
+
+    return _blocks(docs, lexer, make, "block long, digest long, pack binary")
+
+
+def joined(seqs: DataFrame, answers: DataFrame, finish: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """What finish(ids, sizes, flat, answers, order, *known) makes of each block.
+
+    answers (part, block, digest, pack): the arrays of each hash partition, in ascending order of
+    partitions; word i of a block is number order[i] in them, taken one after the other.
+    """
+
+    def run(key: tuple[pa.Scalar], mine: pa.Table, told: pa.Table) -> pa.Table:
+        if mine.num_rows != 1 or any(d != mine["digest"][0].as_py() for d in told["digest"].to_pylist()):
+            raise RuntimeError("the documents came in another order when they were read again; write them to a table first")
+        ids, sizes, flat, of, *known = unpack(mine["pack"][0].as_py())
+        order = np.empty(len(of), np.int64)
+        order[np.argsort(of, kind="stable")] = np.arange(len(of))
+        packs = [unpack(x) for _, x in sorted(zip(told["part"].to_pylist(), told["pack"].to_pylist(), strict=True))]
+        return finish(ids, sizes.astype(np.int64), flat, packs, order, *known)
+
+    return seqs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def sequences(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's rows: doc_ids, sizes, the numbers one document after the other; the rows' order by place."""
-    place = rows["place"].to_numpy()
-    order = np.argsort(place, kind="stable")
-    if not len(order) or place[order[0]] != -1 or not np.array_equal(place[order], np.arange(-1, len(order) - 1)):
-        raise RuntimeError("a block's words and sequences don't fit together")
-    ids, sizes, flat = unpack(rows["pack"][int(order[0])].as_py())
-    return ids, sizes, flat, order[1:]
+def parts_of(docs: DataFrame) -> int:
+    """Hash partitions for the words of documents."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, -(-total // PART_BYTES))

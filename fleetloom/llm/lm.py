@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, pick, utf8, written
 from .gru import Shape, Trainer, flat, scores, start, unflat
-from .lexicon import Numbered, lexed, sequences
+from .blocks import pack
+from .lexicon import Lexed, Numbered, joined, parts_of, sent_words, sequences, words_sent
 
 #: The end of a document as a word. No word of a text is empty.
 END = b""
@@ -42,14 +43,53 @@ def tail_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
-def _tail_column(word: str, classes: int):
-    return (F.crc32(F.expr(f"right({word}, 3)")) % classes).cast("int")
+def word_counts(docs: DataFrame, parts: int, heads: int, tails: int) -> DataFrame:
+    """What the training documents hold of each word, written once. Rows of three kinds:
 
+    answers to blocks (part, block, digest, pack): the counts of their words; the `heads` most frequent
+    words of a hash partition (word, n); words and counts of tail classes in it (tail, n, v).
+    """
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): the words of training documents and how often they occur there, written once."""
-    rows = lexed(docs, LowerWords, lambda i: not held_out(i)).where("place >= 0 and n > 0")
-    return written(rows.groupBy("key").agg(F.sum("n").alias("n")))
+    def weigh(found: Lexed) -> np.ndarray:
+        mine = np.fromiter((not held_out(i) for i in found.ids.tolist()), bool, len(found.ids))
+        return np.bincount(found.flat[np.repeat(mine, found.sizes)], minlength=len(found.words)).astype(np.uint32)
+
+    def count(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        number, asked = Numbered(), []
+        total = np.zeros(1 << 16, np.int64)
+        for packed in rows["pack"].to_pylist():
+            words, weights = sent_words(packed)
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            if len(number) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(total), len(number)), np.int64)])
+            total[at] += weights  # a block has each word once
+            asked.append(at.astype(np.uint32))
+        words = list(number)
+        total = total[: len(words)]
+        top = np.argsort(-total, kind="stable")
+        if len(top) > heads:  # all that the last of them ties with
+            top = top[: int(np.searchsorted(-total[top], -total[top[heads - 1]], "right"))]
+        top = sorted(((int(total[i]), words[i]) for i in top.tolist() if total[i]), key=lambda x: (-x[0], x[1]))[:heads]
+        classes = np.fromiter((tail_class(w, tails) for w in words), np.int64, len(words))
+        n, v = np.bincount(classes, total, tails).astype(np.int64), np.bincount(classes[total > 0], minlength=tails)
+        m, k = len(asked), len(top)
+        blank = lambda size, kind: pa.nulls(size, kind)
+        few = lambda x: x.astype(np.uint8) if not len(x) or x.max() < 256 else x.astype(np.uint32) if x.max() < 1 << 32 else x
+        return pa.table(
+            {
+                "part": pa.concat_arrays([rows["part"].combine_chunks(), pa.array([key[0].as_py()] * (k + tails), pa.int32())]),
+                "block": pa.concat_arrays([rows["block"].combine_chunks(), blank(k + tails, pa.int64())]),
+                "digest": pa.concat_arrays([rows["digest"].combine_chunks(), blank(k + tails, pa.int64())]),
+                "pack": pa.array([pack(few(total[a])) for a in asked] + [None] * (k + tails), pa.binary()),
+                "word": pa.array([None] * m + [w for _, w in top] + [None] * tails, pa.binary()),
+                "tail": pa.array([None] * (m + k) + list(range(tails)), pa.int32()),
+                "n": pa.array([None] * m + [c for c, _ in top] + n.tolist(), pa.int64()),
+                "v": pa.array([None] * (m + k) + v.tolist(), pa.int64()),
+            }
+        )
+
+    sent = words_sent(docs, LowerWords, parts, weigh)
+    return written(sent.groupBy("part").applyInArrow(count, "part int, block long, digest long, pack binary, word binary, tail int, n long, v long"))
 
 
 def train(docs: DataFrame, heads: dict[bytes, int], shape: Shape, params: dict[str, np.ndarray], rounds: int, rate: float) -> dict[str, np.ndarray]:
@@ -134,16 +174,16 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
     rows and count again. No documents: no rows.
     """
     docs = pick(docs, "doc_id", "text")
-    counts = word_counts(docs)
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(shape.head).collect()
-    heads = {bytes(x.key): i for i, x in enumerate(top)}
+    parts = parts_of(docs)
+    counts = word_counts(docs, parts, shape.head, shape.tail_classes)
+    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(shape.head).collect()
+    heads = {bytes(x.word): i for i, x in enumerate(top)}
     head_counts = np.zeros(shape.head)
     head_counts[: len(top)] = [x.n for x in top]
-    tails = counts.groupBy(_tail_column("key", shape.tail_classes).alias("t")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     tail_n, tail_v = np.zeros(shape.tail_classes), np.zeros(shape.tail_classes)
-    for x in tails:
-        tail_n[x.t], tail_v[x.t] = x.n, x.v
+    for x in counts.where("tail is not null").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        tail_n[x.tail], tail_v[x.tail] = x.n, x.v
+    n, v = int(tail_n.sum()), int(tail_v.sum())
     for word, i in heads.items():
         tail_n[tail_class(word, shape.tail_classes)] -= head_counts[i]
         tail_v[tail_class(word, shape.tail_classes)] -= 1
@@ -151,13 +191,8 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
     params = train(docs, heads, shape, start(shape, class_counts, head_counts), rounds, rate)
     values = flat(params)
 
-    def run(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
-        ids, sizes, numbers, order = sequences(rows)
-        take = pa.array(order)
-        words = rows["key"].combine_chunks().take(take).to_pylist()
-        c = rows["c"].combine_chunks().take(take).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        lex = _Heads(heads, shape)
-        row = np.fromiter(map(lex.__getitem__, words), np.int64, len(words))
+    def finish(ids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray, row: np.ndarray) -> pa.Table:
+        c, row = np.concatenate([p[0] for p in packs])[order].astype(np.float64), row.astype(np.int64)
         tail = np.maximum(row - shape.head, 0)
         within = np.where(row < shape.head, 0.0, np.log((c + 0.5) / (tail_n[tail] + 0.5 * (tail_v[tail] + 1))))
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -176,9 +211,11 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
             }
         )
 
-    rows = lexed(docs, LowerWords)
-    told = rows.join(counts.select("key", F.col("n").alias("c")), "key", "left").select("key", "block", "place", "c", "pack")
-    return told.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def know(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(_Heads(heads, shape).__getitem__, words), np.uint16, len(words))
+
+    answers = counts.where("block is not null").select("part", "block", "digest", "pack")
+    return joined(sequences(docs, LowerWords, parts, know), answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark, sf_dir):
