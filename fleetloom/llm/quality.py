@@ -104,7 +104,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13,
         )
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    passed = F.col("total") >= F.col("grams") * round(threshold * 1e6)
+    passed = F.col("total") >= F.col("grams").cast("long") * round(threshold * 1e6)
     llr = F.col("total") / F.greatest("grams", F.lit(1)) / 1e6
     return each.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept"), llr.alias("llr"))
 
