@@ -22,8 +22,8 @@ def _shingled(table: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _simhash(array: str) -> str:
-    """SQL: bit b is 1 if more than half of the hashes, repeats counted, have it."""
-    return f"aggregate(sequence(0, 63), 0L, (a, b) -> a | if(2 * size(filter({array}, x -> getbit(x, b) = 1)) > size({array}), shiftleft(1L, b), 0L))"
+    """SQL: bit b is 1 if more than half of the hashes, repeats counted, have it. coalesce: else Spark filters on its not being null."""
+    return f"coalesce(aggregate(sequence(0, 63), 0L, (a, b) -> a | if(2 * size(filter({array}, x -> getbit(x, b) = 1)) > size({array}), shiftleft(1L, b), 0L)), 0L)"
 
 
 def _weighted(a: str, b: str) -> str:
@@ -63,9 +63,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float =
     tables = items.select("item_id", "item", "fp", F.col("sh").alias("theirs"), F.explode(_segments("fp")).alias("key2"))
     near = (asked["item"] == tables["item"]) & (F.col("key") == F.col("key2")) & (F.bit_count(F.col("mine").bitwiseXOR(F.col("fp"))) <= radius)
     pairs = asked.join(F.broadcast(tables) if few else tables, near).select("doc_id", "item_id", "start", "win", "theirs").distinct()
-    judged = pairs.withColumn("similarity", F.expr(_weighted("win", "theirs"))).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
-    found = judged.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows"))
+    judged = pairs.withColumn("similarity", F.expr(_weighted("win", "theirs")))
+    passed = F.col("similarity") >= similarity
+    best = F.max(F.when(passed, F.struct("similarity", (-F.col("start")).alias("s"))))
+    # What fails goes after the aggregate: a filter before it would be tried on all that one key brings together.
+    found = judged.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count_if(passed).alias("n_windows")).where("n_windows > 0")
     return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), "n_windows", (-F.col("best.s")).cast("long").alias("start"))
 
 
