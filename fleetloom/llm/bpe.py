@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, pick
 from .blocks import pack
-from .lexicon import Numbered, joined, kept_by_worker, parts_of, sent_words, sequences, words_sent
+from .lexicon import Numbered, joined, kept_by_worker, numbered, parts_of, sent_words, sequences, words_sent
 from .repeats import _ranges
 
 
@@ -21,53 +22,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f))}
 
 
-class PreTokens:
-    """Cuts text before each space that stands alone between other characters.
+def pre_tokens(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Texts as numbers of their pre-tokens, and those: text is cut before each space that stands alone
+    between other characters.
 
     No match of a byte-level BPE pattern goes over such a place: a match holds white space at its
     start or holds nothing else, and what it looks ahead to lies on the same side. So the pieces,
     encoded one by one, give the ids of the whole text.
     """
-
-    def __init__(self):
-        self.whole = Numbered()
-        self.parts = _Parts(self.whole)
-
-    @property
-    def words(self) -> list[bytes]:
-        return [w.encode() for w in self.whole]
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        first, *rest = text.decode().split(" ")
-        found = [self.whole[first] if first and not first[-1].isspace() else -1, *map(self.parts.__getitem__, rest)]
-        if min(found) < 0:
-            found = list(self._slowly(first, rest))
-        return np.array(found, np.uint32)
-
-    def _slowly(self, held: str, rest: list[str]) -> Iterator[int]:
-        run = [held]
-        for part in rest:
-            if held and not held[-1].isspace() and part and not part[0].isspace():
-                yield self.whole["".join(run)]
-                run = []
-            run.append(" " + part)
-            held = " " + part
-        yield self.whole["".join(run)]
-
-
-class _Parts(dict):
-    """The number of a space with a part after it; -1 if white space is next to either's border."""
-
-    def __init__(self, whole: Numbered):
-        super().__init__()
-        self.whole = whole
-
-    def __missing__(self, part: str) -> int:
-        odd = not part or part[0].isspace() or part[-1].isspace()
-        self[part] = n = -1 if odd else self.whole[" " + part]
-        return n
+    parts = [t.decode().split(" ") if t else [] for t in texts]
+    each, known = numbered([p[1:] for p in parts])
+    odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in known), bool, len(known))
+    words = [" " + p for p in known]
+    more = Numbered()  # first parts, which have no space before them, and what odd parts grow into
+    out = []
+    for part, numbers in zip(parts, each, strict=True):
+        if not part:
+            out.append(numbers)
+        elif not part[0] or part[0][-1].isspace() or odd[numbers].any():
+            out.append(np.array([len(words) + more[w] for w in _joined(part)], np.uint32))
+        else:
+            out.append(np.concatenate([[len(words) + more[part[0]]], numbers]).astype(np.uint32))
+    return out, [w.encode() for w in chain(words, more)]
+
+
+def _joined(parts: list[str]) -> Iterator[str]:
+    run, last = [parts[0]], parts[0]
+    for part in parts[1:]:
+        if last and not last[-1].isspace() and part and not part[0].isspace():
+            yield "".join(run)
+            run = []
+        last = " " + part
+        run.append(last)
+    yield "".join(run)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -108,8 +95,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     docs = pick(docs, "doc_id", "text")
     parts = parts_of(docs)
-    answers = words_sent(docs, PreTokens, parts).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
-    return joined(sequences(docs, PreTokens, parts), answers, together, "doc_id long, ids array<int>")
+    answers = words_sent(docs, pre_tokens, parts).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
+    return joined(sequences(docs, pre_tokens, parts), answers, together, "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -129,15 +116,17 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
 
         table = kept_by_worker(("bytes", ranks_path), load)
         for batch in batches:
-            lists = batch.column(1)
-            sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
-            taken = table.take(lists.flatten())
-            if taken.null_count:
-                raise ValueError("an id without a token")
-            lengths = pa.compute.binary_length(taken).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)[np.concatenate([[0], np.cumsum(sizes)])]
-            data = b"".join(taken.to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "ids", "data"])
+            # A piece at a time: its tokens are some thousand times the rows.
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                lists = piece.column(1)
+                sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                taken = table.take(lists.flatten())
+                if taken.null_count:
+                    raise ValueError("an id without a token")
+                _, offsets, data = taken.buffers()
+                at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(sizes)])].tolist() if len(taken) else [0] * (len(sizes) + 1)
+                data = memoryview(data or b"")
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists, pa.array([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "ids", "data"])
 
     return pick(tokens, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +59,21 @@ class Lexed:
         return np.fromiter((xxhash.xxh64_intdigest(w, 5) % n for w in self.words), np.uint32, len(self.words))
 
 
+def numbered(texts: list[list]) -> tuple[list[np.ndarray], dict]:
+    """Texts as arrays of the numbers of their words, and those numbers."""
+    known = dict.fromkeys(chain.from_iterable(texts))
+    known = dict(zip(known, range(len(known)), strict=True))
+    return [np.fromiter(map(known.__getitem__, t), np.uint32, len(t)) for t in texts], known
+
+
 def _blocks(docs: DataFrame, lexer: Callable, make: Callable[[int, Lexed], dict[str, list]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in cut([batch], "text", BLOCK_BYTES):
                 ids = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                own = lexer()
-                each = [own(t) for t in utf8(part.column(1))]
-                sizes, flat, words = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each), own.words
+                each, words = lexer(utf8(part.column(1)))
+                sizes, flat = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
                 del each
                 order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), np.uint32)

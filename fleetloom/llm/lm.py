@@ -13,26 +13,16 @@ from pyspark.sql import functions as F
 from ._common import NO_ID, pick, utf8, written
 from .gru import Shape, Trainer, flat, scores, start, unflat
 from .blocks import pack
-from .lexicon import Lexed, Numbered, joined, parts_of, sent_words, sequences, words_sent
+from .lexicon import Lexed, Numbered, joined, numbered, parts_of, sent_words, sequences, words_sent
 
 #: The end of a document as a word. No word of a text is empty.
 END = b""
 
 
-class LowerWords:
-    """Words with A-Z lower-cased, then the end."""
-
-    def __init__(self):
-        self.whole = Numbered()
-
-    @property
-    def words(self) -> list[bytes]:
-        return list(self.whole)
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        words.append(END)
-        return np.fromiter(map(self.whole.__getitem__, words), np.uint32, len(words))
+def lower_words(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Texts as numbers of their words and the end, and those: A-Z are lower-cased."""
+    each, known = numbered([[*t.lower().split(), END] for t in texts])
+    return each, list(known)
 
 
 def held_out(doc_id: int) -> bool:
@@ -88,7 +78,7 @@ def word_counts(docs: DataFrame, parts: int, heads: int, tails: int) -> DataFram
             }
         )
 
-    sent = words_sent(docs, LowerWords, parts, weigh)
+    sent = words_sent(docs, lower_words, parts, weigh)
     return written(sent.groupBy("part").applyInArrow(count, "part int, block long, digest long, pack binary, word binary, tail int, n long, v long"))
 
 
@@ -215,7 +205,7 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
         return np.fromiter(map(_Heads(heads, shape).__getitem__, words), np.uint16, len(words))
 
     answers = counts.where("block is not null").select("part", "block", "digest", "pack")
-    return joined(sequences(docs, LowerWords, parts, know), answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(sequences(docs, lower_words, parts, know), answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark, sf_dir):
