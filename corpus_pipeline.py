@@ -1,14 +1,98 @@
-"""Cleans `documents` for training, stage by stage."""
+"""Cleans `documents` for training, stage by stage.
+
+Every stage works on all that the one before kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetloom.llm._common import pick, table, written
+from fleetloom.llm.bpe import decoded, encoded
+from fleetloom.llm.contamination import leaks
+from fleetloom.llm.quality import quality_rules
+from fleetloom.llm.simhash import near_copies
+from fleetloom.llm.suffix import repeated_bytes
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids of documents to drop go to all executors up to this many; beyond it both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those ids. A null id is in no list."""
+    ids = written(ids.select(F.col("doc_id").alias("gone")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=("text", "lang", "source", "n_chars"))
+    return judged.where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; of rows with one id and text, one."""
+    docs = pick(docs, *COLUMNS)
+    return _without(docs, near_copies(docs).where("doc_id <> component_id"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document has; documents that lose all their words go.
+
+    A cut may leave parts of a character at its borders; they go as well.
+    """
+    kept = repeated_bytes(docs, carry=("lang", "source", "n_chars"))
+    whole = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.decode(_valid("kept"), "UTF-8"), "�", ""))
+    found = kept.withColumn("text", whole)
+    found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return found.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
+
+
+def _valid(column: str):
+    """Bytes with U+FFFD in place of those that are no UTF-8."""
+    return F.make_valid_utf8(F.col(column).cast("string")).cast("binary")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    docs = pick(docs, *COLUMNS)
+    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): texts as token ids, and what they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = decoded(encoded(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level BPE", byte_bpe),
+]
 
 #: SQL can express neither the fingerprints nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("no stages yet")
+    """All stages over documents; what each keeps is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

@@ -61,19 +61,25 @@ class Block:
     ids: np.ndarray
     starts: np.ndarray
     data: np.ndarray
+    others: bytes
 
     @classmethod
     def of(cls, payload: bytes) -> Block:
-        ids, sizes, data = unpack(payload)
-        return cls(ids, np.concatenate([[0], np.cumsum(sizes)]), data)
+        ids, sizes, data, others = unpack(payload)
+        return cls(ids, np.concatenate([[0], np.cumsum(sizes)]), data, others.tobytes())
+
+    def carried(self) -> dict[str, pa.Array]:
+        """The further columns that staged() was given."""
+        batch = pa.ipc.open_stream(self.others).read_next_batch()
+        return dict(zip(batch.schema.names, batch.columns, strict=True))
 
     def texts(self) -> list[bytes]:
         raw = self.data.tobytes()
         return [raw[a:b] for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
 
 
-def staged(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, n_bytes, payload): all documents as blocks, written once to the shared folder."""
+def staged(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, n_bytes, payload): all documents as blocks, written once to the shared folder, with columns to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -82,11 +88,18 @@ def staged(docs: DataFrame, block_bytes: int) -> DataFrame:
                 texts = utf8(part.column(1))
                 ids = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 data = b"".join(texts)
-                payload = pack(ids, np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(data, np.uint8))
+                others = b""
+                if carry:
+                    out = pa.BufferOutputStream()
+                    kept = pa.record_batch([pa.concat_arrays([part.column(2 + i)]) for i in range(len(carry))], list(carry))
+                    with pa.ipc.new_stream(out, kept.schema) as stream:
+                        stream.write_batch(kept)
+                    others = out.getvalue().to_pybytes()
+                payload = pack(ids, np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(data, np.uint8), np.frombuffer(others, np.uint8))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "n_bytes": pa.array([len(data)]), "payload": pa.array([payload])})
                 number += 1
 
-    rows = pick(docs, "doc_id", "text").mapInArrow(run, "block long, n_bytes long, payload binary")
+    rows = pick(docs, "doc_id", "text", *carry).mapInArrow(run, "block long, n_bytes long, payload binary")
     return written(rows, compression="none")
 
 

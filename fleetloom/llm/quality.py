@@ -67,9 +67,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, s
     return np.round(1e6 * ratios).astype(np.int64)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13, buckets: int = 1 << 18, prior: float = 1.0, steady: float = 30.0, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13, buckets: int = 1 << 18, prior: float = 1.0, steady: float = 30.0, least_words: int = 50, most_repeated: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Verdicts on every whole text: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, llr, kept).
+    base_failed, kept, llr), and the columns to `carry` after doc_id.
 
     Base rules: fewer than least_words words, or over most_repeated percent of the words in 3-word
     windows that the text has twice or more. Then the mean over all words and word pairs of the
@@ -87,13 +87,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13,
     pairs = F.expr(f"aggregate(h2, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
     lines = F.expr(r"filter(split(coalesce(text, ''), '\n'), x -> length(translate(x, ' \t\u000b\f\r', '')) > 0)")
     each = (
-        features(docs)
+        features(docs, *carry)
         .withColumn("ratios", table)
         .withColumn("tri", shingles("h", 3))
         .withColumn("sorted", F.expr("sort_array(transform(tri, (x, i) -> (x & ~(shiftleft(1L, cast(ceil(log2(size(tri) + 1)) as int)) - 1)) | i))"))
         .withColumn("lines", lines)
         .select(
             "doc_id",
+            *carry,
             F.size("w").cast("long").alias("n_words"),
             F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
             (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -106,7 +107,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13,
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     passed = F.col("total") >= F.col("grams").cast("long") * round(threshold * 1e6)
     llr = F.col("total") / F.greatest("grams", F.lit(1)) / 1e6
-    return each.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept"), llr.alias("llr"))
+    return each.select("doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passed).alias("kept"), llr.alias("llr"))
 
 
 def op2_quality_rules(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import NO_ID
+from ._common import NO_ID, pick
 from .blocks import Block, returned, staged
 from .repeats import Stretches, _ranges, covered, smallest_starts, stretches
 
@@ -60,12 +60,12 @@ def suffix_order(phrases: list[bytes], parse: list[tuple[int, int]], length: int
     return [x[1:] for x in sorted(out)]
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the bytes that a document with a smaller id has in the same `length`-byte string.
 
     (doc_id, n_bytes, n_removed, n_spans, kept): a byte goes if it lies in a `length`-byte string of
     the UTF-8 text that also starts in a document with a smaller id; n_spans counts the maximal runs
-    that go, kept is the rest as binary (a run may end within a character).
+    that go, kept is the rest as binary (a run may end within a character); then the columns to `carry`.
 
     Prefix-free parsing: a rolling hash over `trigger_bytes` bytes sets off a phrase at its minimum
     within each string, so triggers lie at most `length` bytes apart, and a phrase overlaps the next
@@ -79,7 +79,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, b
     Null text: as empty. A null doc_id counts as larger than any other. Rows with one doc_id never
     cost each other bytes. Texts shorter than the string lose nothing. No documents: no rows.
     """
-    blocks = staged(docs, block_bytes)
+    blocks = staged(docs, block_bytes, carry)
+    others = "".join(f", {pick(docs, c).schema.simpleString()[7:-1].replace(':', ' ', 1)}" for c in carry)
 
     def content(found: Stretches, chosen: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = found.last[chosen] - found.first[chosen] + length
@@ -108,11 +109,12 @@ def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, b
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "n_spans": pa.array(n_spans, pa.int64()),
                 "kept": pa.array(kept, pa.binary()),
+                **(block.carried() if carry else {}),
             }
         )
 
     answers = smallest_starts(blocks, byte_symbols, content, meet, length, trigger_bytes, part_bytes)
-    return returned(blocks, answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return returned(blocks, answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + others)
 
 
 _ORDER = np.argsort(_BYTE)
