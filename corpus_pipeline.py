@@ -30,7 +30,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=("text", "lang", "source", "n_chars"))
-    return judged.where("kept").select(*COLUMNS)
+    # A filter on kept alone would go below the expressions that it is made of, and compute them again.
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

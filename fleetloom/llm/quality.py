@@ -33,7 +33,7 @@ def _repeats(tri: str) -> str:
 
 def features(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id, text and other columns of docs with the words' count, and hashes of words (h) and of pairs (h2)."""
-    split = pick(docs, "doc_id", "text", *others).withColumn("w", words("text"))
+    split = pick(docs, *dict.fromkeys(("doc_id", "text", *others))).withColumn("w", words("text"))
     return split.withColumn("h", hashes("w")).withColumn("h2", shingles("h", 2))
 
 

@@ -149,9 +149,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
         mask = _signed(sum(1 << i for i in range(lo, hi)))
         key = F.col(word).bitwiseAND(F.lit(mask))
         ones = F.array(*[F.lit(_signed(1 << i)) for i in range(lo, hi)])
-        near = F.concat(F.array(key), F.transform(F.filter(ones, lambda o, w=word: F.col(w).bitwiseAND(o) == 0), lambda o, k=key: k.bitwiseOR(o)))
+        near = F.concat(F.array(key), F.transform(F.filter(ones, lambda o: F.col(word).bitwiseAND(o) == 0), lambda o: key.bitwiseOR(o)))  # noqa: B023
         held.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-        asked.append(F.transform(near, lambda k, t=t: F.struct(F.lit(t).alias("t"), k.alias("key"))))
+        asked.append(F.transform(near, lambda k: F.struct(F.lit(t).alias("t"), k.alias("key"))))  # noqa: B023
     x = classes.select("id", "a", "b", F.explode(F.array(*held)).alias("k")).select("id", "a", "b", "k.t", "k.key")
     y = classes.select(F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode(F.concat(*asked)).alias("k")).select("id2", "a2", "b2", F.col("k.t").alias("t2"), F.col("k.key").alias("key2"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("a2"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("b2")))
