@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, pick
 from .blocks import pack
-from .lexicon import Numbered, joined, kept_by_worker, numbered, parts_of, sent_words, sequences, words_sent
+from .lexicon import Numbered, give_back, joined, kept_by_worker, numbered, parts_of, sent_words, sequences, words_sent
 from .repeats import _ranges
 
 
@@ -82,6 +82,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             found = [known[w] for w in words]
             ids = np.frombuffer(b"".join(found), np.uint32)
             packs.append(pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4, ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids))
+        known.clear()
+        give_back()
         return pa.table({"part": rows["part"], "block": rows["block"], "digest": rows["digest"], "pack": pa.array(packs, pa.binary())})
 
     def together(docs_: np.ndarray, sizes: np.ndarray, flat: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray) -> pa.Table:
@@ -117,7 +119,7 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
         table = kept_by_worker(("bytes", ranks_path), load)
         for batch in batches:
             # A piece at a time: its tokens are some thousand times the rows.
-            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for piece in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 lists = piece.column(1)
                 sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
                 taken = table.take(lists.flatten())

@@ -10,6 +10,7 @@ source that deals its rows differently when read again is an error then, not a w
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +37,15 @@ def kept_by_worker(key, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; else each Python worker holds on to the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
 class Numbered(dict):
     """Numbers words as they come."""
 
@@ -81,7 +91,10 @@ def _blocks(docs: DataFrame, lexer: Callable, make: Callable[[int, Lexed], dict[
                 words = [words[i] for i in order.tolist()]
                 flat = rank[flat]
                 digest = xxhash.xxh64_intdigest(b"".join([ids.tobytes(), sizes.tobytes(), flat.tobytes()])) >> 1
-                yield pa.RecordBatch.from_pydict(make(block, Lexed(ids, sizes, flat, words, digest)))
+                made = pa.RecordBatch.from_pydict(make(block, Lexed(ids, sizes, flat, words, digest)))
+                del sizes, flat, words
+                give_back()
+                yield made
                 block += 1
 
     return pick(docs, "doc_id", "text").mapInArrow(run, schema)
@@ -137,7 +150,9 @@ def joined(seqs: DataFrame, answers: DataFrame, finish: Callable[..., pa.Table],
         order = np.empty(len(of), np.int64)
         order[np.argsort(of, kind="stable")] = np.arange(len(of))
         packs = [unpack(x) for _, x in sorted(zip(told["part"].to_pylist(), told["pack"].to_pylist(), strict=True))]
-        return finish(ids, sizes.astype(np.int64), flat, packs, order, *known)
+        made = finish(ids, sizes.astype(np.int64), flat, packs, order, *known)
+        give_back()
+        return made
 
     return seqs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
