@@ -1,6 +1,6 @@
 """A content-addressed store of token-id streams: packs, recipes and a Merkle manifest.
 
-packs/NNNNNN.pack    chunks in order of their digests, then the index of digests and ends, then its size
+packs/NNNNNN.pack    chunks in order of their digests, compressed, then the index of digests and ends, then its size
 recipes/NNNNNN.rec   documents in ascending doc_id: doc_id, tokens, chunk digests
 manifest.json        of each recipe file: tokens before it, tokens in it, Merkle root; the root of roots
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, cut, pick, shared_dir, utf8, written
+from .blocks import pack, unpack
 from .files import Ranges, opened, put
 from .lexicon import kept_by_worker
 from .repeats import Rolling
@@ -41,7 +42,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def chunks(ids: np.ndarray, window: int = 16, mean: int = 256, least: int = 64, most: int = 2048) -> list[int]:
+def chunks(ids: np.ndarray, window: int = 16, mean: int = 512, least: int = 128, most: int = 4096) -> list[int]:
     """Ends of the chunks of an id stream: where the hash of the last `window` ids has zeros at its end."""
     n, ends, start = len(ids), [], 0
     if n > least:
@@ -61,10 +62,11 @@ class WordEncoder:
     """Ids of texts with a tokenizers file, each distinct space-delimited word encoded once in a while.
 
     The tokenizer drops white space and no step of it reaches over a space, so the ids of a text are
-    those of its words.
+    those of its words; it lower-cases, so words that differ in A-Z only are one. New words go
+    through it many at a time, with a mark between them that no text has.
     """
 
-    most = 200_000
+    most, mark = 400_000, "\ue000"
 
     def __init__(self, path: str, end_id: int, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,16 +76,38 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {"": b""}
         self.dtype, self.end = dtype, np.array([end_id], dtype).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        self.cut = np.array(self.ids(self.mark), np.int64)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if self.mark in w]
+        for w in odd:
+            self.known[w] = np.array(self.ids(w), self.dtype).tobytes()
+        plain = [w for w in words if self.mark not in w] if odd else words
+        k = len(self.cut)
+        for i in range(0, len(plain), 2_000):
+            some = plain[i : i + 2_000]
+            ids = np.array(self.ids(f" {self.mark} ".join(some)), np.int64)
+            hit = np.ones(max(len(ids) - k + 1, 0), bool)
+            for j, x in enumerate(self.cut.tolist()):
+                hit &= ids[j : len(ids) - k + 1 + j] == x
+            at = np.flatnonzero(hit)
+            if len(at) != len(some) - 1:
+                raise ValueError("a mark is lost between words")
+            if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+                raise ValueError("an id does not fit the width")
+            raw, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            starts = [0, *((at + k) * size).tolist()]
+            for word, x, y in zip(some, starts, [*(at * size).tolist(), len(raw)], strict=True):
+                self.known[word] = raw[x:y]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        parts = [t.lower().decode().split(" ") for t in texts]
         if len(self.known) > self.most:
             self.known = {"": b""}
-        new = list(set().union(*parts) - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, self.dtype).tobytes()
+        self.learn(list(set().union(*parts) - self.known.keys()))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) + self.end for p in parts]
 
@@ -109,12 +133,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
                 ids = part.column(0).cast(pa.int64()).fill_null(NO_ID)
                 found: dict[bytes, bytes] = {}
                 recipes, sizes = [], []
-                for data in encoder([t.decode() for t in utf8(part.column(1))]):
+                for data in encoder(utf8(part.column(1))):
                     recipe, at = [], 0
                     for end in chunks(np.frombuffer(data, dtype)):
                         piece = data[at * width : end * width]
                         recipe.append(digest(piece))
-                        found.setdefault(recipe[-1], piece)
+                        if recipe[-1] not in found:
+                            found[recipe[-1]] = pack(np.frombuffer(piece, dtype))
                         at = end
                     recipes.append(b"".join(recipe))
                     sizes.append(at)
@@ -143,11 +168,11 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             return pa.RecordBatch.from_pydict({"pack": pa.array([now]), "chunks": pa.array([len(held)])})
 
         for batch in batches:
-            for pack, d, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if pack != now:
+            for pack_, d, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if pack_ != now:
                     if held:
                         yield flush()
-                    held, now = [], pack
+                    held, now = [], pack_
                 if not held or held[-1][0] != d:
                     held.append((d, data))
         if held:
@@ -218,10 +243,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
         last, data = None, b""
         for batch in batches:
             out = []
-            for pack, d in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                if (pack, d) != last:
-                    if f"{pack:08d}.pack" != name:
-                        name = f"{pack:08d}.pack"
+            for pack_, d in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                if (pack_, d) != last:
+                    if f"{pack_:08d}.pack" != name:
+                        name = f"{pack_:08d}.pack"
                         size = reader.size(name)
                         (k,) = struct.unpack("<q", reader.read(name, size - 8, 8))
                         raw = reader.read(name, size - 8 - k * (SIZE + 8), k * (SIZE + 8))
@@ -234,8 +259,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                         else:
                             hi = mid
                     a = int(ends[lo - 1]) if lo else 0
-                    last, data = (pack, d), reader.read(name, a, int(ends[lo]) - a)
-                    if digest(data) != d:
+                    last, data = (pack_, d), reader.read(name, a, int(ends[lo]) - a)
+                    if digest(unpack(data)[0].tobytes()) != d:
                         raise ValueError(f"a chunk of {name} is not what its address says")
                 out.append(data)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "place", "of", "data"])
@@ -245,7 +270,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
         docs, starts, sizes, of = (rows[c].to_pylist() for c in ("doc_id", "start", "n_tokens", "of"))
         data, out, at = rows["data"].to_pylist(), [], 0
         while at < len(data):
-            ids = np.frombuffer(b"".join(data[at : at + of[at]]), dtype)
+            ids = np.concatenate([unpack(x)[0] for x in data[at : at + of[at]]])
             if len(ids) != sizes[at]:
                 raise ValueError(f"document {docs[at]} has {len(ids)} ids and should have {sizes[at]}")
             out.append((None if docs[at] == NO_ID else docs[at], starts[at], sizes[at], ids.astype("<u4").tobytes()))
