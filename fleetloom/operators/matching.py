@@ -64,8 +64,10 @@ def map_match(gps: DataFrame, segments: DataFrame, extend: bool = False, config:
     extend: fills in shortest paths between points and keeps the last row of each run of a segment.
     """
     points = gps.withColumn("pid", F.struct("obj", "id"))
-    found = candidates(points.select("pid", "x", "y"), segments, config)
-    found = found.join(points.select("pid", "obj", "id", "time", "x", "y"), "pid").drop("pid").checkpoint(eager=True) if gps.sparkSession.sparkContext.getCheckpointDir() else found.join(points.select("pid", "obj", "id", "time", "x", "y"), "pid").drop("pid")
+    near = candidates(points.select("pid", "x", "y"), segments, config)
+    found = near.join(points.select("pid", "time", "x", "y"), "pid").select("pid.obj", "pid.id", "seg", "p", "offset", "time", "x", "y")
+    # Read by three joins: with a checkpoint folder the candidates are made once.
+    found = found.checkpoint() if gps.sparkSession.sparkContext.getCheckpointDir() else found.persist()
     edges = adjacency(segments)
     routes = shortest_paths(edges, bound if bound is not None else config.path_bound, found.select(F.col("seg").alias("src")).distinct())
     cur = found.select("obj", "id", F.col("seg").alias("s2"), F.col("offset").alias("o2"), F.col("time").alias("t2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
@@ -74,7 +76,7 @@ def map_match(gps: DataFrame, segments: DataFrame, extend: bool = False, config:
     routed = F.when(F.col("s1") == F.col("s2"), F.abs(F.col("o2") - F.col("o1"))).otherwise(F.col("d") - F.col("o1") + F.col("o2"))
     straight = std_distance(F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"))
     p = transition_probability(straight, routed, F.col("t2") - F.col("t1"), config.beta, config.time_scale)
-    ways = steps.select("obj", "id", F.col("s1").cast("long"), F.col("s2").cast("long"), p.alias("p"))
+    ways = steps.select(F.col("obj").alias("o"), "id", F.col("s1").cast("long"), F.col("s2").cast("long"), p.alias("p"))
 
     def run(cands: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
         if not len(cands):
@@ -89,7 +91,7 @@ def map_match(gps: DataFrame, segments: DataFrame, extend: bool = False, config:
         rows = [by[i][by[i]["seg"] == s].iloc[0] for i, s in zip(ids, way, strict=True)]
         return pd.DataFrame({"obj": [r["obj"] for r in rows], "id": ids, "seg": way, "time": [r["time"] for r in rows], "dist": [r["offset"] for r in rows]})
 
-    matched = found.groupBy("obj").cogroup(ways.groupBy("obj")).applyInPandas(run, "obj long, id int, seg int, time long, dist double")
+    matched = found.groupBy("obj").cogroup(ways.groupBy("o")).applyInPandas(run, "obj long, id int, seg int, time long, dist double")
     if not extend:
         return matched
     via = path_table(shortest_paths(edges, config.path_bound))
