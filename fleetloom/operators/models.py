@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import fold_by_object
-from .sequence import ALONG
+from .sequence import along
 
 
 def grams(traj: DataFrame, n: int) -> DataFrame:
     """traj with pattern, the n segments that begin at a row; none near the end."""
-    cols = [F.lead("seg", i).over(ALONG) for i in range(n)]
+    cols = [F.lead("seg", i).over(along()) for i in range(n)]
     return traj.withColumn("pattern", F.array(*cols)).withColumn("_last", cols[-1]).where("_last is not null").drop("_last")
 
 
@@ -48,7 +48,7 @@ def context_model(traj: DataFrame, order: int) -> DataFrame:
     """
     parts = []
     for k in range(1, order + 1):
-        past = [F.lag("seg", i).over(ALONG) for i in range(k, 0, -1)]
+        past = [F.lag("seg", i).over(along()) for i in range(k, 0, -1)]
         rows = traj.select("obj", "id", F.col("seg").alias("next"), F.array(*past).alias("ctx"), past[0].alias("_p")).where("_p is not null")
         parts.append(rows.groupBy("ctx", "next").agg(F.count("*").alias("freq")).withColumn("k", F.lit(k)))
     counts = parts[0]
@@ -61,14 +61,14 @@ def context_model(traj: DataFrame, order: int) -> DataFrame:
 def predicted(traj: DataFrame, model: DataFrame, order: int, neighbours: DataFrame | None = None) -> DataFrame:
     """traj with pred, the next segment by the longest known context; else the first neighbour, else 0."""
     for k in range(1, order + 1):
-        past = F.array(*[F.lag("seg", i).over(ALONG) for i in range(k, 0, -1)])
+        past = F.array(*[F.lag("seg", i).over(along()) for i in range(k, 0, -1)])
         known = model.where(F.col("k") == k).select(F.col("ctx").alias(f"_c{k}"), F.col("next").alias(f"_n{k}"))
         traj = traj.withColumn(f"_p{k}", past)
         traj = traj.join(known, traj[f"_p{k}"] == known[f"_c{k}"], "left").drop(f"_p{k}", f"_c{k}")
     fallback = F.lit(0)
     if neighbours is not None:
         first = neighbours.groupBy("src").agg(F.min("dst").alias("_first"))
-        traj = traj.withColumn("_before", F.lag("seg").over(ALONG))
+        traj = traj.withColumn("_before", F.lag("seg").over(along()))
         traj = traj.join(first, traj["_before"] == first["src"], "left").drop("src", "_before")
         fallback = F.coalesce("_first", F.lit(0))
     pred = F.coalesce(*[F.col(f"_n{k}") for k in range(order, 0, -1)], fallback)

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from .kernels import fold_by_object
 
-ALONG = Window.partitionBy("obj").orderBy("id")
-SO_FAR = ALONG.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = ALONG.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def along() -> WindowSpec:
+    return Window.partitionBy("obj").orderBy("id")
+
+
+def so_far() -> WindowSpec:
+    return along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    return along().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def positions(rows: DataFrame, *order: str) -> DataFrame:
@@ -22,12 +31,12 @@ def positions(rows: DataFrame, *order: str) -> DataFrame:
 
 def dedup_runs(traj: DataFrame) -> DataFrame:
     """Of each run of one segment the last row."""
-    return traj.withColumn("_next", F.lead("seg").over(ALONG)).where("_next is null or _next <> seg").drop("_next")
+    return traj.withColumn("_next", F.lead("seg").over(along())).where("_next is null or _next <> seg").drop("_next")
 
 
 def chunk_number() -> Column:
     """Observations strictly before a row: a chunk ends with each observation."""
-    return F.coalesce(F.count("time").over(BEFORE), F.lit(0)).cast("long")
+    return F.coalesce(F.count("time").over(before()), F.lit(0)).cast("long")
 
 
 def online_chunks(traj: DataFrame) -> DataFrame:
@@ -42,11 +51,11 @@ def uniform_times(traj: DataFrame, shifted: bool = False) -> DataFrame:
     traj needs `length`, that of each row's segment. shifted: counts from the window's end and cuts to
     whole units, as old files do.
     """
-    rows = online_chunks(traj).withColumn("run", F.sum("length").over(SO_FAR))
+    rows = online_chunks(traj).withColumn("run", F.sum("length").over(so_far()))
     part = Window.partitionBy("obj", "chunk")
     rows = rows.withColumn("_end", F.max("time").over(part)).withColumn("_all", F.sum("length").over(part))
     rows = rows.withColumn("_own", F.sum("length").over(part.orderBy("id")))
-    rows = rows.withColumn("_start", F.last("time", ignorenulls=True).over(BEFORE))
+    rows = rows.withColumn("_start", F.last("time", ignorenulls=True).over(before()))
     gap = F.col("_end") - F.col("_start")
     share = gap * F.col("_own") / F.col("_all")
     t = F.floor(F.col("_end") + share).cast("double") if shifted else (F.col("_start") + share).cast("double")
@@ -56,7 +65,7 @@ def uniform_times(traj: DataFrame, shifted: bool = False) -> DataFrame:
 
 def em_windows(traj: DataFrame, gps_sigma: float = DEFAULT.gps_sigma, idle_speed: float = DEFAULT.max_speed) -> DataFrame:
     """For each observation but the first: length and time since the one before, both so far, and its time error."""
-    rows = online_chunks(traj).withColumn("_start", F.last("time", ignorenulls=True).over(BEFORE))
+    rows = online_chunks(traj).withColumn("_start", F.last("time", ignorenulls=True).over(before()))
     each = rows.where("chunk > 0").groupBy("obj", "chunk").agg(
         F.max("id").alias("id"), F.sum("length").alias("dist"), F.max("time").alias("_end"), F.max("_start").alias("_start")
     )
@@ -70,7 +79,7 @@ def em_windows(traj: DataFrame, gps_sigma: float = DEFAULT.gps_sigma, idle_speed
 def smooth(rows: DataFrame, column: str, width: int, times: int = 1) -> DataFrame:
     """Centred moving average over width rows to each side, clipped at the ends."""
     for _ in range(times):
-        rows = rows.withColumn(column, F.avg(column).over(ALONG.rowsBetween(-width, width)))
+        rows = rows.withColumn(column, F.avg(column).over(along().rowsBetween(-width, width)))
     return rows
 
 
@@ -84,7 +93,7 @@ def speed_stats(windows: DataFrame) -> DataFrame:
 
 def extend_paths(traj: DataFrame, paths: DataFrame, max_speed: float = DEFAULT.max_speed) -> DataFrame:
     """traj with fills from paths(src, dst, via array, path_length) between rows, where that is not too fast."""
-    nxt = traj.withColumn("_seg", F.lead("seg").over(ALONG)).withColumn("_time", F.lead("time").over(ALONG))
+    nxt = traj.withColumn("_seg", F.lead("seg").over(along())).withColumn("_time", F.lead("time").over(along()))
     known = nxt.join(paths, (F.col("seg") == F.col("src")) & (F.col("_seg") == F.col("dst")), "left")
     dt = F.col("_time") - F.col("time")
     fits = (dt > 0) & (F.col("path_length") / dt <= max_speed)

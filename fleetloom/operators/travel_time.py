@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from .kernels import fold_by_object
-from .sequence import ALONG, SO_FAR
+from .sequence import along, so_far
 
 
 def maximise(times: DataFrame, segments: DataFrame, avg_speed: float) -> DataFrame:
@@ -136,12 +136,12 @@ def time_compress(traj: DataFrame, model: DataFrame, most: float, gps_sigma: flo
 
 def time_restore(traj: DataFrame, model: DataFrame) -> DataFrame:
     """(obj, id, seg, time): times of rows without one, between known ones in proportion to the model's means."""
-    rows = traj.join(model.select("seg", "mu"), "seg").withColumn("_k", F.coalesce(F.count("time").over(SO_FAR), F.lit(0)))
-    rows = rows.withColumn("_last", F.last("time", ignorenulls=True).over(SO_FAR))
-    later = ALONG.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("_next", F.first("time", ignorenulls=True).over(later)).withColumn("_run", F.sum("mu").over(SO_FAR))
+    rows = traj.join(model.select("seg", "mu"), "seg").withColumn("_k", F.coalesce(F.count("time").over(so_far()), F.lit(0)))
+    rows = rows.withColumn("_last", F.last("time", ignorenulls=True).over(so_far()))
+    later = along().rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_next", F.first("time", ignorenulls=True).over(later)).withColumn("_run", F.sum("mu").over(so_far()))
     part = Window.partitionBy("obj", "_k")
-    rows = rows.withColumn("_begin", F.min("_run").over(part)).withColumn("_own", F.lead("mu").over(ALONG))
+    rows = rows.withColumn("_begin", F.min("_run").over(part)).withColumn("_own", F.lead("mu").over(along()))
     rows = rows.withColumn("_all", F.max(F.when(F.col("_own").isNotNull(), F.col("_run") + F.col("_own"))).over(part) - F.col("_begin"))
     share = (F.col("_run") - F.col("_begin")) / F.when(F.col("_all") > 0, F.col("_all"))
     filled = F.col("_last") + (F.col("_next") - F.col("_last")) * share

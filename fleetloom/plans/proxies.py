@@ -383,7 +383,7 @@ def _lengths(spark):
 
 def _type_edges(spark, d):
     t = traj(spark, d)
-    pairs = t.select("seg", F.lead("seg").over(sequence.ALONG).alias("dst")).where("dst is not null and dst <> seg and abs(dst - seg) <> 2").distinct()
+    pairs = t.select("seg", F.lead("seg").over(sequence.along()).alias("dst")).where("dst is not null and dst <> seg and abs(dst - seg) <> 2").distinct()
     return pairs.select(F.col("seg").alias("src"), "dst", (F.col("seg") + 1.0).alias("weight"))
 
 
