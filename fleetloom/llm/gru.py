@@ -15,8 +15,8 @@ class Shape:
     """Input rows: one for each head word, then one for each tail class. Head words fill `head_classes`
     of `class_words` each, by frequency; the other words fall into tail classes by their last bytes."""
 
-    head_classes: int = 64
-    class_words: int = 16
+    head_classes: int = 32
+    class_words: int = 32
     tail_classes: int = 32
     units: int = 16
 
