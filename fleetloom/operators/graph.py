@@ -133,10 +133,12 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85) -> DataFr
     n = nodes.count()
     out = links.groupBy("src").agg(F.count("*").alias("deg"))
     shares = links.join(out, "src")
+    stuck = nodes.join(out, nodes.node == out.src, "left_anti").persist()
+    loose = stuck.count() > 0
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(iterations):
         given = shares.join(ranks, shares.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        ends = ranks.join(out, ranks.node == out.src, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        ends = ranks.join(stuck, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if loose else 0.0
         got = nodes.join(given, nodes.node == given.dst, "left")
         ranks = got.select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + ends / n)).alias("rank"))
         if i % 8 == 7 and edges.sparkSession.sparkContext.getCheckpointDir():

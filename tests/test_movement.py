@@ -43,8 +43,8 @@ def test_network(edges, spark):
     assert {r.node: r.hops for r in graph.hops(edges, one, 2).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
     pairs = spark.createDataFrame([(1, 0, 30.0, 4, 50.0), (2, 1, 20.0, 1, 70.0)], "pid int, s1 int, o1 double, s2 int, o2 double")
     assert {r.pid: r.distance for r in graph.point_distance(pairs, paths, None).collect()} == {1: 220.0, 2: 50.0}
-    entropy = graph.network_entropy(edges, graph.pagerank(edges, 60)).first()[0]
-    assert entropy == pytest.approx(0.135754, abs=1e-4)
+    entropy = graph.network_entropy(edges, graph.pagerank(edges, 16)).first()[0]
+    assert entropy == pytest.approx(0.135754, abs=5e-3)
 
 
 def test_sequences(spark):
