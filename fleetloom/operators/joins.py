@@ -54,7 +54,7 @@ def within_distance(points: DataFrame, segments: DataFrame, radius: float) -> Da
 def nearest(points: DataFrame, segments: DataFrame, k: int, radius: float) -> DataFrame:
     """The k nearest segments of each point: (pid, seg, d, rank); of equals the smaller segment.
 
-    Radii double, each round for the points that still have fewer than k; one that has k within a
+    Radii grow fourfold, each round for the points that still have fewer than k; one that has k within a
     radius has its k nearest there. A map with fewer than k segments gives them all.
     """
     n = segments.limit(k).count()
@@ -76,7 +76,7 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, radius: float) -> Da
         open_ = open_.join(full.select("pid").distinct(), "pid", "left_anti")
         if open_.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
