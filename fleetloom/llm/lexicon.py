@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import NO_ID, cut, pick, utf8
 from .blocks import pack, unpack
 
-BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 3 << 20, 8 << 20
 
 
 def kept_by_worker(key, make):
