@@ -117,50 +117,98 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     return each.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def near_radius(bits: int, similarity: float) -> int:
-    """The distance that two shingle sets of this Jaccard similarity have on average."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted: as fingerprint() takes them. No words: none."""
+    parts = text.lower().split()
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), 42)] if parts else [], np.uint64).view(np.int64)
+    whole = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    found = [digest(whole[s:e], 42) for s, e in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(found, np.uint64).view(np.int64))
+
 
+#: Texts whose shingles tell which are common, and how many common ones the executors are told.
+ORDER_TEXTS, MOST_COMMON = 20_000, 500_000
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: tuple[int, int] = (42, 43)) -> DataFrame:
-    """(doc_id, component_id): near copies by estimated similarity, with the smallest doc_id of their group.
 
-    The fingerprint has 128 bits, 64 for each seed. Documents link when the similarity of their
-    `words`-word shingles that the complete distance stands for is `similarity` or more. Candidates
-    come from six segments of 21 bits (the last of each word 22): all keys within one flip are looked
-    up, zeros flipped to ones only, as in hamming_links(). That finds every pair up to 11 bits apart,
-    and of those 13 (similarity 0.9) and 19 (0.8) bits apart 92 and 62 in a hundred; a group needs
-    not all of its pairs. Fingerprints are distinct before tables are made, so copies cost nothing.
+def _common_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that several of some ORDER_TEXTS sets have, sorted. They only order shingles, so any choice is right."""
+    share = max(1, sets.count() // ORDER_TEXTS)
+    some = sets.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp", "sh").dropDuplicates(["fp"])
+    seen = some.select(F.explode("sh").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 2")
+    return np.sort(seen.orderBy(F.desc("c"), "k").limit(MOST_COMMON).select("k").toArrow()["k"].to_numpy())
 
-    Null and empty texts have no shingles and link with nothing; so has a null doc_id no group.
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): near copies by the Jaccard similarity of their `words`-word shingles, with
+    the smallest doc_id of their group. Every pair of `similarity` or more is linked, and no other.
+
+    Two sets that similar share one of their first n - ceil(similarity * n) + 1 shingles, in whatever
+    order all sets are held; common shingles come last, so few other pairs meet. Sets that meet are
+    compared whole: first each with the smallest and the largest fingerprint of its shingle, and then
+    all pairs whose ends are not yet in one group. Equal sets are one class (64-bit digest) and cost
+    no pairs.
+
+    Null and empty texts have no shingles and link with nothing. Null doc_id: linked like any other,
+    never a component_id unless all of the group are null. Repeated rows stay rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            fps = [np.array([fingerprint(t, words, s) for t in texts], np.uint64).view(np.int64) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[0]), pa.array(fps[1]), pa.array([not t.strip() for t in texts])], ["doc_id", "a", "b", "blank"])
-
-    each = written(pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, a long, b long, blank boolean"))
-    classes = written(each.where("not blank").groupBy("a", "b").agg(F.min("doc_id").alias("id")))
-    cuts = [(0, 21), (21, 42), (42, 64)]
-    held, asked = [], []
-    for t, (word, (lo, hi)) in enumerate((w, c) for w in "ab" for c in cuts):
-        mask = _signed(sum(1 << i for i in range(lo, hi)))
-        key = F.col(word).bitwiseAND(F.lit(mask))
-        ones = F.array(*[F.lit(_signed(1 << i)) for i in range(lo, hi)])
-        near = F.concat(F.array(key), F.transform(F.filter(ones, lambda o: F.col(word).bitwiseAND(o) == 0), lambda o: key.bitwiseOR(o)))  # noqa: B023
-        held.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-        asked.append(F.transform(near, lambda k: F.struct(F.lit(t).alias("t"), k.alias("key"))))  # noqa: B023
-    x = classes.select("id", "a", "b", F.explode(F.array(*held)).alias("k")).select("id", "a", "b", "k.t", "k.key")
-    y = classes.select(F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode(F.concat(*asked)).alias("k")).select("id2", "a2", "b2", F.col("k.t").alias("t2"), F.col("k.key").alias("key2"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("a2"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("b2")))
-    near = (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & (distance <= near_radius(128, similarity))
-    links = written(y.join(x, near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-    roots = components(links)
-    rooted = classes.join(roots, classes.id == roots.node, "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
-    found = each.where("not blank").join(rooted, ["a", "b"])
-    return found.select("doc_id", "component_id").union(each.where("blank").select("doc_id", F.col("doc_id").alias("component_id")))
+            sets = [shingle_set(t, words) for t in utf8(batch.column(1))]
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            sh = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(np.diff(ends)), sh], ["doc_id", "fp", "n", "sh"])
+
+    each = written(pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, n int, sh array<bigint>"))
+    spark, sets = docs.sparkSession, each.where("n > 0")
+    told = spark.sparkContext.broadcast(_common_shingles(sets))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = told.value
+        for batch in batches:
+            fps, ns, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            takes = (ns - np.ceil(similarity * ns - 1e-9) + 1).astype(np.int64)
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+            often = common[at] == values if len(common) else np.zeros(len(values), bool)
+            for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), takes.tolist(), strict=True):
+                keys.append(values[a:b][np.argsort(often[a:b], kind="stable")[:t]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(fps, takes)), pa.array(np.repeat(ns, takes))], ["k", "fp", "n"])
+
+    keys = sets.select("fp", "n", "sh").mapInArrow(first, "k long, fp long, n int")
+    met = keys.groupBy("k").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp < hi.fp")
+    met = written(keys.join(met, "k").distinct())
+    held = written(sets.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "sh").dropDuplicates(["fp"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb) those that are similar."""
+        pairs = pairs.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (F.col("a") != F.col("b")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(held.select(F.col("fp").alias("a"), F.col("sh").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("sh").alias("y")), "b")
+        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
+        return written(shared.where(F.col("o") >= similarity * (F.col("s") - F.col("o")) - 1e-9).select("a", "b"))
+
+    ends = [met.select("fp", F.col(f"{e}.fp").alias("b"), "n", F.col(f"{e}.n").alias("nb")) for e in ("lo", "hi")]
+    links = linked(ends[0].union(ends[1]).distinct().toDF("a", "b", "na", "nb"))
+    roots = written(components(links))
+    rooted = met.join(roots, met.fp == roots.node, "left").select("k", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted)
+    open_ = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
+    left = written(rooted.join(open_, "k", "left_semi"))
+    x, y = left.toDF("k", "a", "na", "ra"), left.toDF("k2", "b", "nb", "rb")
+    fit = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))
+    rest = linked(x.join(y, (F.col("k") == F.col("k2")) & fit).select("a", "b", "na", "nb"))
+    roots = components(links.union(rest))
+    classes = each.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select("fp", "component_id")
+    return sets.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id").union(each.where("n = 0").select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

@@ -134,6 +134,29 @@ def test_near_copies(spark):
     assert got == {5: 3, 3: 3, 9: 3, 7: 7, 8: 8, 2: 2}
 
 
+def test_near_copies_all_pairs(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        base = say(rng.randrange(60, 300))
+        for edits in (0, 1, 2, 3, 4, 5, 6):
+            copy = list(base)
+            for _ in range(edits * len(base) // 120):
+                copy[rng.randrange(len(copy))] = say(1)[0]
+            rows.append((len(rows), " ".join(copy)))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    rows += [(None, rows[0][1]), (None, " ".join(say(90)))]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([(str(i), str(g)) for i, g in enumerate(group)] + [("None", "0"), ("None", "None")])
+
+
 def test_bpe(spark, docs, texts):
     import public_tokenizers as P
     import tiktoken
