@@ -265,6 +265,32 @@ def test_leaks(spark):
     assert got == {(10, 1), (12, 2), (14, 5)}
 
 
+def test_leaks_in_another_order(spark):
+    rng = random.Random(14)
+    say = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate((40, 60, 100, 60))]
+    swapped = [say(30) + w[len(w) // 2 :] + w[: len(w) // 2] + say(20) for _, w in items]
+    far = say(10) + items[3][1][:30] + say(25) + items[3][1][30:]
+    docs = [(i, " ".join(w)) for i, w in enumerate([*swapped[:3], far, items[2][1][8:] + say(50), say(50) + items[2][1][:-8]])] + [(None, " ".join(swapped[0]))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for d, text in docs:
+        for i, w in items:
+            g, t = grams(w), grams(text.split())
+            found = set()
+            for st in range(1 - len(g), len(t)):
+                win = t[max(st, 0) : st + len(g)]
+                same = sum(min(win.count(x), g.count(x)) for x in set(win))
+                if 5 * same >= 4 * (len(win) + len(g) - same):
+                    found.add((same / (len(win) + len(g) - same), -max(st, 0), len(win)))
+            if found:
+                want[d, i] = (max(found)[0], -max(found)[1], len(found))
+    assert {k: (r.similarity, r.start, r.n_windows) for k, r in rows.items()} == want
+    assert {(0, 0), (1, 1), (2, 2), (4, 2), (5, 2), (None, 0)} == set(want)
+
+
 def test_gru_gradient():
     shape = gru.Shape(3, 4, 2, 5)
     rng = np.random.default_rng(1)
