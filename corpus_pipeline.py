@@ -16,15 +16,20 @@ from fleetloom.llm.simhash import near_copies
 from fleetloom.llm.suffix import repeated_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids of documents to drop go to all executors up to this many; beyond it both sides are shuffled.
+#: Keys of rows to drop go to all executors up to this many; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those ids. A null id is in no list."""
-    ids = written(ids.select(F.col("doc_id").alias("gone")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written once so that it stays the same: an id may be null or stand for several rows."""
+    return written(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of rows but for those whose key is in gone."""
+    gone = written(gone.select(F.col("row").alias("gone")).distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +40,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows with one id and text, one."""
-    docs = pick(docs, *COLUMNS)
-    return _without(docs, near_copies(docs).where("doc_id <> component_id"))
+    """Of each group of near copies the row with the smallest id, nulls last; of rows with one id and text, one."""
+    rows = _keyed(docs)
+    found = near_copies(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    # Texts without a word are in no group; of those only rows alike in id and text are one.
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = [F.when(~blank, F.col("component_id")).alias("g"), F.when(blank, F.col("doc_id")).alias("id"), F.when(blank, F.col("text")).alias("t")]
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = rows.join(found, "row").groupBy(*own).agg(F.min(order).alias("first")).select("first.row")
+    return _without(rows, rows.select("row").join(first, "row", "left_anti"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +71,9 @@ def _valid(column: str):
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
-    docs = pick(docs, *COLUMNS)
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null"))
+    rows = _keyed(docs)
+    found = leaks(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.select(F.col("doc_id").alias("row")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

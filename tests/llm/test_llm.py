@@ -344,3 +344,18 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {2, 4, 5, None}
+
+
+def test_pipeline_rows_of_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b, c, item = say(200), say(200), say(200), say(30)
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    near = make([(1, a), (1, a), (None, b), (None, b), (None, a), (2, a + " end"), (2, c), (3, ""), (3, ""), (4, "")])
+    assert kept(corpus_pipeline.near_dedup(spark, near, "")) == sorted([("1", a), ("None", b), ("2", c), ("3", ""), ("4", "")])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leaky = make([(None, a + " " + item), (None, b), (5, item), (5, c)])
+    assert kept(corpus_pipeline.decontaminate(spark, leaky, str(tmp_path))) == sorted([("None", b), ("5", c)])
