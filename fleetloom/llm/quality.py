@@ -85,7 +85,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13,
     table = F.from_json(F.lit(json.dumps(ratios.tolist())), "array<bigint>")
     mean = F.expr(f"aggregate(h, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
     pairs = F.expr(f"aggregate(h2, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
-    lines = F.expr(r"filter(split(coalesce(text, ''), '\n'), x -> length(translate(x, ' \t\u000b\f\r', '')) > 0)")
+    lines = F.expr(r"filter(split(coalesce(text, ''), '\n'), x -> length(translate(x, ' \t\u000b\u000c\r', '')) > 0)")
     each = (
         features(docs, *carry)
         .withColumn("ratios", table)

@@ -248,6 +248,13 @@ def test_quality(spark, docs, texts):
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_quality_lines_of_f_and_of_form_feeds(spark):
+    texts = ["f\nf\nff f\nff f\nfoo", "\f\na\n\f\nb\n \f\t\n \f\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality_rules(df, labels).collect()} == {0: 2, 1: 0}
+
+
 def test_licenses(spark):
     rows = [(1, "Hello.\nLicensed under the APACHE license, version 2.0\nmore text here", 0), (2, None, 0), (3, "", 0), (4, "nothing of that kind", 0), (None, "All rights reserved.", 0), (4, "nothing of that kind", 0)]
     got = sorted((str(r.doc_id), r.license, r.n_matches) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, words int")).collect())
