@@ -99,19 +99,27 @@ def _relaxed(edges: DataFrame, bound: float, sources: DataFrame | None) -> DataF
         sign = now
 
 
-def path_table(paths: DataFrame, most_hops: int = 64) -> DataFrame:
-    """(src, dst, via, path_length, d): the segments between, both ends left out, and their length."""
+def path_table(paths: DataFrame) -> DataFrame:
+    """(src, dst, via, path_length, d): the segments between, both ends left out, and their length.
+
+    All paths are walked back at once until none is open; none has more hops than there are nodes.
+    """
+    durable = paths.sparkSession.sparkContext.getCheckpointDir()
     paths = paths.persist()
     walk = paths.where("pred is not null").select("src", "dst", "d", F.col("pred").alias("at"), F.array().cast("array<int>").alias("via"))
     done, back = None, paths.select(F.col("src").alias("s"), F.col("dst").alias("at"), F.col("pred").alias("p"), F.col("d").alias("d_at"))
     first = back.where("p = s").select(F.col("s").alias("src"), F.col("at").alias("first"), F.col("d_at").alias("own"))
-    for _ in range(most_hops):
+    for i in range(paths.select("dst").distinct().count()):
         there = walk.where("at = src").select("src", "dst", "via", "d")
         done = there if done is None else done.unionByName(there)
         walk = walk.where("at <> src").withColumn("via", F.concat(F.array(F.col("at").cast("int")), F.col("via")))
         if walk.isEmpty():
             break
         walk = walk.join(back, (F.col("src") == F.col("s")) & (walk["at"] == back["at"])).select("src", "dst", "d", F.col("p").alias("at"), "via")
+        if i % 8 == 7:
+            walk, done = (x.checkpoint() if durable else x.localCheckpoint() for x in (walk, done))
+    if done is None:
+        done = walk.select("src", "dst", "via", "d")
     lengths = first.groupBy("src").agg(F.min("own").alias("own"))
     return done.join(lengths, "src").select("src", "dst", "via", (F.col("d") - F.col("own")).alias("path_length"), "d")
 

@@ -215,3 +215,11 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
     assert pd.Series(list(entry.queries())).is_unique
+
+
+def test_path_of_many_hops(spark):
+    n = 80
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)], "src long, dst long, weight double")
+    paths = graph.shortest_paths(edges, 1000.0, spark.createDataFrame([(0,)], "src long"))
+    via = {r.dst: (r.via, r.path_length) for r in graph.path_table(paths).collect()}
+    assert via == {d: (list(range(1, d)), d - 1.0) for d in range(1, n + 1)}
