@@ -2,39 +2,34 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
-from .native import hashes, shingles, words
+from ._common import WORD, pick, written
+from .native import hashes, longer, words
 
 #: Trusted ids go to all executors up to this many (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Up to so many windows of a text a hash and its place share 64 bits, with 52 of the hash at least.
+PACKED = 4096
 
 
 def _repeats(tri: str) -> str:
-    """Words in 3-word windows found twice or more, from an array column of window hashes.
+    """SQL: words in 3-word windows found twice or more, from an array column of window hashes.
 
-    Windows are sorted as numbers with the place in the low bits, as many as the text needs, below
-    the high bits of the hash: equal windows become neighbours. Places of those with an equal
-    neighbour, sorted again, cover three words each, less what they share with the one before.
+    Most texts have no such window, which their distinct hashes tell. In others windows are sorted
+    with their places, so equal ones become neighbours: as one number with the place in the low bits
+    where that leaves enough of the hash, else as pairs. Places of those with an equal neighbour,
+    sorted again, cover three words each, less what they share with the one before.
     """
-    low = f"(shiftleft(1L, cast(ceil(log2(size({tri}) + 1)) as int)) - 1)"
-    same = f"(x & ~{low})"
-    return f"""aggregate(
-        transform(array(sort_array(transform(
-            filter(sorted, (x, i) -> {same} = (get(sorted, i - 1) & ~{low}) or {same} = (get(sorted, i + 1) & ~{low})),
-            x -> x & {low}))), p -> aggregate(transform(p, (x, i) -> if(i = 0, 3L, least(3L, x - get(p, i - 1)))), 0L, (a, x) -> a + x)),
-        0L, (a, x) -> a + x)"""
-
-
-def features(docs: DataFrame, *others: str) -> DataFrame:
-    """doc_id, text and other columns of docs with the words' count, and hashes of words (h) and of pairs (h2)."""
-    split = pick(docs, *dict.fromkeys(("doc_id", "text", *others))).withColumn("w", words("text"))
-    return split.withColumn("h", hashes("w")).withColumn("h2", shingles("h", 2))
+    packed = f"sort_array(transform({tri}, (x, i) -> (x & {-PACKED}L) | i))"
+    near = f"(get(s, i - 1) & {-PACKED}L)", f"(get(s, i + 1) & {-PACKED}L)"
+    few = f"transform(array({packed}), s -> transform(filter(s, (x, i) -> (x & {-PACKED}L) = {near[0]} or (x & {-PACKED}L) = {near[1]}), x -> x & {PACKED - 1}L))[0]"
+    pairs = f"sort_array(transform({tri}, (x, i) -> struct(x as h, i as p)))"
+    many = f"transform(array({pairs}), s -> transform(filter(s, (x, i) -> x.h = get(s, i - 1).h or x.h = get(s, i + 1).h), x -> cast(x.p as bigint)))[0]"
+    places = f"sort_array(if(size({tri}) <= {PACKED}, {few}, {many}))"
+    new = "aggregate(transform(p, (x, i) -> if(i = 0, 3L, least(3L, x - get(p, i - 1)))), 0L, (a, x) -> a + x)"
+    return f"if(size(array_distinct({tri})) = size({tri}), 0L, transform(array({places}), p -> {new})[0])"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -42,29 +37,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, steady: float) -> np.ndarray:
-    """For each n-gram bucket log P(trusted) - log P(raw corpus) in millionths, from all documents.
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, steady: float) -> DataFrame:
+    """(ratios): one row, for each n-gram bucket log P(trusted) - log P(raw corpus) in millionths, from all documents.
 
     Words and word pairs are hashed to buckets. Both multinomials are taken on the scale of the
     trusted one with `prior` more in each bucket, else a bucket that neither has would tell something.
     A ratio counts by n / (n + steady), n the raw corpus' count: what few n-grams show is chance, and
-    would speak against every text whose rare words no trusted text has. The counts are two numbers a
-    bucket, which bounds what reaches the driver.
+    would speak against every text whose rare words no trusted text has. The number of buckets bounds
+    what the counts and the row hold.
     """
     good = trusted_ids(labels)
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = pick(docs, "doc_id", "text").join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("good_id"), "left")
-    grams = features(marked, "good_id").select(F.col("good_id").isNotNull().alias("good"), F.explode_outer(F.expr(f"transform(concat(h, h2), x -> cast(x & {buckets - 1} as int))")).alias("b"))
-    counts = np.zeros((2, buckets))
-    # explode_outer: Spark would filter on the size of what explode() takes, and compute it anew for that.
-    found = grams.where("b is not null").groupBy("good", "b").agg(F.count("*").alias("n")).toArrow()
-    good_, b, n = (found[c].to_numpy() for c in ("good", "b", "n"))
-    np.add.at(counts[0], b[good_], n[good_])
-    np.add.at(counts[1], b, n)
-    trusted, raw = counts
-    scale = trusted.sum() / max(raw.sum(), 1)
-    ratios = (np.log(trusted + prior) - np.log(raw * scale + prior)) * raw / (raw + steady)
-    return np.round(1e6 * ratios).astype(np.int64)
+    split = marked.select(F.col("good_id").isNotNull().cast("long").alias("good"), words("text").alias("w"))
+    # Each word with the next one as a row. explode_outer: Spark would filter on the size of what explode() takes, and compute it anew for that.
+    pairs = split.select("good", F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b"))).alias("z")).where("z is not null")
+    hashed = pairs.select("good", F.xxhash64("z.a").alias("x"), F.xxhash64("z.b").alias("y"), F.col("z.b").isNull().alias("last"))
+    both = F.expr(f"array((x & {buckets - 1}) * 2 + good, if(last, null, (xxhash64(x, y) & {buckets - 1}) * 2 + good))")
+    counts = hashed.select(F.explode_outer(both).alias("k")).where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    sums = counts.groupBy(F.shiftright("k", 1).alias("b")).agg(F.sum(F.when(F.col("k") % 2 == 1, F.col("n"))).alias("trusted"), F.sum("n").alias("raw"))
+    sums = written(sums.na.fill(0).coalesce(1))
+    totals = sums.agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw")).first()
+    scale = (totals.trusted or 0) / max(totals.raw or 0, 1)
+    ratio = (F.ln(F.col("trusted") + prior) - F.ln(F.col("raw") * scale + prior)) * F.col("raw") / (F.col("raw") + steady)
+    known = docs.sparkSession.range(0, buckets, 1, 1).join(sums.withColumn("v", F.round(ratio * 1e6).cast("long")), F.col("id") == F.col("b"), "left")
+    row = known.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))).alias("all"))
+    return written(row.select(F.expr("transform(all, x -> x.v)").alias("ratios")).coalesce(1))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13, buckets: int = 1 << 18, prior: float = 1.0, steady: float = 30.0, least_words: int = 50, most_repeated: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -81,26 +79,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.13,
     anything, every llr is 0. Null doc_id: judged, never trusted.
     Repeated rows stay rows and count again. No documents: no rows.
     """
-    ratios = log_ratios(docs, labels, buckets, prior, steady)
-    table = F.from_json(F.lit(json.dumps(ratios.tolist())), "array<bigint>")
-    mean = F.expr(f"aggregate(h, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
-    pairs = F.expr(f"aggregate(h2, 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))")
-    lines = F.expr(r"filter(split(coalesce(text, ''), '\n'), x -> length(translate(x, ' \t\u000b\u000c\r', '')) > 0)")
+    ratios = log_ratios(docs, labels, buckets, prior, steady).scalar()
+    text = F.coalesce("text", F.lit(""))
     each = (
-        features(docs, *carry)
-        .withColumn("ratios", table)
-        .withColumn("tri", shingles("h", 3))
-        .withColumn("sorted", F.expr("sort_array(transform(tri, (x, i) -> (x & ~(shiftleft(1L, cast(ceil(log2(size(tri) + 1)) as int)) - 1)) | i))"))
-        .withColumn("lines", lines)
+        pick(docs, *dict.fromkeys(("doc_id", "text", *carry)))
+        .withColumn("w", words("text"))
+        .withColumn("h", hashes("w"))
+        .withColumn("h2", longer("h", "h", 2))
+        .withColumn("tri", longer("h2", "h", 3))
+        .withColumn("ratios", ratios)
+        .withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
         .select(
             "doc_id",
             *carry,
             F.size("w").cast("long").alias("n_words"),
-            F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-            (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             F.expr(_repeats("tri")).alias("n_repeat_words"),
-            (mean + pairs).alias("total"),
+            F.expr(f"aggregate(concat(h, h2), 0L, (a, x) -> a + get(ratios, cast(x & {buckets - 1} as int)))").alias("total"),
             (F.size("h") + F.size("h2")).alias("grams"),
         )
     )
