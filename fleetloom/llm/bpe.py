@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, pick
+from ._common import pick, shared_dir
 from .blocks import pack
-from .lexicon import Numbered, give_back, joined, kept_by_worker, numbered, parts_of, sent_words, sequences, words_sent
+from .lexicon import Numbered, give_back, joined, kept_by_worker, numbered, parts_of, sent_words, words_sent
 from .repeats import _ranges
 
 
@@ -86,19 +86,18 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         give_back()
         return pa.table({"part": rows["part"], "block": rows["block"], "digest": rows["digest"], "pack": pa.array(packs, pa.binary())})
 
-    def together(docs_: np.ndarray, sizes: np.ndarray, flat: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray) -> pa.Table:
+    def together(ids_: pa.Array, sizes: np.ndarray, flat: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray) -> pa.Table:
         length = np.concatenate([p[0] for p in packs])[order].astype(np.int64) if packs else np.zeros(0, np.int64)
         asked = np.concatenate([p[1] for p in packs]).astype(np.int32) if packs else np.zeros(0, np.int32)
         starts = np.concatenate([[0], np.cumsum(np.concatenate([p[0] for p in packs]), dtype=np.int64)])[order] if packs else length
         each = length[flat]
         ids = asked[_ranges(starts[flat], each)]
         ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
-        return pa.table({"doc_id": pa.array(docs_, mask=docs_ == NO_ID), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))})
+        return pa.table({"doc_id": ids_, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))})
 
-    docs = pick(docs, "doc_id", "text")
-    parts = parts_of(docs)
-    answers = words_sent(docs, pre_tokens, parts).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
-    return joined(sequences(docs, pre_tokens, parts), answers, together, "doc_id long, ids array<int>")
+    docs, folder = pick(docs, "doc_id", "text"), shared_dir(docs.sparkSession)
+    answers = words_sent(docs, pre_tokens, parts_of(docs), folder).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
+    return joined(answers, folder, together, "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 
 def opened(uri: str):
     """(file system, path) of a URI, or of a plain local path."""
@@ -10,8 +12,8 @@ def opened(uri: str):
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
-def put(folder: str, name: str, parts: list[bytes]) -> None:
-    """Writes a file so that it is there in whole or not at all; a task that runs again replaces it."""
+def put(folder: str, name: str, parts: Iterable[bytes]) -> None:
+    """Writes a file, part by part, so that it is there in whole or not at all; a task that runs again replaces it."""
     import uuid
 
     fs, base = opened(folder)
@@ -23,6 +25,19 @@ def put(folder: str, name: str, parts: list[bytes]) -> None:
     fs.move(own, f"{base}/{name}")
 
 
+def whole(folder: str, name: str) -> bytes:
+    """All bytes of a file."""
+    fs, base = opened(folder)
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return f.read()
+
+
+def remove(folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    fs, base = opened(folder)
+    fs.delete_dir(base)
+
+
 class Ranges:
     """Reads ranges of one file after the other."""
 

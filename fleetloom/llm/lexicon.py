@@ -1,11 +1,13 @@
 """Documents as sequences of numbered words, one small dictionary a block.
 
-The words of a block meet those of all others in a hash partition, packed: a word that a block holds a
-thousand times goes there once. The sequences stay packed by block, and what is found out about words
-comes back to them in the order in which it was asked.
-
-Both sides are made from the documents by themselves, and each block has a digest of its words. A
-source that deals its rows differently when read again is an error then, not a wrong result.
+Texts are cut to words once. What a block is goes to a file of its own in the shared folder: document
+ids, sequences of word numbers, and its words where they are asked for. Its distinct words meet those
+of all other blocks in hash partitions, packed: a word that a block holds a thousand times goes there
+once. What is found out about words comes back to the block, which is read again from its file.
+
+A file has the number of its block and a digest of what is in it as its name, and the digest travels
+with the words. A task that runs again writes the same file; one that is dealt other rows another
+time writes another, and the words it sends lead there.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, cut, pick, utf8
+from ._common import cut, pick, utf8
 from .blocks import pack, unpack
+from .files import put, whole
 
 BLOCK_BYTES, PART_BYTES = 3 << 20, 8 << 20
 
@@ -56,13 +59,13 @@ class Numbered(dict):
 
 @dataclass
 class Lexed:
-    """ids: of documents. sizes: their numbers of words. flat: the words' numbers. words: by number, frequent ones first."""
+    """ids: of documents, null ones 0. null: whether they are. sizes: their numbers of words. flat: the words' numbers. words: by number, frequent ones first."""
 
     ids: np.ndarray
+    null: np.ndarray
     sizes: np.ndarray
     flat: np.ndarray
     words: list[bytes]
-    digest: int
 
     def parts(self, n: int) -> np.ndarray:
         """The hash partition of each word."""
@@ -76,85 +79,97 @@ def numbered(texts: list[list]) -> tuple[list[np.ndarray], dict]:
     return [np.fromiter(map(known.__getitem__, t), np.uint32, len(t)) for t in texts], known
 
 
-def _blocks(docs: DataFrame, lexer: Callable, make: Callable[[int, Lexed], dict[str, list]], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in cut([batch], "text", BLOCK_BYTES):
-                ids = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                each, words = lexer(utf8(part.column(1)))
-                sizes, flat = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
-                del each
-                order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-                rank = np.empty(len(words), np.uint32)
-                rank[order] = np.arange(len(words), dtype=np.uint32)
-                words = [words[i] for i in order.tolist()]
-                flat = rank[flat]
-                digest = xxhash.xxh64_intdigest(b"".join([ids.tobytes(), sizes.tobytes(), flat.tobytes()])) >> 1
-                made = pa.RecordBatch.from_pydict(make(block, Lexed(ids, sizes, flat, words, digest)))
-                del sizes, flat, words
-                give_back()
-                yield made
-                block += 1
+def lexed(texts: list[bytes], column: pa.Array, lexer: Callable) -> Lexed:
+    """Documents with the ids of a column as one block."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    ids = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    each, words = lexer(texts)
+    sizes, flat = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    return Lexed(ids, null, sizes, rank[flat], [words[i] for i in order.tolist()])
+
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+def few(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below n in as few bytes as they need."""
+    return x.astype(np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32)
 
 
-def words_sent(docs: DataFrame, lexer: Callable, parts: int, weigh: Callable[[Lexed], np.ndarray] | None = None) -> DataFrame:
-    """(part, block, digest, pack): the distinct words of each block for each hash partition, with their weights."""
+def words_sent(docs: DataFrame, lexer: Callable, parts: int, folder: str, weigh: Callable[[Lexed], np.ndarray] | None = None, keep: bool = False) -> DataFrame:
+    """(part, block, digest, pack): the distinct words of each block for each hash partition, with their weights.
 
-    def make(block: int, found: Lexed) -> dict:
-        of = found.parts(parts)
-        weights = weigh(found) if weigh else np.zeros(0, np.uint32)
+    Each block is in a file in folder, with its words if they are to keep. A block without words sends
+    an empty pack, so each one is heard of.
+    """
+
+    def send(block: int, found: Lexed) -> pa.RecordBatch:
+        of, weights = found.parts(parts), weigh(found) if weigh else np.zeros(0, np.uint32)
+        lengths, data = np.fromiter(map(len, found.words), np.uint32, len(found.words)), np.frombuffer(b"".join(found.words), np.uint8)
+        mine = [found.ids, found.null, found.sizes.astype(np.uint32), few(found.flat, len(found.words)), few(of, parts)]
+        digest = xxhash.xxh64_intdigest(b"".join([*(x.tobytes() for x in mine), lengths.tobytes(), data.tobytes()])) >> 1
+        put(folder, _name(block, digest), [pack(*mine, *([lengths, data] if keep else []))])
         order = np.argsort(of, kind="stable")
         cuts = np.flatnonzero(np.diff(of[order], prepend=-1)) if len(of) else np.zeros(0, np.int64)
         packs = []
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            mine = order[a:b]
-            words = [found.words[i] for i in mine.tolist()]
-            packs.append(pack(np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8), weights[mine] if weigh else weights))
+            to = order[a:b]
+            packs.append(pack(lengths[to], np.frombuffer(b"".join([found.words[i] for i in to.tolist()]), np.uint8), weights[to] if weigh else weights))
+        to = of[order[cuts]].astype(np.int32)
+        if not packs:
+            packs, to = [pack(lengths, data, weights)], np.zeros(1, np.int32)
         n = len(packs)
-        return {"part": pa.array(of[order[cuts]].astype(np.int32)), "block": pa.array([block] * n, pa.int64()), "digest": pa.array([found.digest] * n, pa.int64()), "pack": pa.array(packs, pa.binary())}
+        return pa.RecordBatch.from_pydict({"part": pa.array(to), "block": pa.array([block] * n, pa.int64()), "digest": pa.array([digest] * n, pa.int64()), "pack": pa.array(packs, pa.binary())})
 
-    return _blocks(docs, lexer, make, "part int, block long, digest long, pack binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in cut([batch], "text", BLOCK_BYTES):
+                made = send(block, lexed(utf8(part.column(1)), part.column(0), lexer))
+                give_back()
+                yield made
+                block += 1
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, "part int, block long, digest long, pack binary")
+
+
+def _name(block: int, digest: int) -> str:
+    return f"{block:016x}-{digest:016x}.block"
 
 
 def sent_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
     sizes, data, weights = unpack(packed)
-    raw, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64)
-    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], weights
+    return cut_up(sizes, data), weights
 
 
-def sequences(docs: DataFrame, lexer: Callable, parts: int, know: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
-    """(block, digest, pack): each block's documents as sequences, the hash partitions of its words, and what is known of them already."""
+def cut_up(sizes: np.ndarray, data: np.ndarray) -> list[bytes]:
+    """Words that lie one after the other."""
+    raw, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64)
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
-    def make(block: int, found: Lexed) -> dict:
-        few = (lambda x, n: x.astype(np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32))
-        packed = pack(found.ids, found.sizes.astype(np.uint32), few(found.flat, len(found.words)), few(found.parts(parts), parts), *([know(found.words)] if know else []))
-        return {"block": pa.array([block], pa.int64()), "digest": pa.array([found.digest], pa.int64()), "pack": pa.array([packed], pa.binary())}
 
-    return _blocks(docs, lexer, make, "block long, digest long, pack binary")
+def held(folder: str, block: int, digest: int) -> list[np.ndarray]:
+    """What the file of a block has: ids, null, sizes, flat, the words' hash partitions, and words as lengths and bytes if kept."""
+    return unpack(whole(folder, _name(block, digest)))
 
 
-def joined(seqs: DataFrame, answers: DataFrame, finish: Callable[..., pa.Table], schema: str) -> DataFrame:
-    """What finish(ids, sizes, flat, answers, order, *known) makes of each block.
+def joined(answers: DataFrame, folder: str, finish: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """What finish(doc ids, sizes, flat, answers, order, *words) makes of each block.
 
     answers (part, block, digest, pack): the arrays of each hash partition, in ascending order of
     partitions; word i of a block is number order[i] in them, taken one after the other.
     """
 
-    def run(key: tuple[pa.Scalar], mine: pa.Table, told: pa.Table) -> pa.Table:
-        if mine.num_rows != 1 or any(d != mine["digest"][0].as_py() for d in told["digest"].to_pylist()):
-            raise RuntimeError("the documents came in another order when they were read again; write them to a table first")
-        ids, sizes, flat, of, *known = unpack(mine["pack"][0].as_py())
+    def run(key: tuple[pa.Scalar, ...], told: pa.Table) -> pa.Table:
+        ids, null, sizes, flat, of, *words = held(folder, key[0].as_py(), key[1].as_py())
         order = np.empty(len(of), np.int64)
         order[np.argsort(of, kind="stable")] = np.arange(len(of))
         packs = [unpack(x) for _, x in sorted(zip(told["part"].to_pylist(), told["pack"].to_pylist(), strict=True))]
-        made = finish(ids, sizes.astype(np.int64), flat, packs, order, *known)
+        made = finish(pa.array(ids, mask=null), sizes.astype(np.int64), flat, packs, order, *words)
         give_back()
         return made
 
-    return seqs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return answers.groupBy("block", "digest").applyInArrow(run, schema)
 
 
 def parts_of(docs: DataFrame) -> int:

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, pick, utf8, written
+from ._common import pick, shared_dir, written
 from .gru import Shape, Trainer, flat, scores, start, unflat
 from .blocks import pack
-from .lexicon import Lexed, Numbered, joined, numbered, parts_of, sent_words, sequences, words_sent
+from .lexicon import Lexed, Numbered, cut_up, give_back, held, joined, numbered, parts_of, sent_words, words_sent
 
 #: The end of a document as a word. No word of a text is empty.
 END = b""
@@ -25,23 +25,27 @@ def lower_words(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
     return each, list(known)
 
 
-def held_out(doc_id: int) -> bool:
-    return doc_id != NO_ID and zlib.crc32(b"%d" % doc_id) % 5 == 1
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(b"%d" % doc_id) % 5 == 1
+
+
+def _kept_out(ids: pa.Array) -> np.ndarray:
+    return np.fromiter(map(held_out, ids.to_pylist()), bool, len(ids))
 
 
 def tail_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
-def word_counts(docs: DataFrame, parts: int, heads: int, tails: int) -> DataFrame:
-    """What the training documents hold of each word, written once. Rows of three kinds:
+def word_counts(docs: DataFrame, parts: int, heads: int, tails: int, folder: str) -> DataFrame:
+    """What the training documents hold of each word, written once, and all documents as blocks in folder. Rows of three kinds:
 
     answers to blocks (part, block, digest, pack): the counts of their words; the `heads` most frequent
     words of a hash partition (word, n); words and counts of tail classes in it (tail, n, v).
     """
 
     def weigh(found: Lexed) -> np.ndarray:
-        mine = np.fromiter((not held_out(i) for i in found.ids.tolist()), bool, len(found.ids))
+        mine = ~_kept_out(pa.array(found.ids, mask=found.null))
         return np.bincount(found.flat[np.repeat(mine, found.sizes)], minlength=len(found.words)).astype(np.uint32)
 
     def count(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
@@ -78,34 +82,37 @@ def word_counts(docs: DataFrame, parts: int, heads: int, tails: int) -> DataFram
             }
         )
 
-    sent = words_sent(docs, lower_words, parts, weigh)
+    sent = words_sent(docs, lower_words, parts, folder, weigh, keep=True)
     return written(sent.groupBy("part").applyInArrow(count, "part int, block long, digest long, pack binary, word binary, tail int, n long, v long"))
 
 
-def train(docs: DataFrame, heads: dict[bytes, int], shape: Shape, params: dict[str, np.ndarray], rounds: int, rate: float) -> dict[str, np.ndarray]:
-    """The model after `rounds` passes, each over another part of the training documents.
+def train(blocks: DataFrame, folder: str, heads: dict[bytes, int], shape: Shape, params: dict[str, np.ndarray], rounds: int, rate: float) -> dict[str, np.ndarray]:
+    """The model after `rounds` passes, each over other blocks (block, digest) of documents.
 
-    In a round every task learns from its documents from the model of the round before, by truncated
-    backpropagation; models are averaged by the numbers of tokens they saw, in two steps, so that no
-    task and not the driver sees more than 64 models. All training documents are learned from once.
+    In a round every task learns from the training documents of its blocks from the model of the round
+    before, by truncated backpropagation; models are averaged by the numbers of tokens they saw, in two
+    steps, so that no task and not the driver sees more than 64 models. All training documents are
+    learned from once.
     """
-    ids = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    learn = docs.where(F.col("doc_id").isNull() | (ids % 5 != 1))
-    fan = 64
+    fan, most = 64, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for r in range(rounds):
         values = flat(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lex = _Heads(heads, shape)
-            trainer, seen, held, size = Trainer(unflat(shape, values), shape, rate), 0, [], 0  # noqa: B023
+            trainer, seen, texts, size = Trainer(unflat(shape, values), shape, rate), 0, [], 0  # noqa: B023
             for batch in batches:
-                for text in utf8(batch.column(0)):
-                    held.append(lex(text))
-                    size += len(held[-1])
+                for block, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids, null, sizes, numbers, _, lengths, data = held(folder, block, digest)
+                    rows = _rows(heads, shape, cut_up(lengths, data)).astype(np.int64)[numbers]
+                    each = np.split(rows, np.cumsum(sizes, dtype=np.int64)[:-1])
+                    out = _kept_out(pa.array(ids, mask=null)).tolist()
+                    texts += [t for t, o in zip(each, out, strict=True) if not o]
+                    size += len(rows)
                     if size > 2_000_000:
-                        seen += trainer.run(held)
-                        held, size = [], 0
-            seen += trainer.run(held)
+                        seen += trainer.run(texts)
+                        texts, size = [], 0
+            seen += trainer.run(texts)
+            give_back()
             if seen:
                 yield pa.RecordBatch.from_pydict({"seen": pa.array([float(seen)]), "model": pa.array([(flat(trainer.p).astype(np.float64) * seen).astype(np.float64).tobytes()], pa.binary())})
 
@@ -117,8 +124,11 @@ def train(docs: DataFrame, heads: dict[bytes, int], shape: Shape, params: dict[s
                     total = np.frombuffer(m) + (0 if total is None else total)
             yield pa.RecordBatch.from_pydict({"seen": pa.array([seen]), "model": pa.array([total.tobytes()], pa.binary())})
 
-        mine = learn.where(F.floor(ids / 5) % rounds == r).select("text")
-        models = mine.mapInArrow(run, "seen double, model binary").withColumn("g", F.spark_partition_id() % fan)
+        mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r)
+        n = mine.count()
+        if not n:
+            continue
+        models = mine.repartition(min(most, -(-n // 3))).mapInArrow(run, "seen double, model binary").withColumn("g", F.spark_partition_id() % fan)
         sums = models.groupBy("g").applyInArrow(add, "seen double, model binary").collect()
         if sums:
             values = sum(np.frombuffer(x.model) for x in sums) / sum(x.seen for x in sums)
@@ -126,25 +136,10 @@ def train(docs: DataFrame, heads: dict[bytes, int], shape: Shape, params: dict[s
     return params
 
 
-class _Heads(dict):
+def _rows(heads: dict[bytes, int], shape: Shape, words: list[bytes]) -> np.ndarray:
     """Input rows of words: head words have one each, others that of their tail class."""
-
-    most = 500_000
-
-    def __init__(self, heads: dict[bytes, int], shape: Shape):
-        super().__init__(heads)
-        self.heads, self.shape = heads, shape
-
-    def __missing__(self, word: bytes) -> int:
-        n = self.shape.head + tail_class(word, self.shape.tail_classes)
-        if len(self) < self.most:
-            self[word] = n
-        return n
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    found = (heads.get(w, -1) for w in words)
+    return np.fromiter((r if r >= 0 else shape.head + tail_class(w, shape.tail_classes) for r, w in zip(found, words, strict=True)), np.uint16, len(words))
 
 
 def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float = 0.01) -> DataFrame:  # noqa: B008
@@ -163,9 +158,8 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
     Null text: as empty, its only token the end. Null doc_id: kept, never held out. Repeated rows stay
     rows and count again. No documents: no rows.
     """
-    docs = pick(docs, "doc_id", "text")
-    parts = parts_of(docs)
-    counts = word_counts(docs, parts, shape.head, shape.tail_classes)
+    docs, folder = pick(docs, "doc_id", "text"), shared_dir(docs.sparkSession)
+    counts = word_counts(docs, parts_of(docs), shape.head, shape.tail_classes, folder)
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(shape.head).collect()
     heads = {bytes(x.word): i for i, x in enumerate(top)}
     head_counts = np.zeros(shape.head)
@@ -178,11 +172,14 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
         tail_n[tail_class(word, shape.tail_classes)] -= head_counts[i]
         tail_v[tail_class(word, shape.tail_classes)] -= 1
     class_counts = np.concatenate([head_counts.reshape(shape.head_classes, -1).sum(axis=1), tail_n])
-    params = train(docs, heads, shape, start(shape, class_counts, head_counts), rounds, rate)
+    answers = counts.where("block is not null").select("part", "block", "digest", "pack")
+    blocks = written(answers.select("block", "digest").distinct())
+    params = train(blocks, folder, heads, shape, start(shape, class_counts, head_counts), rounds, rate)
     values = flat(params)
 
-    def finish(ids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray, row: np.ndarray) -> pa.Table:
-        c, row = np.concatenate([p[0] for p in packs])[order].astype(np.float64), row.astype(np.int64)
+    def finish(ids: pa.Array, sizes: np.ndarray, numbers: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> pa.Table:
+        row = _rows(heads, shape, cut_up(lengths, data)).astype(np.int64)
+        c = np.concatenate([p[0] for p in packs])[order].astype(np.float64)
         tail = np.maximum(row - shape.head, 0)
         within = np.where(row < shape.head, 0.0, np.log((c + 0.5) / (tail_n[tail] + 0.5 * (tail_v[tail] + 1))))
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -191,8 +188,8 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
         total = model + np.add.reduceat(within[numbers], starts)
         return pa.table(
             {
-                "doc_id": pa.array(ids, mask=ids == NO_ID),
-                "held_out": pa.array([held_out(i) for i in ids.tolist()]),
+                "doc_id": ids,
+                "held_out": pa.array(_kept_out(ids)),
                 "n_tokens": pa.array(sizes, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64)[numbers], starts)),
                 "train_tokens": pa.array(np.full(len(ids), n, np.int64)),
@@ -201,11 +198,7 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
             }
         )
 
-    def know(words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(_Heads(heads, shape).__getitem__, words), np.uint16, len(words))
-
-    answers = counts.where("block is not null").select("part", "block", "digest", "pack")
-    return joined(sequences(docs, lower_words, parts, know), answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(answers, folder, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark, sf_dir):
