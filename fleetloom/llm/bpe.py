@@ -8,10 +8,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, shared_dir
+from ._common import pick, shared_dir, written
 from .blocks import pack
 from .lexicon import Numbered, give_back, joined, kept_by_worker, numbered, parts_of, sent_words, words_sent
 from .repeats import _ranges
@@ -100,36 +100,25 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return joined(answers, folder, together, "doc_id long, ids array<int>")
 
 
+def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """(tokens): the token-byte table as one row, the bytes of token i as hex digits at place i. The vocabulary bounds it."""
+    ranks = read_ranks(ranks_path)
+    out: list[str | None] = [None] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token.hex()
+    return written(spark.createDataFrame([(out,)], "tokens array<string>").coalesce(1))
+
+
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """tokens(doc_id, ids) with the bytes they stand for: (doc_id, ids, data).
 
-    Each id is joined to the token-byte table, whose size the vocabulary bounds. Null ids: no bytes.
-    An id that the table doesn't have is an error.
+    Each id is looked up in the token-byte table, which every task has. Null ids: no bytes. An id that
+    the table doesn't have is an error.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def load() -> pa.Array:
-            ranks = read_ranks(ranks_path)
-            out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-            for token, i in ranks.items():
-                out[i] = token
-            return pa.array(out, pa.large_binary())
-
-        table = kept_by_worker(("bytes", ranks_path), load)
-        for batch in batches:
-            # A piece at a time: its tokens are some thousand times the rows.
-            for piece in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                lists = piece.column(1)
-                sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-                taken = table.take(lists.flatten())
-                if taken.null_count:
-                    raise ValueError("an id without a token")
-                _, offsets, data = taken.buffers()
-                at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(sizes)])].tolist() if len(taken) else [0] * (len(sizes) + 1)
-                data = memoryview(data or b"")
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists, pa.array([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "ids", "data"])
-
-    return pick(tokens, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
+    table = token_bytes(tokens.sparkSession, ranks_path).scalar()
+    known = F.expr("transform(ids, i -> coalesce(get(tokens, i), raise_error('an id without a token')))")
+    rows = pick(tokens, "doc_id", "ids").withColumn("tokens", table).withColumn("hex", F.coalesce(F.array_join(known, ""), F.lit("")))
+    return rows.select("doc_id", "ids", F.unhex("hex").alias("data"))
 
 
 def op5_byte_bpe(spark, sf_dir):
