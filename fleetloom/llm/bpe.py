@@ -96,8 +96,9 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return pa.table({"doc_id": ids_, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))})
 
     docs, folder = pick(docs, "doc_id", "text"), shared_dir(docs.sparkSession)
-    answers = words_sent(docs, pre_tokens, parts_of(docs), folder).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
-    return joined(answers, folder, together, "doc_id long, ids array<int>")
+    parts = parts_of(docs)
+    answers = words_sent(docs, pre_tokens, parts, folder).groupBy("part").applyInArrow(encode, "part int, block long, digest long, pack binary")
+    return joined(answers, folder, parts, together, "doc_id long, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:

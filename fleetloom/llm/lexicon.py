@@ -153,7 +153,13 @@ def held(folder: str, block: int, digest: int) -> list[np.ndarray]:
     return unpack(whole(folder, _name(block, digest)))
 
 
-def joined(answers: DataFrame, folder: str, finish: Callable[..., pa.Table], schema: str) -> DataFrame:
+def by_block(answers: DataFrame, parts: int):
+    """answers grouped by block, in as many tasks as the blocks' files need: they are larger than what is shuffled."""
+    n = max(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // 8))
+    return answers.repartition(n, "block", "digest").groupBy("block", "digest")
+
+
+def joined(answers: DataFrame, folder: str, parts: int, finish: Callable[..., pa.Table], schema: str) -> DataFrame:
     """What finish(doc ids, sizes, flat, answers, order, *words) makes of each block.
 
     answers (part, block, digest, pack): the arrays of each hash partition, in ascending order of
@@ -169,7 +175,7 @@ def joined(answers: DataFrame, folder: str, finish: Callable[..., pa.Table], sch
         give_back()
         return made
 
-    return answers.groupBy("block", "digest").applyInArrow(run, schema)
+    return by_block(answers, parts).applyInArrow(run, schema)
 
 
 def parts_of(docs: DataFrame) -> int:

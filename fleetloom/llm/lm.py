@@ -159,7 +159,8 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
     rows and count again. No documents: no rows.
     """
     docs, folder = pick(docs, "doc_id", "text"), shared_dir(docs.sparkSession)
-    counts = word_counts(docs, parts_of(docs), shape.head, shape.tail_classes, folder)
+    parts = parts_of(docs)
+    counts = word_counts(docs, parts, shape.head, shape.tail_classes, folder)
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(shape.head).collect()
     heads = {bytes(x.word): i for i, x in enumerate(top)}
     head_counts = np.zeros(shape.head)
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
             }
         )
 
-    return joined(answers, folder, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(answers, folder, parts, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark, sf_dir):
