@@ -1,6 +1,8 @@
-"""Constants of the movement model, and the algorithms by name."""
+"""Constants of the movement model."""
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -20,5 +22,14 @@ class Config:
     epsilon: float = 2.220446049250313e-16
 
 
+    @classmethod
+    def of(cls, values: dict[str, str]) -> Config:
+        """Settings as text.read_config() gives them; unknown keys are an error."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        if odd := set(values) - set(kinds):
+            raise ValueError(f"no such settings: {sorted(odd)}")
+        return cls(**{k: kinds[k](float(v)) if kinds[k] is int else kinds[k](v) for k, v in values.items()})
+
+
 DEFAULT = Config()
 EPOCH_SHIFT = 86_400

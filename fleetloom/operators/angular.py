@@ -54,4 +54,4 @@ def angular_compress(curves: DataFrame, error: float, by_time: bool) -> DataFram
         keep = sorted(set(thinned(list(zip(rows["dist"].astype(float), rows["time"].astype(float), strict=True)), error, by_time)))
         return rows.iloc[keep][["obj", "id", "dist", "time"]]
 
-    return fold_by_object(curves, kernel, "obj long, id int, dist double, time double")
+    return fold_by_object(curves, kernel, "id int, dist double, time double")

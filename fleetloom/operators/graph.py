@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import settled
+
 #: Edges that go to executors as arrays, 16 bytes each; larger maps relax by joins.
 MOST_LOCAL_EDGES = 20_000_000
 
@@ -24,7 +26,7 @@ def adjacency(segments: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """(src, node, hops): what each source reaches in at most k steps, itself included."""
     seen = front = sources.select("src", F.col("src").alias("node"), F.lit(0).alias("hops")).distinct()
-    step = edges.select(F.col("src").alias("node"), F.col("dst")).persist()
+    step = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
     for i in range(1, k + 1):
         ahead = front.join(step, "node").select("src", F.col("dst").alias("node")).distinct()
         front = ahead.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("hops", F.lit(i))
@@ -32,14 +34,22 @@ def hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def dijkstra(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, source: int, bound: float) -> tuple[dict[int, float], dict[int, int]]:
-    """Distances up to bound and predecessors; of equal ways the one over the smaller predecessor."""
+def dijkstra(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, source: int, bound: float, targets: set[int] | None = None) -> tuple[dict[int, float], dict[int, int]]:
+    """Distances up to bound and predecessors; of equal ways the one over the smaller predecessor.
+
+    targets: the search ends when all of them are reached; only what it has reached then is final.
+    """
     dist, pred, done, queue = {source: 0.0}, {}, set(), [(0.0, source)]
+    left = set(targets) if targets is not None else None
     while queue:
         d, u = heapq.heappop(queue)
         if u in done:
             continue
         done.add(u)
+        if left is not None:
+            left.discard(u)
+            if not left:
+                break
         for i in range(indptr[u], indptr[u + 1]):
             v, w = int(heads[i]), d + float(weights[i])
             if w > bound or v in done:
@@ -50,22 +60,34 @@ def dijkstra(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, source:
     return dist, pred
 
 
-def shortest_paths(edges: DataFrame, bound: float, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, d, pred) for every pair at most bound apart; a source itself has d 0 and no pred.
-
-    A map of up to MOST_LOCAL_EDGES goes to the executors as arrays, and sources are spread over
-    tasks. A larger one is relaxed by joins until nothing gets shorter.
-    """
-    spark = edges.sparkSession
-    if edges.limit(MOST_LOCAL_EDGES + 1).count() > MOST_LOCAL_EDGES:
-        return _relaxed(edges, bound, sources)
+def _shared_graph(edges: DataFrame):
+    """A map as arrays on all executors: node names, and each node's ways out. Its size is checked by the callers."""
     table = edges.select("src", "dst", "weight").toPandas()
     names = np.unique(np.concatenate([table["src"], table["dst"]])) if len(table) else np.zeros(0, np.int64)
     at = np.searchsorted(names, table["src"].to_numpy())
     order = np.argsort(at, kind="stable")
     indptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))]).astype(int)
     heads, weights = np.searchsorted(names, table["dst"].to_numpy())[order], table["weight"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((names, indptr, heads, weights))
+    return edges.sparkSession.sparkContext.broadcast((names, indptr, heads, weights))
+
+
+def _is_local(edges: DataFrame) -> bool:
+    return edges.limit(MOST_LOCAL_EDGES + 1).count() <= MOST_LOCAL_EDGES
+
+
+def shortest_paths(edges: DataFrame, bound: float, sources: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """(src, dst, d, pred) for every pair at most bound apart; a source itself has d 0 and no pred.
+
+    strict: pairs less than bound apart, and no source itself. A map of up to MOST_LOCAL_EDGES goes to
+    the executors as arrays, and sources are spread over tasks. A larger one is relaxed by joins until
+    nothing changes.
+    """
+    spark = edges.sparkSession
+    if strict:
+        return shortest_paths(edges, bound, sources).where((F.col("d") < bound) & (F.col("src") != F.col("dst")))
+    if not _is_local(edges):
+        return _relaxed(edges, bound, sources)
+    shared = _shared_graph(edges)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, indptr, heads, weights = shared.value
@@ -85,43 +107,84 @@ def shortest_paths(edges: DataFrame, bound: float, sources: DataFrame | None = N
     return sources.select(F.col("src").cast("long")).repartition(n).mapInPandas(run, "src long, dst long, d double, pred long")
 
 
+def routes(edges: DataFrame, pairs: DataFrame, bound: float = float("inf")) -> DataFrame:
+    """(src, dst, d, via) of the pairs(src, dst) that are asked for: searches from a source end when its targets are reached.
+
+    via has the segments between, both ends left out. No way within bound: no row. A map of more than
+    MOST_LOCAL_EDGES is relaxed by joins from the sources instead.
+    """
+    asked = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
+    if not _is_local(edges):
+        known = path_table(_relaxed(edges, bound, asked.select("src").distinct())).select("src", "dst", "d", F.col("via").cast("array<bigint>").alias("via"))
+        return known.join(asked, ["src", "dst"])
+    shared = _shared_graph(edges)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names, indptr, heads, weights = shared.value
+        place = {int(x): int(i) for x, i in zip(part["dst"], np.searchsorted(names, part["dst"]), strict=True) if i < len(names) and names[i] == x}
+        src = int(part["src"].iloc[0])
+        i = int(np.searchsorted(names, src))
+        if i == len(names) or names[i] != src:
+            return pd.DataFrame({"src": [], "dst": [], "d": [], "via": []})
+        dist, pred = dijkstra(indptr, heads, weights, i, bound, set(place.values()))
+        rows = []
+        for dst, j in place.items():
+            if j in dist:
+                via, at = [], j
+                while pred.get(at, i) != i:
+                    at = pred[at]
+                    via.append(int(names[at]))
+                rows.append((src, dst, dist[j], via[::-1]))
+        return pd.DataFrame(rows, columns=["src", "dst", "d", "via"])
+
+    return asked.groupBy("src").applyInPandas(run, "src long, dst long, d double, via array<bigint>")
+
+
 def _relaxed(edges: DataFrame, bound: float, sources: DataFrame | None) -> DataFrame:
+    """Shortest paths by joins, round by round, until no distance and no predecessor changes."""
     sources = sources if sources is not None else edges.select("src").union(edges.select("dst")).distinct()
-    best = sources.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred"))
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "weight")
-    sign = None
+    sources = sources.select(F.col("src").cast("long"))
+    best = sources.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("new"))
+    step = settled(edges.select(F.col("src").cast("long").alias("dst"), F.col("dst").cast("long").alias("to"), "weight"))
     while True:
-        ahead = best.join(step, "dst").select("src", F.col("to").alias("dst"), (F.col("d") + F.col("weight")).alias("d"), F.col("dst").cast("long").alias("pred")).where(F.col("d") <= bound)
-        best = best.unionByName(ahead).groupBy("src", "dst").agg(F.min(F.struct("d", "pred")).alias("b")).select("src", "dst", "b.d", "b.pred").checkpoint()
-        now = best.agg(F.count("*"), F.sum("d")).first()
-        if now == sign:
-            return best
-        sign = now
+        # Only what changed in the round before can shorten anything now.
+        ahead = best.where("new").join(step, "dst").select("src", F.col("to").alias("dst"), (F.col("d") + F.col("weight")).alias("d"), F.col("dst").alias("pred")).where(F.col("d") <= bound)
+        both = best.select("src", "dst", "d", "pred", F.lit(True).alias("old")).unionByName(ahead.withColumn("old", F.lit(False)))
+        way = F.struct("d", "pred")
+        found = both.groupBy("src", "dst").agg(F.min(way).alias("b"), F.min(F.when(F.col("old"), way)).alias("o"))
+        changed = F.col("o").isNull() | (F.col("o.d") != F.col("b.d")) | ~F.col("o.pred").eqNullSafe(F.col("b.pred"))
+        best = settled(found.select("src", "dst", "b.d", "b.pred", changed.alias("new")))
+        if best.where("new").isEmpty():
+            return best.drop("new")
 
 
 def path_table(paths: DataFrame) -> DataFrame:
     """(src, dst, via, path_length, d): the segments between, both ends left out, and their length.
 
-    All paths are walked back at once until none is open; none has more hops than there are nodes.
+    All paths from a source are walked together, the nearest ends first, each from that of its
+    predecessor. What one source reaches is bounded by the bound of paths.
     """
-    durable = paths.sparkSession.sparkContext.getCheckpointDir()
-    paths = paths.persist()
-    walk = paths.where("pred is not null").select("src", "dst", "d", F.col("pred").alias("at"), F.array().cast("array<int>").alias("via"))
-    done, back = None, paths.select(F.col("src").alias("s"), F.col("dst").alias("at"), F.col("pred").alias("p"), F.col("d").alias("d_at"))
-    first = back.where("p = s").select(F.col("s").alias("src"), F.col("at").alias("first"), F.col("d_at").alias("own"))
-    for i in range(paths.select("dst").distinct().count()):
-        there = walk.where("at = src").select("src", "dst", "via", "d")
-        done = there if done is None else done.unionByName(there)
-        walk = walk.where("at <> src").withColumn("via", F.concat(F.array(F.col("at").cast("int")), F.col("via")))
-        if walk.isEmpty():
-            break
-        walk = walk.join(back, (F.col("src") == F.col("s")) & (walk["at"] == back["at"])).select("src", "dst", "d", F.col("p").alias("at"), "via")
-        if i % 8 == 7:
-            walk, done = (x.checkpoint() if durable else x.localCheckpoint() for x in (walk, done))
-    if done is None:
-        done = walk.select("src", "dst", "via", "d")
-    lengths = first.groupBy("src").agg(F.min("own").alias("own"))
-    return done.join(lengths, "src").select("src", "dst", "via", (F.col("d") - F.col("own")).alias("path_length"), "d")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        src, via, rows = int(part["src"].iloc[0]), {}, []
+        part = part[part["pred"].notna()].sort_values(["d", "dst"], kind="stable")
+        own = float(part.loc[part["pred"] == src, "d"].min())
+        open_ = [(int(t), float(d), int(p)) for t, d, p in zip(part["dst"], part["d"], part["pred"], strict=True)]
+        while open_:  # once more only for predecessors as far away as their ends
+            later = []
+            for dst, d, p in open_:
+                if p == src or p in via:
+                    via[dst] = [] if p == src else [*via[p], p]
+                    rows.append((src, dst, via[dst], d - own, d))
+                else:
+                    later.append((dst, d, p))
+            if len(later) == len(open_):
+                raise ValueError(f"paths from {src} have a predecessor without a path")
+            open_ = later
+        return pd.DataFrame(rows, columns=["src", "dst", "via", "path_length", "d"])
+
+    known = paths.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("d").cast("double"), F.col("pred").cast("long"))
+    return known.groupBy("src").applyInPandas(run, "src long, dst long, via array<int>, path_length double, d double")
 
 
 def point_distance(pairs: DataFrame, paths: DataFrame, segments: DataFrame) -> DataFrame:
@@ -136,12 +199,12 @@ def point_distance(pairs: DataFrame, paths: DataFrame, segments: DataFrame) -> D
 
 def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:
     """(node, rank) after so many rounds from equal ranks; what ends have goes to all alike."""
-    links = edges.select("src", "dst").distinct().persist()
+    links = settled(edges.select("src", "dst").distinct())
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     n = nodes.count()
     out = links.groupBy("src").agg(F.count("*").alias("deg"))
     shares = links.join(out, "src")
-    stuck = nodes.join(out, nodes.node == out.src, "left_anti").persist()
+    stuck = nodes.join(out, nodes.node == out.src, "left_anti")
     loose = stuck.count() > 0
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(iterations):
@@ -149,8 +212,8 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85) -> DataFr
         ends = ranks.join(stuck, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if loose else 0.0
         got = nodes.join(given, nodes.node == given.dst, "left")
         ranks = got.select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + ends / n)).alias("rank"))
-        if i % 8 == 7 and edges.sparkSession.sparkContext.getCheckpointDir():
-            ranks = ranks.checkpoint()
+        if i % 8 == 7:
+            ranks = settled(ranks)
     return ranks
 
 

@@ -6,26 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance_point_segment
+from .kernels import settled
 
 
-def as_of(rows: DataFrame, queries: DataFrame, on: str, tie: str) -> DataFrame:
+def as_of(rows: DataFrame, queries: DataFrame, on: str, tie: str, buckets: int = 16) -> DataFrame:
     """For each of queries(qid, obj, at) the row of its object with the largest `on` <= at, of equals the largest tie.
 
-    One shuffle by object: rows and queries go through one window, whose last row so far is the answer.
-    No such row: nulls.
+    Rows and queries go through one window by object and part of the range of `on`, whose last row so
+    far is the answer; an object with very many rows is dealt to `buckets` tasks. What a part's rows
+    leave open is the last row of the parts before, which one aggregate with partial results gives.
+    No such row, or a query without object or time: nulls.
     """
     names = [c for c in rows.columns if c != "obj"]
-    held = rows.select("obj", F.col(on).alias("_at"), F.lit(0).alias("_q"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast("long").alias("qid"), F.struct(*names).alias("_row"))
-    kind = held.schema["_row"].dataType
+    low, high = rows.agg(F.min(on).cast("double"), F.max(on).cast("double")).first()
+    part = lambda c: F.least(F.greatest(F.floor((c.cast("double") - (low or 0.0)) / max(((high or 0.0) - (low or 0.0)) / buckets, 1e-9)), F.lit(-1)), F.lit(buckets)).cast("int")
+    held = rows.where(F.col(on).isNotNull()).select("obj", F.col(on).alias("_at"), F.lit(0).alias("_q"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast("long").alias("qid"), F.struct(*names).alias("_row"))
+    kind, time = held.schema["_row"].dataType, held.schema["_at"].dataType
+    held = held.withColumn("_b", part(F.col("_at")))
     asked = queries.select("obj", F.col("at").alias("_at"), F.lit(1).alias("_q"), F.lit(0).cast("long").alias("_tie"), F.col("qid").cast("long"), F.lit(None).cast(kind).alias("_row"))
-    w = Window.partitionBy("obj").orderBy("_at", "_q", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = held.unionByName(asked).withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_q = 1")
-    return found.select("qid", "obj", F.col("_at").alias("at"), *[F.col(f"_row.{n}").alias(n) for n in names])
-
-
-def in_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of each of ranges(qid, obj, since, until), both ends included."""
-    return rows.join(ranges, "obj").where("time between since and until").drop("since", "until")
+    asked = asked.withColumn("_b", F.coalesce(part(F.col("_at")), F.lit(-1)))
+    # The last row of each part, carried to the later parts that hold queries.
+    last = held.groupBy("obj", "_b").agg(F.max(F.struct("_at", "_tie", "_row")).alias("_last"))
+    needed = asked.select("obj", "_b").distinct().withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))
+    carried = last.withColumn("_need", F.lit(False)).unionByName(needed.withColumn("_need", F.lit(True)))
+    # A part's own last row comes after its queries' carrier, so only earlier parts are before it.
+    by_part = Window.partitionBy("obj").orderBy("_b", F.col("_need").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.withColumn("_from", F.last("_last", ignorenulls=True).over(by_part)).where("_need and _from is not null")
+    carried = carried.select("obj", F.col("_from._at").alias("_at"), F.lit(0).alias("_q"), F.col("_from._tie").alias("_tie"), F.lit(None).cast("long").alias("qid"), F.col("_from._row").alias("_row"), "_b")
+    w = Window.partitionBy("obj", "_b").orderBy(F.col("_at").asc_nulls_first(), "_q", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = held.unionByName(carried).unionByName(asked).withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_q = 1")
+    return found.select("qid", "obj", F.col("_at").cast(queries.schema["at"].dataType).alias("at"), *[F.col(f"_row.{n}").alias(n) for n in names])
+
+
+def in_range(rows: DataFrame, ranges: DataFrame, on: str = "time") -> DataFrame:
+    """Rows of each of ranges(qid, obj, since, until), both ends included.
+
+    Rows and ranges meet by object and stretch of time, a stretch as long as an eighth of the longest
+    range, so no object's rows meet all of its ranges.
+    """
+    longest = ranges.agg(F.max(F.col("until").cast("double") - F.col("since").cast("double"))).first()[0] or 0.0
+    width = max(longest / 8, 1.0)
+    part = lambda c: F.floor(F.col(c).cast("double") / width)
+    dealt = ranges.where("since <= until").withColumn("_b", F.explode(F.sequence(part("since"), part("until"))))
+    return rows.withColumn("_b", part(on)).join(dealt, ["obj", "_b"]).where(F.col(on).between(F.col("since"), F.col("until"))).drop("_b", "since", "until")
 
 
 def objects_on_segment(rows: DataFrame, seg, since, until) -> DataFrame:
@@ -40,12 +63,18 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 def within_distance(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: (pid, seg, d).
 
-    Segments are listed under all grid cells that their box, wider by the radius, touches; a point has
-    one cell, so a pair meets once and nothing is compared outside its cell.
+    Segments are listed under the grid cells along their way, wider by the radius; a point has one cell,
+    so a pair meets once and nothing is compared outside its cell.
     """
     size = 2 * radius
     box = segments.withColumn("cx", F.explode(_cells(F.least("ax", "bx") - radius, F.greatest("ax", "bx") + radius, size)))
-    box = box.withColumn("cy", F.explode(_cells(F.least("ay", "by") - radius, F.greatest("ay", "by") + radius, size)))
+    # In a column of cells only the rows that the part of the segment near it reaches.
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    share = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / F.when(dx != 0, dx))), F.lit(0.0))
+    a, b = (F.col("ay") + share(x) * dy for x in (F.col("cx") * size - radius, (F.col("cx") + 1) * size + radius))
+    low = F.when(dx == 0, F.least("ay", "by")).otherwise(F.least(a, b))
+    high = F.when(dx == 0, F.greatest("ay", "by")).otherwise(F.greatest(a, b))
+    box = box.withColumn("cy", F.explode(_cells(low - radius, high + radius, size)))
     own = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     d = distance_point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     return own.join(box, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("pid", "seg", "d")
@@ -68,7 +97,7 @@ def nearest(points: DataFrame, segments: DataFrame, k: int, radius: float) -> Da
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "seg"))
     open_, done = points, []
     while True:
-        found = within_distance(open_, segments, radius).withColumn("rank", rank).where(F.col("rank") <= k).persist()
+        found = settled(within_distance(open_, segments, radius).withColumn("rank", rank).where(F.col("rank") <= k))
         full = found.withColumn("_n", F.count("*").over(Window.partitionBy("pid"))).where(F.col("_n") >= n).drop("_n")
         done.append(full)
         if radius > far:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.geometry import segment_probability, share_on_segment, std_distance, transition_probability
-from .graph import adjacency, path_table, shortest_paths
+from .graph import adjacency, routes, shortest_paths
 from .joins import nearest, within_distance
-from .sequence import dedup_runs, extend_paths
+from .kernels import object_type, settled
+from .sequence import along, expand_trajectories
 
 
 def candidates(points: DataFrame, segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -61,18 +62,20 @@ def viterbi(steps: list[list[int]], emission: list[list[float]], transition: lis
 def map_match(gps: DataFrame, segments: DataFrame, extend: bool = False, config: Config = DEFAULT, bound: float | None = None) -> DataFrame:
     """gps(obj, id, time, x, y) on segments(seg, p_begin, p_end, ax, ay, bx, by, length): (obj, id, seg, time, dist).
 
-    extend: fills in shortest paths between points and keeps the last row of each run of a segment.
+    extend: fills in shortest paths between neighbouring points and keeps the last row of each run of a
+    segment. bound: of the paths that are searched, as a length; None is that of config. Objects keep
+    the type of their ids.
     """
+    bound = config.path_bound if bound is None else bound
     points = gps.withColumn("pid", F.struct("obj", "id"))
     near = candidates(points.select("pid", "x", "y"), segments, config)
     found = near.join(points.select("pid", "time", "x", "y"), "pid").select("pid.obj", "pid.id", "seg", "p", "offset", "time", "x", "y")
-    # Read by three joins: with a checkpoint folder the candidates are made once.
-    found = found.checkpoint() if gps.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+    found = settled(found)  # read by three joins
     edges = adjacency(segments)
-    routes = shortest_paths(edges, bound if bound is not None else config.path_bound, found.select(F.col("seg").alias("src")).distinct())
+    routes_ = shortest_paths(edges, bound, found.select(F.col("seg").alias("src")).distinct())
     cur = found.select("obj", "id", F.col("seg").alias("s2"), F.col("offset").alias("o2"), F.col("time").alias("t2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     prev = found.select("obj", (F.col("id") + 1).alias("id"), F.col("seg").alias("s1"), F.col("offset").alias("o1"), F.col("time").alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    steps = prev.join(cur, ["obj", "id"]).join(routes.select(F.col("src").alias("s1"), F.col("dst").alias("s2"), "d"), ["s1", "s2"], "left")
+    steps = prev.join(cur, ["obj", "id"]).join(routes_.select(F.col("src").alias("s1"), F.col("dst").alias("s2"), "d"), ["s1", "s2"], "left")
     routed = F.when(F.col("s1") == F.col("s2"), F.abs(F.col("o2") - F.col("o1"))).otherwise(F.col("d") - F.col("o1") + F.col("o2"))
     straight = std_distance(F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"))
     p = transition_probability(straight, routed, F.col("t2") - F.col("t1"), config.beta, config.time_scale)
@@ -91,10 +94,11 @@ def map_match(gps: DataFrame, segments: DataFrame, extend: bool = False, config:
         rows = [by[i][by[i]["seg"] == s].iloc[0] for i, s in zip(ids, way, strict=True)]
         return pd.DataFrame({"obj": [r["obj"] for r in rows], "id": ids, "seg": way, "time": [r["time"] for r in rows], "dist": [r["offset"] for r in rows]})
 
-    matched = found.groupBy("obj").cogroup(ways.groupBy("o")).applyInPandas(run, "obj long, id int, seg int, time long, dist double")
+    matched = found.groupBy("obj").cogroup(ways.groupBy("o")).applyInPandas(run, f"obj {object_type(gps)}, id int, seg int, time long, dist double")
     if not extend:
         return matched
-    via = path_table(shortest_paths(edges, config.path_bound))
-    longer = extend_paths(matched, via, config.max_speed)
-    w = Window.partitionBy("obj").orderBy("id")
-    return dedup_runs(longer).withColumn("id", F.row_number().over(w) - 1)
+    matched = settled(matched)
+    ahead = matched.select(F.col("seg").alias("src"), F.lead("seg").over(along()).alias("dst")).where("dst is not null and src <> dst")
+    own = segments.select(F.col("seg").cast("long").alias("src"), F.col("length").alias("_own"))
+    ways = routes(edges, ahead, bound).join(own, "src").select("src", "dst", F.col("via").cast("array<int>").alias("via"), (F.col("d") - F.col("_own")).alias("path_length"))
+    return expand_trajectories(matched, ways, config.max_speed)

@@ -6,8 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import fold_by_object
-from .sequence import along
+from .kernels import fold_by_object, object_type
+from .sequence import along, delay_chunks
+
+#: Contexts or patterns that go to every task as a table, some hundred bytes each; a larger model is an error.
+MOST_LOCAL_ROWS = 5_000_000
+
+
+def _local(rows: DataFrame, what: str) -> pd.DataFrame:
+    """A model as a table for every task, after a look at its size."""
+    if rows.limit(MOST_LOCAL_ROWS + 1).count() > MOST_LOCAL_ROWS:
+        raise ValueError(f"over {MOST_LOCAL_ROWS} {what}: choose a smaller order or length, or a larger support")
+    return rows.toPandas()
 
 
 def grams(traj: DataFrame, n: int) -> DataFrame:
@@ -17,12 +27,20 @@ def grams(traj: DataFrame, n: int) -> DataFrame:
 
 
 def frequent(traj: DataFrame, longest: int, min_support: int) -> DataFrame:
-    """(pattern, freq, depth): contiguous subsequences of up to `longest`; single segments always, others from min_support on."""
-    parts = [grams(traj, n).groupBy("pattern").agg(F.count("*").alias("freq")).withColumn("depth", F.lit(n)) for n in range(1, longest + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.where(F.col("freq") >= min_support))
-    return out
+    """(pattern, freq, depth): contiguous subsequences of up to `longest`; single segments always, others from min_support on.
+
+    All lengths are counted in one pass: each row's segments ahead, then all their beginnings.
+    """
+    ahead = F.filter(F.array(*[F.lead("seg", i).over(along()) for i in range(longest)]), lambda x: x.isNotNull())
+    each = traj.select(ahead.alias("a")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("a")), lambda n: F.slice(F.col("a"), F.lit(1), n))).alias("pattern"))
+    counts = each.groupBy("pattern").agg(F.count("*").alias("freq")).withColumn("depth", F.size("pattern"))
+    return counts.where((F.col("depth") == 1) | (F.col("freq") >= min_support))
+
+
+def pattern_tree(patterns: DataFrame) -> DataFrame:
+    """(pattern, line): patterns below their beginnings, as lines of a tree with indents, in order of pattern."""
+    line = F.concat(F.repeat(F.lit("  "), F.size("pattern") - 1), F.element_at("pattern", -1).cast("string"), F.lit(" "), F.col("freq").cast("string"))
+    return patterns.select("pattern", line.alias("line")).orderBy("pattern")
 
 
 def patterns_with(patterns: DataFrame, last_only: bool = False) -> DataFrame:
@@ -46,14 +64,10 @@ def context_model(traj: DataFrame, order: int) -> DataFrame:
     Of equals the smallest segment: the first to get there, as a single reader would have it, is no
     property of the data.
     """
-    parts = []
-    for k in range(1, order + 1):
-        past = [F.lag("seg", i).over(along()) for i in range(k, 0, -1)]
-        rows = traj.select("obj", "id", F.col("seg").alias("next"), F.array(*past).alias("ctx"), past[0].alias("_p")).where("_p is not null")
-        parts.append(rows.groupBy("ctx", "next").agg(F.count("*").alias("freq")).withColumn("k", F.lit(k)))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
+    past = F.filter(F.array(*[F.lag("seg", i).over(along()) for i in range(order, 0, -1)]), lambda x: x.isNotNull())
+    rows = traj.select(F.col("seg").alias("next"), past.alias("past")).where(F.size("past") > 0)
+    each = rows.select("next", F.explode(F.transform(F.sequence(F.lit(1), F.size("past")), lambda k: F.slice(F.col("past"), -k, k))).alias("ctx"))
+    counts = each.groupBy("ctx", "next").agg(F.count("*").alias("freq")).withColumn("k", F.size("ctx"))
     best = F.max(F.struct("freq", (-F.col("next")).alias("m"))).alias("b")
     return counts.groupBy("ctx", "k").agg(best, F.sum("freq").alias("total")).select("ctx", "k", (-F.col("b.m")).alias("next"), F.col("b.freq").alias("freq"), "total")
 
@@ -98,32 +112,84 @@ def _predictor(model: pd.DataFrame, order: int, first: dict[int, int]):
     return run
 
 
-def context_decompress(kept: DataFrame, model: DataFrame, order: int, neighbours: DataFrame | None = None) -> DataFrame:
-    """(obj, id, seg): gaps in ids filled with what the model predicts. The model's contexts are bounded by the map and order, and go to the tasks."""
-    table = model.select("ctx", "next").toPandas()
+def decompressor(model: DataFrame, order: int, neighbours: DataFrame | None):
+    """A function of (ids, segments) of rows of one object in order: the ids from the first to the last, and all segments."""
+    table = _local(model.select("ctx", "next"), "contexts")
     first = {r.src: r.dst for r in neighbours.groupBy("src").agg(F.min("dst").alias("dst")).collect()} if neighbours is not None else {}
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        predict, history = _predictor(table, order, first), []
-        for i, seg in zip(rows["id"], rows["seg"], strict=True):
-            while len(history) < i:
+    def run(ids: list[int], segs: list[int]) -> tuple[list[int], list[int]]:
+        predict, history, begin = _predictor(table, order, first), [], ids[0]
+        for i, seg in zip(ids, segs, strict=True):
+            while begin + len(history) < i:
                 history.append(predict(history))
             history.append(int(seg))
-        return pd.DataFrame({"obj": rows["obj"].iloc[0], "id": range(len(history)), "seg": history})
+        return list(range(begin, begin + len(history))), history
+
+    return run
 
-    return fold_by_object(kept, kernel, "obj long, id int, seg int")
 
+def context_decompress(kept: DataFrame, model: DataFrame, order: int, neighbours: DataFrame | None = None) -> DataFrame:
+    """(obj, id, seg): gaps in ids filled with what the model predicts. The model goes to the tasks, after a look at its size."""
+    run = decompressor(model, order, neighbours)
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, segs = run(rows["id"].tolist(), rows["seg"].tolist())
+        return pd.DataFrame({"obj": rows["obj"].iloc[0], "id": ids, "seg": segs})
 
-def next_set(model: dict[tuple[int, ...], set[int]], history: list[int], order: int) -> set[int]:
-    """All next segments over all suffixes of a history."""
-    return set().union(*(model.get(tuple(history[-k:]), set()) for k in range(1, min(order, len(history)) + 1)))
+    return fold_by_object(kept, kernel, "id int, seg int")
 
 
-def count_paths(model: dict[tuple[int, ...], set[int]], history: list[int], hops: int, target: int, order: int) -> int:
-    """How many predicted paths of so many hops end at target."""
-    if not hops:
-        return int(bool(history) and history[-1] == target)
-    return sum(count_paths(model, [*history, n], hops - 1, target, order) for n in next_set(model, history, order))
+def _contexts(column: str, order: int):
+    """All endings of a history, of up to `order` segments."""
+    n = F.least(F.size(column), F.lit(order))
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(F.col(column), -k, k))
+
+
+def extend(traj: DataFrame, model: DataFrame, times: DataFrame, order: int, neighbours: DataFrame | None = None) -> DataFrame:
+    """traj with one more row an object: the segment that the model predicts, later by its mean time of times(seg, mu)."""
+    w = Window.partitionBy("obj").orderBy(F.desc("id"))
+    tail = traj.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= order)
+    ends = tail.groupBy("obj").agg(F.max("id").alias("id"), F.max_by("time", "id").alias("time"), F.transform(F.sort_array(F.collect_list(F.struct("id", "seg"))), lambda x: x["seg"]).alias("past"))
+    asked = ends.select("obj", F.explode(_contexts("past", order)).alias("ctx"))
+    found = asked.join(model.select("ctx", "k", "next"), "ctx").groupBy("obj").agg(F.max_by("next", "k").alias("next"))
+    rows = ends.join(found, "obj", "left")
+    fallback = F.lit(0)
+    if neighbours is not None:
+        first = neighbours.groupBy(F.col("src").alias("_src")).agg(F.min("dst").alias("_first"))
+        rows = rows.join(first, F.element_at("past", -1) == F.col("_src"), "left")
+        fallback = F.coalesce("_first", F.lit(0))
+    rows = rows.withColumn("seg", F.coalesce("next", fallback).cast("int")).join(times.select("seg", "mu"), "seg", "left")
+    more = rows.select("obj", (F.col("id") + 1).cast("int").alias("id"), "seg", (F.col("time") + F.col("mu")).cast("double").alias("time"))
+    return traj.select("obj", "id", "seg", F.col("time").cast("double").alias("time")).unionByName(more)
+
+
+def next_segments(asked: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(pid, next): all next segments that the model has for any ending of the history in asked(pid, history)."""
+    each = asked.select("pid", F.explode(_contexts("history", order)).alias("ctx"))
+    return each.join(model.select("ctx", "next"), "ctx").select("pid", "next").distinct()
+
+
+def count_paths(asked: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(pid, paths): how many predicted ways of `hops` segments from a history end at target; asked(pid, history, hops, target).
+
+    A round a hop; ways that have their last `order` segments in common are counted as one from then on.
+    """
+    most = asked.agg(F.max("hops")).first()[0] or 0
+    cut = F.slice(F.col("history"), -F.least(F.size("history"), F.lit(order)), F.least(F.size("history"), F.lit(order)))
+    state = asked.select("pid", cut.alias("history"), "hops", "target", F.lit(1).cast("long").alias("n"))
+    done = None
+    for h in range(most + 1):
+        there = state.where((F.col("hops") == h) & (F.element_at("history", -1) == F.col("target"))).select("pid", "n")
+        done = there if done is None else done.unionByName(there)
+        if h == most:
+            break
+        state = state.where(F.col("hops") > h).withColumn("_s", F.struct("pid", "history"))
+        nexts = next_segments(state.select(F.col("_s").alias("pid"), "history").distinct(), model, order).withColumnRenamed("pid", "_s")
+        ahead = F.concat("history", F.array("next"))
+        ahead = F.slice(ahead, -F.least(F.size(ahead), F.lit(order)), F.least(F.size(ahead), F.lit(order)))
+        state = state.join(nexts, "_s").select("pid", ahead.alias("history"), "hops", "target", "n").groupBy("pid", "history", "hops", "target").agg(F.sum("n").alias("n"))
+    found = done.groupBy("pid").agg(F.sum("n").alias("paths"))
+    return asked.select("pid").join(found, "pid", "left").select("pid", F.coalesce("paths", F.lit(0)).cast("long").alias("paths"))
 
 
 def pattern_parse(segments: list[int], patterns: set[tuple[int, ...]]) -> list[tuple[int, ...]]:
@@ -145,49 +211,77 @@ def pattern_parse(segments: list[int], patterns: set[tuple[int, ...]]) -> list[t
     return out[::-1]
 
 
-def pattern_compress(traj: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(obj, place, pattern): each object's segments as frequent patterns, which min_support bounds."""
-    known = {tuple(p) for p in patterns.select("pattern").toPandas()["pattern"]}
+def pattern_compress(traj: DataFrame, patterns: DataFrame, chunk: str | None = None) -> DataFrame:
+    """(obj, place, pattern): each object's segments as frequent patterns, which min_support bounds.
+
+    chunk: a column whose stretches are parsed each by itself.
+    """
+    known = {tuple(p) for p in _local(patterns.select("pattern"), "patterns")["pattern"]}
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        parsed = pattern_parse([int(s) for s in rows["seg"]], known)
+        parts = [g for _, g in rows.groupby(chunk, sort=True)] if chunk else [rows]
+        parsed = [p for g in parts for p in pattern_parse([int(s) for s in g["seg"]], known)]
         return pd.DataFrame({"obj": rows["obj"].iloc[0], "place": range(len(parsed)), "pattern": [list(p) for p in parsed]})
 
-    return fold_by_object(traj, kernel, "obj long, place int, pattern array<int>")
+    return fold_by_object(traj, kernel, "place int, pattern array<int>")
 
 
-def path_compress(traj: DataFrame, preds: DataFrame) -> DataFrame:
+def path_kept(segs: list[int], way: dict[tuple[int, int], int]) -> list[int]:
+    """Places to keep: the first, the last, and where a segment is not the predecessor of the next on the way from the one kept last."""
+    kept, start = [0], segs[0]
+    for i in range(1, len(segs) - 1):
+        if way.get((start, segs[i + 1])) != segs[i]:
+            kept.append(i)
+            start = segs[i]
+    return [*kept, len(segs) - 1] if len(segs) > 1 else kept
+
+
+def path_compress(traj: DataFrame, preds: DataFrame, chunk: str | None = None) -> DataFrame:
     """Rows that shortest paths don't give: the first, the last, and where the way leaves them.
 
     preds(src, dst, pred): from the row kept last, a row goes if it is the predecessor of the next one.
+    Each object gets those pairs only whose ends it has, so no task has the whole table. chunk: a
+    column whose stretches are compressed each by itself.
     """
-    table = preds.where("pred is not null").select("src", "dst", "pred").toPandas()
-    way = {(int(s), int(d)): int(p) for s, d, p in zip(table["src"], table["dst"], table["pred"], strict=True)}
+    mine = traj.select("obj", F.col("seg").cast("long").alias("src")).distinct()
+    ends = mine.select(F.col("obj").alias("o2"), F.col("src").alias("dst"))
+    known = preds.where("pred is not null").select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("pred").cast("long"))
+    near = mine.join(known, "src").join(ends, (F.col("obj") == F.col("o2")) & (known["dst"] == ends["dst"])).select(F.col("obj").alias("o"), "src", known["dst"], "pred")
+
+    def run(rows: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in names})
+        rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
+        way = {(int(s), int(d)): int(p) for s, d, p in zip(ways["src"], ways["dst"], ways["pred"], strict=True)}
+        kept, parts = [], [g for _, g in rows.groupby(chunk, sort=True)] if chunk else [rows]
+        for g in parts:
+            kept += [g.index[i] for i in path_kept([int(s) for s in g["seg"]], way)]
+        return rows.loc[kept][names]
+
+    names = ["obj", "id", "seg", *([chunk] if chunk else [])]
+    kinds = ", ".join(f"{c} {object_type(traj, c) if c in ('obj', chunk) else 'int'}" for c in names)
+    return traj.select(*names).groupBy("obj").cogroup(near.groupBy("o")).applyInPandas(run, kinds)
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        segs = [int(s) for s in rows["seg"]]
-        kept, start = [0], segs[0]
-        for i in range(1, len(segs) - 1):
-            if way.get((start, segs[i + 1])) != segs[i]:
-                kept.append(i)
-                start = segs[i]
-        if len(segs) > 1:
-            kept.append(len(segs) - 1)
-        return rows.iloc[kept][["obj", "id", "seg"]]
 
-    return fold_by_object(traj, kernel, "obj long, id int, seg int")
+def path_decompress(kept: DataFrame, paths: DataFrame) -> DataFrame:
+    """(obj, id, seg): the segments of shortest paths between kept rows whose ids have a gap. paths(src, dst, via).
 
+    A gap whose ends have no path is an error.
+    """
+    rows = kept.withColumn("_seg", F.lead("seg").over(along())).withColumn("_id", F.lead("id").over(along()))
+    ways = paths.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("via").cast("array<int>").alias("_via"))
+    known = rows.join(ways, (F.col("seg") == F.col("_src")) & (F.col("_seg") == F.col("_dst")) & (F.col("_id") > F.col("id") + 1), "left")
+    gap = F.coalesce(F.col("_id") - F.col("id") - 1, F.lit(0))
+    via = F.when(gap == 0, F.array().cast("array<int>")).when(F.size("_via") == gap, F.col("_via")).otherwise(F.raise_error(F.lit("no path between rows that are kept")).cast("array<int>"))
+    each = known.select("obj", "id", F.posexplode(F.concat(F.array(F.col("seg").cast("int")), via)).alias("_k", "seg"))
+    return each.select("obj", (F.col("id") + F.col("_k")).cast("int").alias("id"), "seg")
 
-def path_decompress(kept: DataFrame, paths: DataFrame) -> DataFrame:
-    """(obj, id, seg): the segments of shortest paths between kept rows whose ids have a gap. paths(src, dst, via)."""
-    table = {(int(r.src), int(r.dst)): list(r.via) for r in paths.select("src", "dst", "via").collect()}
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        segs = [int(s) for s in rows["seg"]]
-        ids = rows["id"].tolist()
-        out = segs[:1]
-        for (a, b), (i, j) in zip(zip(segs, segs[1:], strict=False), zip(ids, ids[1:], strict=False), strict=True):
-            out += (table[a, b] if j - i > 1 else []) + [b]
-        return pd.DataFrame({"obj": rows["obj"].iloc[0], "id": range(len(out)), "seg": out})
-
-    return fold_by_object(kept, kernel, "obj long, id int, seg int")
+def path_pattern_compress(traj: DataFrame, preds: DataFrame, train: DataFrame, longest: int, min_support: int, delay: int | None = None) -> DataFrame:
+    """(obj, place, pattern): shortest paths first, then frequent patterns of what is left, both within chunks of `delay`.
+
+    Patterns are those of train after its own shortest paths. delay None: an object is one chunk.
+    """
+    patterns = frequent(path_compress(train, preds), longest, min_support)
+    rows = delay_chunks(traj, delay) if delay is not None else traj.select("obj", "id", "seg", F.lit(0).alias("chunk"))
+    return pattern_compress(path_compress(rows, preds, "chunk"), patterns, "chunk")

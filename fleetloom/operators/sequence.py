@@ -63,6 +63,28 @@ def uniform_times(traj: DataFrame, shifted: bool = False) -> DataFrame:
     return rows.select("obj", "id", "seg", "run", F.when(first, F.col("_end").cast("double")).otherwise(t).alias("t"))
 
 
+def set_times_uniform(traj: DataFrame, shifted: bool = False) -> DataFrame:
+    """traj with uniform_times() as its times, in whole units; rows after the last observation go."""
+    times = uniform_times(traj, shifted).select("obj", "id", F.floor("t").cast("long").alias("_t"))
+    return traj.join(times, ["obj", "id"]).withColumn("time", F.col("_t")).select(*traj.columns)
+
+
+def renumbered(traj: DataFrame, *order: str) -> DataFrame:
+    w = Window.partitionBy("obj").orderBy(*order)
+    return traj.withColumn("id", (F.row_number().over(w) - 1).cast("int"))
+
+
+def appended(traj: DataFrame, more: DataFrame) -> DataFrame:
+    """traj with the rows of more after those of the same object; positions go on. Either may lack an object."""
+    both = traj.withColumn("_side", F.lit(0)).unionByName(more.select(*traj.columns).withColumn("_side", F.lit(1)))
+    return renumbered(both, "_side", "id").drop("_side")
+
+
+def pushed_front(traj: DataFrame, more: DataFrame) -> DataFrame:
+    """traj with the rows of more before those of the same object."""
+    return appended(more.select(*traj.columns), traj)
+
+
 def em_windows(traj: DataFrame, gps_sigma: float = DEFAULT.gps_sigma, idle_speed: float = DEFAULT.max_speed) -> DataFrame:
     """For each observation but the first: length and time since the one before, both so far, and its time error."""
     rows = online_chunks(traj).withColumn("_start", F.last("time", ignorenulls=True).over(before()))
@@ -106,6 +128,11 @@ def extend_paths(traj: DataFrame, paths: DataFrame, max_speed: float = DEFAULT.m
     return flat.withColumn("id", F.row_number().over(w) - 1).select("obj", "id", "seg", "time", "dist")
 
 
+def expand_trajectories(traj: DataFrame, paths: DataFrame, max_speed: float = DEFAULT.max_speed) -> DataFrame:
+    """All trajectories with the fills of extend_paths(), of each run of a segment the last row, numbered anew."""
+    return renumbered(dedup_runs(extend_paths(traj, paths, max_speed)), "id")
+
+
 def delay_chunks(traj: DataFrame, delay: int) -> DataFrame:
     """Greedy chunks: a new one starts at the row whose time is over `delay` after the chunk's first."""
 
@@ -120,15 +147,15 @@ def delay_chunks(traj: DataFrame, delay: int) -> DataFrame:
             out.append(chunk)
         return rows.assign(chunk=out)[["obj", "id", "seg", "chunk"]]
 
-    return fold_by_object(traj, kernel, "obj long, id int, seg int, chunk int")
+    return fold_by_object(traj, kernel, "id int, seg int, chunk int")
 
 
-def break_by_speed(traj: DataFrame, low: float = DEFAULT.min_speed, high: float = DEFAULT.max_speed, most: int = DEFAULT.max_piece) -> DataFrame:
+def break_by_speed(traj: DataFrame, low: float = DEFAULT.min_speed, high: float = DEFAULT.max_speed, most: int | None = DEFAULT.max_piece) -> DataFrame:
     """Pieces of a trajectory whose fills between two observations were driven at a speed in [low, high].
 
     The speed is that of the fills alone, so observations without fills between them are a break.
     After a break the next pair is not looked at and the gap's fills go; pieces of `most` rows or more
-    go, but for the last one.
+    go, but for the last one. most None: all pieces stay.
     """
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
@@ -144,10 +171,10 @@ def break_by_speed(traj: DataFrame, low: float = DEFAULT.min_speed, high: float
             else:
                 pieces.append(piece)
                 piece, skip = [b], True
-        pieces = [p for p in pieces if len(p) < most] + [piece]
+        pieces = [p for p in pieces if most is None or len(p) < most] + [piece]
         for k, p in enumerate(pieces):
             seen += [(i, k) for i in p]
         picked = rows.iloc[[i for i, _ in seen]]
         return picked.assign(piece=[k for _, k in seen])[["obj", "id", "seg", "piece"]]
 
-    return fold_by_object(traj, kernel, "obj long, id int, seg int, piece int")
+    return fold_by_object(traj, kernel, "id int, seg int, piece int")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import angular, graph, joins, models, sequence, store, tooling, travel_time
+from ..operators import angular, graph, joins, kernels, models, sequence, store, tooling, travel_time
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -63,12 +63,12 @@ def query(sql: str | None = None):
 
 
 def _asked(spark, d):
-    e = _read(spark, d, "events").where("event_id % 10 = 3")
+    """A question from every event: where its object was some hours before."""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    return e.select(F.col("event_id").alias("qid"), ((F.col("user_id") * 7 + 3) % 151).alias("obj"), us.alias("at"))
+    return _read(spark, d, "events").select(F.col("event_id").alias("qid"), F.col("user_id").alias("obj"), (us - F.col("event_id") % 7 * 3_600_000_000).alias("at"))
 
 
-ASKED = "asked AS (SELECT event_id AS qid, (user_id * 7 + 3) % 151 AS obj, epoch_us(ts) AS at FROM events WHERE event_id % 10 = 3)"
+ASKED = "asked AS (SELECT event_id AS qid, user_id AS obj, epoch_us(ts) - event_id % 7 * 3600000000 AS at FROM events)"
 
 
 @query(f"WITH {TRAJ}, {ASKED} SELECT qid, a.obj, a.at, t.seg, t.time FROM asked a ASOF LEFT JOIN traj t ON a.obj = t.obj AND a.at >= t.time")
@@ -325,13 +325,14 @@ def _points(spark, d):
 def _segments(spark, d):
     w = Window.partitionBy("label").orderBy("pid")
     p = _points(spark, d).withColumn("bx", F.lead("x").over(w)).withColumn("by", F.lead("y").over(w)).where("bx is not null")
-    return p.select(F.col("pid").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by").where("seg % 5 = 0")
+    return p.select(F.col("pid").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
 
 
 PTS = """pts AS (SELECT vec_id AS pid, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-  segs AS (SELECT pid AS seg, x AS ax, y AS ay, bx, by_ FROM (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM pts WINDOW w AS (PARTITION BY label ORDER BY pid)) WHERE bx IS NOT NULL AND pid % 5 = 0),
-  near AS (SELECT pid, seg, x, y, ax, ay, bx, by_, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / nullif((bx - ax) ** 2 + (by_ - ay) ** 2, 0), 0))) AS t FROM pts, segs),
-  dists AS (SELECT *, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) AS d FROM near)"""
+  segs AS (SELECT pid AS seg, x AS ax, y AS ay, bx, by_ FROM (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM pts WINDOW w AS (PARTITION BY label ORDER BY pid)) WHERE bx IS NOT NULL),
+  near AS (SELECT pid, seg, x, y, ax, ay, bx, by_, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 0))) AS t FROM pts, segs),
+  ends_ AS (SELECT *, CASE WHEN t >= 1 THEN bx ELSE ax + t * (bx - ax) END AS cx, CASE WHEN t >= 1 THEN by_ ELSE ay + t * (by_ - ay) END AS cy FROM near),
+  dists AS (SELECT *, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM ends_)"""
 
 
 @query(f"WITH {PTS} SELECT pid, seg, round(d, 9) AS d FROM dists WHERE d <= 0.01")
@@ -369,13 +370,47 @@ def transition_prob(spark, d):
     return _pairs(spark, d).select("pid", F.round(geo.transition_probability(dist, 2 * dist, F.lit(5)), 9).alias("p"))
 
 
-@query()
+@query(f"""WITH {PTS}, g AS (SELECT pid, (bx - ax) ** 2 + (by_ - ay) ** 2 AS l, 2 * ((ax - x) * (bx - ax) + (ay - y) * (by_ - ay)) AS b, (ax - x) ** 2 + (ay - y) ** 2 AS c FROM near WHERE seg = pid - pid % 5),
+  e AS (SELECT *, (2 * l + b) / (sqrt(l) * sqrt(2)) AS hi, b / (sqrt(l) * sqrt(2)) AS lo FROM g)
+  SELECT pid, round(exp((b * b / (4 * l) - c) / 0.5) * 0.5 * list_sum(list_transform(range(0, 60), lambda n: (-1) ** n * (hi ** (2 * n + 1) - lo ** (2 * n + 1)) / (gamma(n + 1) * (2 * n + 1)))) * 2 / sqrt(pi()), 9) AS p FROM e""")
 def emission_prob(spark, d):
     return _pairs(spark, d).select("pid", F.round(geo.segment_probability(0.5)(*map(F.col, XY)), 9).alias("p"))
 
 
 # Kernels
 
+TYPE_EDGES = """type_edges AS (
+  SELECT DISTINCT seg AS src, nxt AS dst, seg + 1.0::DOUBLE AS weight FROM (SELECT seg, lead(seg) OVER (PARTITION BY obj ORDER BY id) AS nxt FROM traj)
+  WHERE nxt IS NOT NULL AND nxt <> seg AND abs(nxt - seg) <> 2),
+  tp(src, dst, d) AS (SELECT DISTINCT src, src, 0.0::DOUBLE FROM type_edges UNION SELECT tp.src, e.dst, tp.d + e.weight FROM tp JOIN type_edges e ON tp.dst = e.src WHERE tp.d + e.weight <= 100),
+  tsp AS (SELECT src, dst, min(d) AS d FROM tp GROUP BY src, dst),
+  preds AS (SELECT a.src, a.dst, a.d, min(b.dst) AS pred FROM tsp a JOIN tsp b ON a.src = b.src JOIN type_edges e ON e.src = b.dst AND e.dst = a.dst AND b.d + e.weight = a.d WHERE a.src <> a.dst GROUP BY ALL),
+  walk(src, dst, d, here, via) AS (SELECT src, dst, d, pred, CAST([] AS INTEGER[]) FROM preds
+    UNION ALL SELECT w.src, w.dst, w.d, p.pred, list_prepend(w.here::INTEGER, w.via) FROM walk w JOIN preds p ON p.src = w.src AND p.dst = w.here WHERE w.here <> w.src),
+  ways AS (SELECT src, dst, d, via, d - (src + 1) AS path_length FROM walk WHERE here = src)"""
+RUNS = """runs AS (SELECT obj, id, seg, time, row_number() OVER (PARTITION BY obj ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY obj) AS n
+  FROM (SELECT *, lead(seg) OVER (PARTITION BY obj ORDER BY id) AS nxt FROM traj) WHERE nxt IS DISTINCT FROM seg)"""
+PATH_KEPT = """ahead AS (SELECT *, lead(seg) OVER (PARTITION BY obj ORDER BY pos) AS nx FROM runs),
+  pk(obj, pos, start, kept) AS (SELECT obj, pos, seg, true FROM ahead WHERE pos = 0
+    UNION ALL SELECT a.obj, a.pos, CASE WHEN p.pred IS DISTINCT FROM a.seg AND a.pos < a.n - 1 THEN a.seg ELSE k.start END, a.pos = a.n - 1 OR p.pred IS DISTINCT FROM a.seg
+    FROM pk k JOIN ahead a ON a.obj = k.obj AND a.pos = k.pos + 1 LEFT JOIN preds p ON p.src = k.start AND p.dst = a.nx),
+  left_rows AS (SELECT a.obj, a.id, a.seg FROM pk JOIN ahead a USING (obj, pos) WHERE kept)"""
+
+
+def _parse_sql(rows: str, least: int) -> str:
+    """Patterns of up to three of rows, and the parse: from the end the longest that ends there, then on before it."""
+    return f"""b AS (SELECT obj, seg, lag(seg) OVER w AS s1, lag(seg, 2) OVER w AS s2, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY obj) AS n FROM {rows} WINDOW w AS (PARTITION BY obj ORDER BY id)),
+  f2 AS (SELECT s1, seg FROM b WHERE s1 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+  f3 AS (SELECT s2, s1, seg FROM b WHERE s2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+  ending AS (SELECT b.obj, b.pos, b.n, CASE WHEN f3.seg IS NOT NULL THEN 3 WHEN f2.seg IS NOT NULL THEN 2 ELSE 1 END AS len, concat_ws('-', CASE WHEN f3.seg IS NOT NULL THEN b.s2 END, CASE WHEN f2.seg IS NOT NULL THEN b.s1 END, b.seg) AS pattern
+    FROM b LEFT JOIN f2 ON f2.s1 = b.s1 AND f2.seg = b.seg LEFT JOIN f3 ON f3.s2 = b.s2 AND f3.s1 = b.s1 AND f3.seg = b.seg),
+  parse(obj, pos, len, pattern, step) AS (SELECT obj, pos, len, pattern, 0 FROM ending WHERE pos = n - 1
+    UNION ALL SELECT e.obj, e.pos, e.len, e.pattern, p.step + 1 FROM parse p JOIN ending e ON e.obj = p.obj AND e.pos = p.pos - p.len),
+  parsed AS (SELECT obj, CAST(max(step) OVER (PARTITION BY obj) - step AS INTEGER) AS place, pattern FROM parse)"""
+
+
+TIMES = "times AS (SELECT seg, avg(dist * 100) AS mu, 1 + stddev_pop(dist * 100) AS sigma FROM traj GROUP BY seg)"
+
 
 def _lengths(spark):
     return spark.range(5).select(F.col("id").cast("int").alias("seg"), (F.col("id") + 1.0).alias("length"))
@@ -387,12 +422,25 @@ def _type_edges(spark, d):
     return pairs.select(F.col("seg").alias("src"), "dst", (F.col("seg") + 1.0).alias("weight"))
 
 
-@query()
+def _type_paths(spark, d):
+    return graph.shortest_paths(_type_edges(spark, d), 100.0)
+
+
+@query(f"WITH RECURSIVE {TRAJ}, {TYPE_EDGES}, {RUNS}, {PATH_KEPT} SELECT obj, id, seg FROM left_rows")
 def sp_compress(spark, d):
-    return models.path_compress(sequence.dedup_runs(traj(spark, d)), graph.shortest_paths(_type_edges(spark, d), 100.0))
+    return models.path_compress(sequence.dedup_runs(traj(spark, d)), _type_paths(spark, d))
 
 
-@query()
+@query(f"WITH {TRAJ}, {RUNS} SELECT obj, pos AS id, seg FROM runs")
+def sp_roundtrip(spark, d):
+    """Runs as a trajectory of their own on the graph of all steps, compressed by paths and restored."""
+    t = sequence.renumbered(sequence.dedup_runs(traj(spark, d)), "id")
+    steps = t.select(F.col("seg").alias("src"), F.lead("seg").over(sequence.along()).alias("dst")).where("dst is not null").distinct()
+    paths = graph.shortest_paths(steps.withColumn("weight", F.col("src") + 1.0), 100.0)
+    return models.path_decompress(models.path_compress(t, paths), graph.path_table(paths)).withColumn("id", F.col("id").cast("long"))
+
+
+@query(f"WITH RECURSIVE {TRAJ}, {_parse_sql('traj', 50)} SELECT obj, place, pattern FROM parsed")
 def fs_compress(spark, d):
     t = traj(spark, d)
     return _as_text(models.pattern_compress(t, models.frequent(t, 3, 50)))
@@ -406,34 +454,75 @@ def fs_roundtrip(spark, d):
     return parsed.select("obj", "place", F.posexplode("pattern").alias("i", "seg")).select("obj", (F.row_number().over(w) - 1).alias("id"), "seg")
 
 
-@query()
+@query(f"WITH RECURSIVE {TRAJ}, {TYPE_EDGES}, {RUNS}, {PATH_KEPT}, {_parse_sql('left_rows', 20)} SELECT obj, place, pattern FROM parsed")
 def spfs_compress(spark, d):
-    """Shortest paths first, then frequent patterns of what is left."""
-    left = models.path_compress(sequence.dedup_runs(traj(spark, d)), graph.shortest_paths(_type_edges(spark, d), 100.0))
-    left = sequence.positions(left.withColumnRenamed("id", "old"), "old")
-    return _as_text(models.pattern_compress(left, models.frequent(left, 3, 20)))
+    runs = sequence.dedup_runs(traj(spark, d))
+    return _as_text(models.path_pattern_compress(runs, _type_paths(spark, d), runs, 3, 20))
+
+
+@query()
+def spfs_compress_delay(spark, d):
+    """The same in chunks of a day; each is parsed by itself."""
+    runs = sequence.dedup_runs(filled(spark, d))
+    return _as_text(models.path_pattern_compress(runs, _type_paths(spark, d), runs, 3, 20, 86_400))
+
+
+@query(f"WITH {TRAJ}, {LEADS}, {GRAMS}, f AS (SELECT pattern, depth, a, b, c, count(*) AS freq FROM grams GROUP BY ALL HAVING depth = 1 OR count(*) >= 50) SELECT pattern, repeat('  ', depth - 1) || coalesce(c, b, a) || ' ' || freq AS line FROM f")
+def pattern_tree(spark, d):
+    return _as_text(models.pattern_tree(models.frequent(traj(spark, d), 3, 50)))
 
 
 def _curves(spark, d):
     return sequence.uniform_times(filled(spark, d)).select("obj", "id", F.col("run").alias("dist"), (F.col("t") / 3600).alias("time"))
 
 
-@query()
+def _curve_sql(error: float, by_time: bool) -> str:
+    """The fold over a curve: s, the point kept last; low and high, the slopes that still fit (null: any); keep, whether the point before is kept."""
+    from_start = "c.dist - k.sd", "c.time - k.st"
+    if by_time:
+        slack = "1e-9 * greatest(1.0, abs(dd))"
+        low = f"CASE WHEN {{d}} > 0 AND {{t}} + {error} > 0 THEN greatest(coalesce({{low}}, '-infinity'::DOUBLE), {{d}} / ({{t}} + {error})) ELSE {{low}} END"
+        high = f"CASE WHEN {{d}} > 0 AND {{t}} - {error} > 0 THEN least(coalesce({{high}}, 'infinity'::DOUBLE), {{d}} / ({{t}} - {error})) ELSE {{high}} END"
+    else:
+        slack = "0.001"
+        low = f"CASE WHEN {{t}} > 0 THEN greatest(coalesce({{low}}, '-infinity'::DOUBLE), ({{d}} - {error}) / {{t}}) ELSE {{low}} END"
+        high = f"CASE WHEN {{t}} > 0 THEN least(coalesce({{high}}, 'infinity'::DOUBLE), ({{d}} + {error}) / {{t}}) ELSE {{high}} END"
+    stay = {"d": "dd", "t": "tt", "low": "low", "high": "high"}
+    anew = {"d": "(dist - pd)", "t": "(time - pt)", "low": "NULL", "high": "NULL"}
+    reset = (low.format(**anew), high.format(**anew)) if by_time else ("NULL", "NULL")
+    return f"""WITH RECURSIVE {FILLED}, curve AS (
+    SELECT obj, id, run AS dist, CASE WHEN t_start IS NULL THEN t_end::DOUBLE ELSE t_start + (t_end - t_start) * own / whole END / 3600 AS time,
+           row_number() OVER (PARTITION BY obj ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY obj) AS m FROM chunked),
+  fold(obj, i, sd, st, pd, pt, low, high, keep) AS (
+    SELECT obj, i, dist, time, dist, time, NULL::DOUBLE, NULL::DOUBLE, false FROM curve WHERE i = 0
+    UNION ALL
+    SELECT obj, i, CASE WHEN fits THEN sd ELSE pd END, CASE WHEN fits THEN st ELSE pt END, dist, time,
+           CASE WHEN fits THEN {low.format(**stay)} ELSE {reset[0]} END, CASE WHEN fits THEN {high.format(**stay)} ELSE {reset[1]} END, NOT fits
+    FROM (SELECT *, (low IS NULL OR low * tt - {slack} <= dd) AND (high IS NULL OR dd <= high * tt + {slack}) AS fits
+          FROM (SELECT c.obj, c.i, c.dist, c.time, k.sd, k.st, k.pd, k.pt, k.low, k.high, {from_start[0]} AS dd, {from_start[1]} AS tt FROM fold k JOIN curve c ON c.obj = k.obj AND c.i = k.i + 1)))
+  SELECT c.obj, c.id, c.dist, round(c.time, 6) AS time FROM curve c LEFT JOIN fold f ON f.obj = c.obj AND f.i = c.i + 1 WHERE c.i = 0 OR c.i = c.m - 1 OR f.keep"""
+
+
+@query(_curve_sql(6.0, True))
 def nstd_compress(spark, d):
-    return angular.angular_compress(_curves(spark, d), 6.0, by_time=True)
+    return angular.angular_compress(_curves(spark, d), 6.0, by_time=True).withColumn("time", F.round("time", 6))
 
 
-@query()
+@query(_curve_sql(4.0, False))
 def tsnd_compress(spark, d):
-    return angular.angular_compress(_curves(spark, d), 4.0, by_time=False)
+    return angular.angular_compress(_curves(spark, d), 4.0, by_time=False).withColumn("time", F.round("time", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILLED}, r(obj, id, seg, chunk, start) AS (SELECT obj, id, seg, 0, time FROM filled WHERE id = 0
+  UNION ALL SELECT f.obj, f.id, f.seg, CASE WHEN f.time - r.start > 86400 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN f.time IS NULL THEN r.start WHEN r.start IS NULL OR f.time - r.start > 86400 THEN f.time ELSE r.start END
+  FROM r JOIN filled f ON f.obj = r.obj AND f.id = r.id + 1) SELECT obj, id, seg, chunk FROM r""")
 def delay_chunks(spark, d):
     return sequence.delay_chunks(filled(spark, d), 86_400)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILLED}, o AS (SELECT obj, chunk AS k, CASE WHEN time > t_start THEN (whole - length) / (time - t_start) ELSE 'infinity'::DOUBLE END BETWEEN 0.00001 AND 0.01 AS fits FROM chunked WHERE time IS NOT NULL),
+  r(obj, k, piece, skip) AS (SELECT obj, k, 0, false FROM o WHERE k = 0 UNION ALL SELECT o.obj, o.k, CASE WHEN r.skip OR o.fits THEN r.piece ELSE r.piece + 1 END, NOT (r.skip OR o.fits) FROM r JOIN o ON o.obj = r.obj AND o.k = r.k + 1)
+  SELECT c.obj, c.id, c.seg, r.piece FROM chunked c JOIN r ON r.obj = c.obj AND r.k = c.chunk WHERE c.time IS NOT NULL OR (r.k > 0 AND NOT r.skip)""")
 def break_by_speed(spark, d):
     return sequence.break_by_speed(filled(spark, d), 0.00001, 0.01)
 
@@ -448,31 +537,198 @@ def em_train(spark, d):
     return model
 
 
-@query()
+@query(f"""WITH {FILLED}, {TIMES}, x AS (SELECT obj, id, seg, chunk, length, time, (t_end - t_start) * length / whole AS x, t_start, t_end FROM chunked WHERE chunk > 0),
+  p AS (SELECT *, x / length - lag(x / length) OVER (PARTITION BY obj ORDER BY id) AS turn FROM x JOIN times USING (seg)),
+  g AS (SELECT sum(x) AS x, max(t_end) - max(t_start) AS dt, sum(length) AS len FROM x GROUP BY obj, chunk),
+  m AS (SELECT sum(((x - dt) / (10 / CASE WHEN dt > 0 AND len / dt > 0 THEN len / dt ELSE 40 END)) ** 2 / 2) AS miss FROM g)
+  SELECT round((sum(((x - mu) / sigma) ** 2 / 2 + ln(sigma) + coalesce((turn / 1000.0) ** 2 / 2, 0)) + (SELECT miss FROM m)) / 1e6, 3) AS value, count(*) AS n FROM p""")
+def em_objective(spark, d):
+    t = filled(spark, d)
+    return travel_time.objective(t, travel_time.start_times(t), _times(spark, d), 1000.0).select(F.round(F.col("value") / 1e6, 3).alias("value"), "n")
+
+
+@query(f"""WITH RECURSIVE {FILLED}, {TIMES}, rows_ AS (
+    SELECT c.obj, c.id, c.seg, c.time, mu, sigma, row_number() OVER (PARTITION BY c.obj ORDER BY c.id) - 1 AS i, c.time - c.t_start AS seconds, 10 / CASE WHEN c.time > c.t_start AND c.whole / (c.time - c.t_start) > 0 THEN c.whole / (c.time - c.t_start) ELSE 40 END AS noise
+    FROM (SELECT * FROM chunked WHERE chunk > 0 OR time IS NOT NULL) c JOIN times USING (seg)),
+  f(obj, i, told, fused, ahead, spread, kept, best) AS (SELECT obj, i, time::DOUBLE, time::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, true, time::DOUBLE FROM rows_ WHERE i = 0
+    UNION ALL SELECT obj, i, CASE WHEN time IS NULL THEN told WHEN miss THEN fresh ELSE told + ahead END, CASE WHEN time IS NULL THEN fused ELSE fresh END, CASE WHEN time IS NULL THEN ahead ELSE 0.0 END, CASE WHEN time IS NULL THEN spread ELSE 0.0 END, time IS NOT NULL AND miss, fresh
+    FROM (SELECT *, abs(told + ahead - fresh) > 20000 AS miss FROM (
+      SELECT r.obj, r.i, r.time, f.told, f.fused, f.ahead + r.mu AS ahead, f.spread + r.sigma ** 2 AS spread, f.fused + (f.ahead + r.mu + (f.spread + r.sigma ** 2) / (f.spread + r.sigma ** 2 + r.noise ** 2) * (r.seconds - (f.ahead + r.mu))) AS fresh
+      FROM f JOIN rows_ r ON r.obj = f.obj AND r.i = f.i + 1)))
+  SELECT r.obj, r.id, r.seg, round(f.best, 3) AS time FROM f JOIN rows_ r USING (obj, i) WHERE kept""")
 def em_compress(spark, d):
-    t = filled(spark, d).join(filled(spark, d).where("id = 0 and time is not null").select("obj"), "obj", "left_semi")
-    return travel_time.time_compress(t, _times(spark, d), 20_000.0)
+    return travel_time.time_compress(filled(spark, d), _times(spark, d), 20_000.0).withColumn("time", F.round("time", 3))
+
+
+RESTORED = f"""{FILLED}, {TIMES}, k AS (SELECT obj, id, seg, time, mu, count(time) OVER w AS k, last_value(time IGNORE NULLS) OVER w AS before, sum(mu) OVER w AS run,
+    first_value(time IGNORE NULLS) OVER (PARTITION BY obj ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, lead(mu) OVER (PARTITION BY obj ORDER BY id) AS own
+    FROM filled JOIN times USING (seg) WINDOW w AS (PARTITION BY obj ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  l AS (SELECT *, run - min(run) OVER p AS part, max(run + own) OVER p - min(run) OVER p AS whole FROM k WINDOW p AS (PARTITION BY obj, k))"""
+
+
+@query(f"WITH {RESTORED} SELECT obj, id, seg, round(coalesce(time::DOUBLE, before + (after - before) * (part / nullif(whole, 0))), 3) AS time FROM l")
+def time_restore(spark, d):
+    return travel_time.time_restore(filled(spark, d), _times(spark, d)).withColumn("time", F.round("time", 3))
 
 
 def _combined(spark, d):
-    t = filled(spark, d).join(filled(spark, d).where("id = 0 and time is not null").select("obj"), "obj", "left_semi")
+    t = filled(spark, d)
     model = models.context_model(t, 2)
     flags = models.predicted(t, model, 2).select("obj", "id", (F.col("seg") == F.col("pred")).alias("hit"))
     return t, model, travel_time.combined_compress(t, flags, _times(spark, d), 20_000.0)
 
 
-@query(f"WITH {FILLED} SELECT obj, id, seg FROM filled WHERE obj IN (SELECT obj FROM filled WHERE id = 0 AND time IS NOT NULL)")
+@query(f"WITH {TRAJ} SELECT obj, id, seg FROM traj")
 def combined_roundtrip(spark, d):
     _, model, kept = _combined(spark, d)
     return models.context_decompress(kept.select("obj", "id", "seg"), model, 2)
 
 
+def _asked_seconds(spark, d):
+    return _asked(spark, d).withColumn("at", F.floor(F.col("at") / 1_000_000).cast("double"))
+
+
 @query()
 def where_at_compressed(spark, d):
     _, model, kept = _combined(spark, d)
-    full = store.restored(kept, model, _times(spark, d), 2)
-    asked = _asked(spark, d).withColumn("at", F.floor(F.col("at") / 1_000_000).cast("double"))
-    return joins.as_of(full, asked, "time", "id")
+    return joins.as_of(store.restored(kept, model, _times(spark, d), 2), _asked_seconds(spark, d), "time", "id")
+
+
+@query()
+def where_at_part(spark, d):
+    """The same answers from the stretches that questions fall into."""
+    _, model, kept = _combined(spark, d)
+    return store.where_at_part(kernels.settled(kept), _asked_seconds(spark, d), model, _times(spark, d), 2)
+
+
+# Sequences, continued
+
+
+@query(f"WITH {FILLED} SELECT obj, id, seg, run, CASE WHEN t_start IS NULL THEN t_end::DOUBLE ELSE floor(t_end + (t_end - t_start) * own / whole) END AS t FROM chunked")
+def uniform_times_shifted(spark, d):
+    return sequence.uniform_times(filled(spark, d), shifted=True)
+
+
+@query(f"WITH {FILLED} SELECT obj, id, seg, CAST(floor(CASE WHEN t_start IS NULL THEN t_end ELSE t_start + (t_end - t_start) * own / whole END) AS BIGINT) AS time FROM chunked")
+def set_times_uniform(spark, d):
+    return sequence.set_times_uniform(filled(spark, d)).select("obj", "id", "seg", "time")
+
+
+@query(f"WITH {TRAJ} SELECT obj, id, seg FROM traj")
+def append_and_push(spark, d):
+    """Trajectories cut in three and put together: the middle, the end after it, the beginning before it."""
+    t = traj(spark, d).select("obj", "id", "seg")
+    middle = sequence.appended(t.where("id >= 10 and id < 30"), t.where("id >= 30"))
+    return sequence.pushed_front(middle, t.where("id < 10"))
+
+
+@query(f"""WITH RECURSIVE {TRAJ}, {TYPE_EDGES}, nx AS (SELECT obj, id, seg, time // 1000000 AS time, dist, lead(seg) OVER w AS ns, lead(time // 1000000) OVER w AS nt FROM traj WINDOW w AS (PARTITION BY obj ORDER BY id)),
+  each AS (SELECT obj, id AS old, 0 AS k, seg, time, dist FROM nx UNION ALL
+    SELECT obj, id, u.k, via[u.k], NULL, NULL FROM nx JOIN ways ON src = seg AND dst = ns AND nt > time AND path_length / (nt - time) <= 0.0002, unnest(range(1, len(via) + 1)) u(k))
+  SELECT obj, CAST(row_number() OVER (PARTITION BY obj ORDER BY old, k) - 1 AS INTEGER) AS id, seg, time, round(dist, 6) AS dist FROM each""")
+def extend_paths(spark, d):
+    t = traj(spark, d).withColumn("time", F.floor(F.col("time") / 1_000_000))
+    return sequence.extend_paths(t, graph.path_table(_type_paths(spark, d)), 0.0002).withColumn("dist", F.round("dist", 6))
+
+
+# Models, continued
+
+LAST_TWO = "ends AS (SELECT obj, max(id) AS id, max(time) AS time, arg_max(seg, id) AS a, arg_max(before, id) AS b FROM (SELECT *, lag(seg) OVER (PARTITION BY obj ORDER BY id) AS before FROM traj) GROUP BY obj)"
+
+
+@query(f"""WITH {TRAJ}, {_model_sql(2)}, {TIMES}, {LAST_TWO}, p AS (SELECT obj, id + 1 AS id, coalesce(m2.nxt, m1.nxt, 0) AS seg, time FROM ends LEFT JOIN model m1 ON m1.k = 1 AND m1.ctx = a::VARCHAR LEFT JOIN model m2 ON m2.k = 2 AND m2.ctx = b || '-' || a)
+  SELECT obj, id, seg, time::DOUBLE AS time FROM traj UNION ALL SELECT obj, id, seg, round(time + mu, 0) FROM p JOIN times USING (seg)""")
+def ppm_extend(spark, d):
+    t = traj(spark, d)
+    longer = models.extend(t, models.context_model(t, 2), _times(spark, d), 2)
+    return longer.withColumn("time", F.round("time", 0))
+
+
+def _histories(spark, d):
+    t = traj(spark, d).withColumn("before", F.lag("seg").over(sequence.along()))
+    ends = t.groupBy("obj").agg(F.max_by("seg", "id").alias("a"), F.max_by("before", "id").alias("b"))
+    return ends.select(F.col("obj").alias("pid"), F.array("b", "a").alias("history"), F.lit(3).alias("hops"), (F.col("obj") % 5).cast("int").alias("target"))
+
+
+@query(f"WITH {TRAJ}, {_model_sql(2)}, {LAST_TWO} SELECT DISTINCT obj AS pid, nxt AS next FROM ends JOIN model ON ctx = a::VARCHAR OR ctx = b || '-' || a")
+def next_segments(spark, d):
+    return models.next_segments(_histories(spark, d), models.context_model(traj(spark, d), 2), 2)
+
+
+@query(f"""WITH RECURSIVE {TRAJ}, {_model_sql(2)}, {LAST_TWO}, two AS (SELECT x.a AS b, y.a AS a, array_distinct(list(nxt)) AS nexts FROM (SELECT DISTINCT seg AS a FROM traj) x, (SELECT DISTINCT seg AS a FROM traj) y JOIN model ON ctx = y.a::VARCHAR OR ctx = x.a || '-' || y.a GROUP BY ALL),
+  w(pid, b, a, h) AS (SELECT obj, b, a, 0 FROM ends UNION ALL SELECT w.pid, w.a, u.nx, h + 1 FROM w JOIN two USING (a, b), unnest(two.nexts) u(nx) WHERE h < 3)
+  SELECT obj AS pid, (SELECT count(*) FROM w WHERE w.pid = obj AND h = 3 AND w.a = obj % 5) AS paths FROM ends""")
+def count_paths(spark, d):
+    return models.count_paths(_histories(spark, d), models.context_model(traj(spark, d), 2), 2)
+
+
+# Figures of drives
+
+
+def _drives(spark, d):
+    return traj(spark, d).select("obj", "id", "seg", (F.abs("dist") + 1).alias("speed"), (F.col("seg") + 1.0).alias("length"))
+
+
+DRIVES = "drives AS (SELECT obj, id, seg, abs(dist) + 1 AS speed, seg + 1.0::DOUBLE AS length FROM traj)"
+
+
+@query(f"WITH {TRAJ}, {DRIVES}, t AS (SELECT speed, length / speed - lag(length / speed) OVER (PARTITION BY obj ORDER BY id) AS d FROM drives) SELECT round(avg(speed), 9) AS avg_speed, round(stddev_pop(speed), 9) AS sigma_speed, round(sqrt(avg(d * d)), 9) AS sigma_trans, count(*) AS n FROM t")
+def drive_stats(spark, d):
+    return tooling.drive_stats(_drives(spark, d)).select(*[F.round(c, 9).alias(c) for c in ("avg_speed", "sigma_speed", "sigma_trans")], "n")
+
+
+@query(f"WITH {TRAJ}, {DRIVES}, s AS (SELECT seg, avg(length / speed) AS mu, stddev_pop(length / speed) AS sigma FROM drives GROUP BY seg) SELECT CAST(i AS INTEGER) AS seg, round(coalesce(mu, 0), 9) AS mu, round(coalesce(sigma, 0) + sqrt(2.220446049250313e-16), 9) AS sigma FROM range(0, 7) r(i) LEFT JOIN s ON seg = i")
+def drive_times_of_segments(spark, d):
+    every = spark.range(7).select(F.col("id").cast("int").alias("seg"))
+    return tooling.segment_times(tooling.travel_times(_drives(spark, d)), every).select("seg", F.round("mu", 9).alias("mu"), F.round("sigma", 9).alias("sigma"))
+
+
+@query(f"WITH {FILLED} SELECT obj, id, seg, round((t_end - coalesce(t_start, 0)) / count(*) OVER (PARTITION BY obj, chunk), 6) AS x FROM chunked")
+def travel_times_of_updates(spark, d):
+    return tooling.travel_times_of_updates(filled(spark, d)).withColumn("x", F.round("x", 6))
+
+
+# Graph, continued
+
+
+@query(f"WITH RECURSIVE {PATHS} SELECT src::BIGINT AS src, dst::BIGINT AS dst, d FROM sp WHERE src <> dst AND d < 60")
+def sp_bounded_strict(spark, d):
+    e = nation_edges(spark, d)
+    return graph.shortest_paths(e, 60.0, e.select("src").distinct(), strict=True).select("src", "dst", "d")
+
+
+VIA = f"""{PATHS}, pr AS (SELECT a.src, a.dst, a.d, min(b.dst) AS pred FROM sp a JOIN sp b ON a.src = b.src JOIN edges e ON e.src = b.dst AND e.dst = a.dst AND b.d + e.weight = a.d WHERE a.src <> a.dst GROUP BY ALL),
+  w(src, dst, d, here, via) AS (SELECT src, dst, d, pred, CAST([] AS BIGINT[]) FROM pr UNION ALL SELECT w.src, w.dst, w.d, pr.pred, list_prepend(w.here::BIGINT, w.via) FROM w JOIN pr ON pr.src = w.src AND pr.dst = w.here WHERE w.here <> w.src),
+  via AS (SELECT src, dst, d, array_to_string(via, '-') AS via FROM w WHERE here = src)"""
+
+
+@query(f"WITH RECURSIVE {VIA} SELECT src::BIGINT AS src, dst::BIGINT AS dst, d, via FROM via")
+def sp_via(spark, d):
+    e = nation_edges(spark, d)
+    return _as_text(graph.path_table(graph.shortest_paths(e, 60.0, e.select("src").distinct())), "via").select("src", "dst", "d", "via")
+
+
+@query(f"WITH RECURSIVE {VIA} SELECT src::BIGINT AS src, dst::BIGINT AS dst, d, via FROM via WHERE (src + dst) % 3 = 0")
+def routes(spark, d):
+    """Ways between pairs of nations that are asked for."""
+    e = nation_edges(spark, d)
+    nodes = e.select("src").distinct()
+    pairs = nodes.join(e.select("dst").distinct(), (F.col("src") + F.col("dst")) % 3 == 0).where("src <> dst")
+    return _as_text(graph.routes(e, pairs, 60.0), "via")
+
+
+@query(f"WITH RECURSIVE {PATHS} SELECT (src * 100 + dst)::BIGINT AS pid, CASE WHEN src = dst THEN 0.5 ELSE d - 2.0 + 1.5 END::DOUBLE AS distance FROM sp")
+def point_distance(spark, d):
+    e = nation_edges(spark, d)
+    paths = graph.shortest_paths(e, 60.0, e.select("src").distinct())
+    pairs = paths.select((F.col("src") * 100 + F.col("dst")).alias("pid"), F.col("src").alias("s1"), F.lit(2.0).alias("o1"), F.col("dst").alias("s2"), F.lit(1.5).alias("o2"))
+    return graph.point_distance(pairs, paths, None)
+
+
+@query("WITH p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE * 90 AS lat, embedding[2]::DOUBLE * 180 AS lon FROM embeddings) SELECT pid, round(radians(lat) * 6371008.8, 3) AS x, round(radians(lon) * (6371008.8 * cos(radians(37.5))), 3) AS y FROM p")
+def project_points(spark, d):
+    x, y = geo.project(F.col("x") * 90, F.col("y") * 180, 37.5)
+    return _points(spark, d).select("pid", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
 @query()
