@@ -8,6 +8,7 @@ The number of hash partitions follows the bytes of the input, so each stays of b
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,12 +22,17 @@ from pyspark.sql import functions as F
 from ._common import NO_ID, cut, pick, utf8, written
 
 
+@functools.lru_cache(1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def squeeze(data: bytes) -> bytes:
-    return struct.pack("<q", len(data)) + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+    return struct.pack("<q", len(data)) + _codec().compress(data, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], struct.unpack_from("<q", data)[0], asbytes=True)
+    return _codec().decompress(memoryview(data)[8:], struct.unpack_from("<q", data)[0], asbytes=True)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -56,17 +62,22 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 @dataclass
 class Block:
-    """ids: of the documents, NO_ID for null. starts: len(ids) + 1 offsets into data."""
+    """ids: of the documents, NO_ID for null. null: whether they are. starts: len(ids) + 1 offsets into data."""
 
     ids: np.ndarray
+    null: np.ndarray
     starts: np.ndarray
     data: np.ndarray
     others: bytes
 
     @classmethod
     def of(cls, payload: bytes) -> Block:
-        ids, sizes, data, others = unpack(payload)
-        return cls(ids, np.concatenate([[0], np.cumsum(sizes)]), data, others.tobytes())
+        ids, null, sizes, data, others = unpack(payload)
+        return cls(ids, null, np.concatenate([[0], np.cumsum(sizes)]), data, others.tobytes())
+
+    def named(self) -> pa.Array:
+        """The ids, nulls again null."""
+        return pa.array(self.ids, mask=self.null)
 
     def carried(self) -> dict[str, pa.Array]:
         """The further columns that staged() was given."""
@@ -86,6 +97,7 @@ def staged(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> Da
         for batch in batches:
             for part in cut([batch], "text", block_bytes):
                 texts = utf8(part.column(1))
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 ids = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 data = b"".join(texts)
                 others = b""
@@ -95,7 +107,7 @@ def staged(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> Da
                     with pa.ipc.new_stream(out, kept.schema) as stream:
                         stream.write_batch(kept)
                     others = out.getvalue().to_pybytes()
-                payload = pack(ids, np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(data, np.uint8), np.frombuffer(others, np.uint8))
+                payload = pack(ids, null, np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(data, np.uint8), np.frombuffer(others, np.uint8))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number]), "n_bytes": pa.array([len(data)]), "payload": pa.array([payload])})
                 number += 1
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import pick, shared_dir, written
 from .blocks import pack
-from .lexicon import Numbered, give_back, joined, kept_by_worker, numbered, parts_of, sent_words, words_sent
+from .lexicon import give_back, joined, kept_by_worker, parts_of, sent_words, words_sent
 from .repeats import _ranges
 
 
@@ -22,28 +22,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f))}
 
 
-def pre_tokens(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Texts as numbers of their pre-tokens, and those: text is cut before each space that stands alone
+def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts as sizes and numbers of their pre-tokens, and those: text is cut before each space that stands alone
     between other characters.
 
     No match of a byte-level BPE pattern goes over such a place: a match holds white space at its
     start or holds nothing else, and what it looks ahead to lies on the same side. So the pieces,
     encoded one by one, give the ids of the whole text.
     """
-    parts = [t.decode().split(" ") if t else [] for t in texts]
-    each, known = numbered([p[1:] for p in parts])
-    odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in known), bool, len(known))
-    words = [" " + p for p in known]
-    more = Numbered()  # first parts, which have no space before them, and what odd parts grow into
-    out = []
-    for part, numbers in zip(parts, each, strict=True):
-        if not part:
-            out.append(numbers)
-        elif not part[0] or part[0][-1].isspace() or odd[numbers].any():
-            out.append(np.array([len(words) + more[w] for w in _joined(part)], np.uint32))
-        else:
-            out.append(np.concatenate([[len(words) + more[part[0]]], numbers]).astype(np.uint32))
-    return out, [w.encode() for w in chain(words, more)]
+    parts = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten().dictionary_encode()
+    numbers, pieces = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+    begins = np.cumsum(sizes) - sizes
+    # A piece that is empty, or has white space at an end, may belong to its neighbours.
+    odd = pc.match_substring_regex(pieces, r"^\s|\s$|^$|^\pZ|\pZ$|[\x{0b}\x{85}\x{1c}-\x{1f}]").to_numpy(zero_copy_only=False)
+    plain = np.add.reduceat(odd[numbers], begins) == 0 if len(begins) else np.zeros(0, bool)
+    # After the pieces with a space before them: first pieces, which have none, and what odd texts are cut to.
+    firsts = pieces.take(pa.array(numbers[begins[plain]]))
+    rows = [list(_joined(parts[i].as_py())) if sizes[i] > 1 or len(texts[i].as_py()) else [] for i in np.flatnonzero(~plain).tolist()]
+    more = pa.concat_arrays([firsts, pa.array([w for r in rows for w in r], pieces.type)]).dictionary_encode()
+    numbers[begins[plain]] = len(pieces) + more.indices.to_numpy(zero_copy_only=False)[: len(firsts)]
+    if rows:
+        each = np.split(numbers, begins[1:])
+        own = np.split(len(pieces) + more.indices.to_numpy(zero_copy_only=False)[len(firsts) :].astype(np.int64), np.cumsum([len(r) for r in rows])[:-1])
+        for i, x in zip(np.flatnonzero(~plain).tolist(), own, strict=True):
+            each[i], sizes[i] = x, len(x)
+        numbers = np.concatenate(each)
+    used, numbers = np.unique(numbers, return_inverse=True)
+    spaced = pc.binary_join_element_wise(pa.scalar("", pieces.type), pieces, pa.scalar(" ", pieces.type))
+    return sizes, numbers, pa.concat_arrays([spaced, more.dictionary]).take(pa.array(used))
 
 
 def _joined(parts: list[str]) -> Iterator[str]:
@@ -72,19 +80,19 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         import tiktoken
 
         coder = kept_by_worker(("tiktoken", ranks_path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}))
-        known: dict[bytes, bytes] = {}
-        packs = []
-        for packed in rows["pack"].to_pylist():
-            words, _ = sent_words(packed)
-            for word in words:
-                if word not in known:
-                    known[word] = np.array(coder.encode_ordinary(word.decode()), np.uint32).tobytes()
-            found = [known[w] for w in words]
-            ids = np.frombuffer(b"".join(found), np.uint32)
-            packs.append(pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4, ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids))
-        known.clear()
+        words, numbers, _ = sent_words(rows["pack"].to_pylist())
+        found = [np.array(x, np.uint32) for x in coder.encode_ordinary_batch(words.cast(pa.large_string()).to_pylist(), num_threads=1)]
+        sizes = np.fromiter(map(len, found), np.uint32, len(found))
+        flat = np.concatenate([np.zeros(0, np.uint32), *found])
+        flat = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
+        ends, packs = np.cumsum(sizes, dtype=np.int64), []
+        del found, words
+        for mine in numbers:
+            n = sizes[mine].astype(np.int64)
+            packs.append(pack(sizes[mine], flat[_ranges((ends - sizes)[mine], n)]))
+        made = pa.table({"part": rows["part"], "block": rows["block"], "digest": rows["digest"], "pack": pa.array(packs, pa.binary())})
         give_back()
-        return pa.table({"part": rows["part"], "block": rows["block"], "digest": rows["digest"], "pack": pa.array(packs, pa.binary())})
+        return made
 
     def together(ids_: pa.Array, sizes: np.ndarray, flat: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray) -> pa.Table:
         length = np.concatenate([p[0] for p in packs])[order].astype(np.int64) if packs else np.zeros(0, np.int64)

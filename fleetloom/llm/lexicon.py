@@ -16,20 +16,22 @@ import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, pick, utf8
+from ._common import cut, pick
 from .blocks import pack, unpack
 from .files import put, whole
+from .repeats import Rolling, _ranges
 
 BLOCK_BYTES, PART_BYTES = 3 << 20, 8 << 20
+_BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, np.uint64)
 
 
 def kept_by_worker(key, make):
@@ -49,46 +51,75 @@ def give_back() -> None:
         pass  # not this C library
 
 
-class Numbered(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 @dataclass
 class Lexed:
-    """ids: of documents, null ones 0. null: whether they are. sizes: their numbers of words. flat: the words' numbers. words: by number, frequent ones first."""
+    """ids: of documents, null ones 0. null: whether they are. sizes: their numbers of words. flat: the words' numbers.
+
+    lengths, data: the words by number, frequent ones first, one after the other.
+    """
 
     ids: np.ndarray
     null: np.ndarray
     sizes: np.ndarray
     flat: np.ndarray
-    words: list[bytes]
+    lengths: np.ndarray
+    data: np.ndarray
 
     def parts(self, n: int) -> np.ndarray:
         """The hash partition of each word."""
-        return np.fromiter((xxhash.xxh64_intdigest(w, 5) % n for w in self.words), np.uint32, len(self.words))
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        return (Rolling(_BYTE[self.data]).some(ends - self.lengths, ends) % np.uint64(n)).astype(np.uint32)
+
+
+def texts_of(column: pa.Array) -> pa.Array:
+    """Whole texts; null is empty. Copied, as kernels of Arrow go wrong on offsets that don't begin at 0."""
+    return spell(*spelled(column.cast(pa.large_string()).fill_null(""))).cast(pa.large_string())
+
 
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of words in bytes, and the bytes one after the other."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return np.diff(at).astype(np.uint32), held[at[0] : at[-1]]
 
-def numbered(texts: list[list]) -> tuple[list[np.ndarray], dict]:
-    """Texts as arrays of the numbers of their words, and those numbers."""
-    known = dict.fromkeys(chain.from_iterable(texts))
-    known = dict(zip(known, range(len(known)), strict=True))
-    return [np.fromiter(map(known.__getitem__, t), np.uint32, len(t)) for t in texts], known
 
+def spell(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Words from their lengths and bytes."""
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-def lexed(texts: list[bytes], column: pa.Array, lexer: Callable) -> Lexed:
-    """Documents with the ids of a column as one block."""
-    null = column.is_null().to_numpy(zero_copy_only=False)
-    ids = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-    each, words = lexer(texts)
-    sizes, flat = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+
+def taken(lengths: np.ndarray, data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in another order."""
+    ends, sizes = np.cumsum(lengths, dtype=np.int64), lengths[order].astype(np.int64)
+    return lengths[order], data[_ranges((ends - lengths)[order], sizes)]
+
+
+def numbered(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lists of words as the lists' sizes, the words' numbers, and the distinct words by number. Empty words are left out."""
+    flat = parts.flatten().dictionary_encode()
+    words, sizes = flat.dictionary, pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:
+        real = numbers != empty
+        sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(sizes)])])
+        numbers = numbers[real]
+        numbers -= numbers > empty
+        words = words.filter(pc.not_equal(words, ""))
+    return sizes, numbers, words
+
+
+def lexed(ids: pa.Array, texts: pa.Array, lexer: Callable) -> Lexed:
+    """Documents as one block. lexer(texts): sizes of documents in words, the words' numbers, the words."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    sizes, flat, words = lexer(texts)
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.uint32)
     rank[order] = np.arange(len(words), dtype=np.uint32)
-    return Lexed(ids, null, sizes, rank[flat], [words[i] for i in order.tolist()])
+    return Lexed(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), null, sizes, rank[flat], *taken(*spelled(words), order))
 
 
 def few(x: np.ndarray, n: int) -> np.ndarray:
@@ -105,16 +136,17 @@ def words_sent(docs: DataFrame, lexer: Callable, parts: int, folder: str, weigh:
 
     def send(block: int, found: Lexed) -> pa.RecordBatch:
         of, weights = found.parts(parts), weigh(found) if weigh else np.zeros(0, np.uint32)
-        lengths, data = np.fromiter(map(len, found.words), np.uint32, len(found.words)), np.frombuffer(b"".join(found.words), np.uint8)
-        mine = [found.ids, found.null, found.sizes.astype(np.uint32), few(found.flat, len(found.words)), few(of, parts)]
-        digest = xxhash.xxh64_intdigest(b"".join([*(x.tobytes() for x in mine), lengths.tobytes(), data.tobytes()])) >> 1
-        put(folder, _name(block, digest), [pack(*mine, *([lengths, data] if keep else []))])
+        words = [found.lengths, found.data]
+        mine = [found.ids, found.null, found.sizes.astype(np.uint32), few(found.flat, len(of)), few(of, parts)]
+        digest = xxhash.xxh64_intdigest(b"".join(x.tobytes() for x in [*mine, *words])) >> 1
+        put(folder, _name(block, digest), [pack(*mine, *(words if keep else []))])
         order = np.argsort(of, kind="stable")
+        lengths, data = taken(*words, order)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         cuts = np.flatnonzero(np.diff(of[order], prepend=-1)) if len(of) else np.zeros(0, np.int64)
         packs = []
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            to = order[a:b]
-            packs.append(pack(lengths[to], np.frombuffer(b"".join([found.words[i] for i in to.tolist()]), np.uint8), weights[to] if weigh else weights))
+            packs.append(pack(lengths[a:b], data[ends[a] : ends[b]], weights[order[a:b]] if weigh else weights))
         to = of[order[cuts]].astype(np.int32)
         if not packs:
             packs, to = [pack(lengths, data, weights)], np.zeros(1, np.int32)
@@ -125,7 +157,7 @@ def words_sent(docs: DataFrame, lexer: Callable, parts: int, folder: str, weigh:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in cut([batch], "text", BLOCK_BYTES):
-                made = send(block, lexed(utf8(part.column(1)), part.column(0), lexer))
+                made = send(block, lexed(part.column(0), texts_of(part.column(1)), lexer))
                 give_back()
                 yield made
                 block += 1
@@ -137,15 +169,12 @@ def _name(block: int, digest: int) -> str:
     return f"{block:016x}-{digest:016x}.block"
 
 
-def sent_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
-    sizes, data, weights = unpack(packed)
-    return cut_up(sizes, data), weights
-
-
-def cut_up(sizes: np.ndarray, data: np.ndarray) -> list[bytes]:
-    """Words that lie one after the other."""
-    raw, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64)
-    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+def sent_words(packs: list[bytes]) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+    """The distinct words of packs, and of each pack the numbers of its words and their weights."""
+    got = [unpack(x) for x in packs]
+    words = spell(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])).dictionary_encode()
+    numbers = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return words.dictionary, np.split(numbers, np.cumsum([len(g[0]) for g in got])[:-1]), [g[2] for g in got]
 
 
 def held(folder: str, block: int, digest: int) -> list[np.ndarray]:

@@ -7,22 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pick, shared_dir, written
 from .gru import Shape, Trainer, flat, scores, start, unflat
 from .blocks import pack
-from .lexicon import Lexed, Numbered, cut_up, give_back, held, joined, numbered, parts_of, sent_words, words_sent
+from .lexicon import Lexed, give_back, held, joined, numbered, parts_of, sent_words, spell, words_sent
 
 #: The end of a document as a word. No word of a text is empty.
 END = b""
 
 
-def lower_words(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Texts as numbers of their words and the end, and those: A-Z are lower-cased."""
-    each, known = numbered([[*t.lower().split(), END] for t in texts])
-    return each, list(known)
+def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts as sizes and numbers of their words and the end, and those: A-Z are lower-cased."""
+    sizes, numbers, words = numbered(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+    flat = np.full(len(numbers) + len(sizes), len(words), np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    inner = np.ones(len(flat), bool)
+    inner[ends] = False
+    flat[inner] = numbers
+    return sizes + 1, flat, pa.concat_arrays([words.cast(pa.large_binary()), pa.array([END], pa.large_binary())])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -46,20 +52,12 @@ def word_counts(docs: DataFrame, parts: int, heads: int, tails: int, folder: str
 
     def weigh(found: Lexed) -> np.ndarray:
         mine = ~_kept_out(pa.array(found.ids, mask=found.null))
-        return np.bincount(found.flat[np.repeat(mine, found.sizes)], minlength=len(found.words)).astype(np.uint32)
+        return np.bincount(found.flat[np.repeat(mine, found.sizes)], minlength=len(found.lengths)).astype(np.uint32)
 
     def count(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
-        number, asked = Numbered(), []
-        total = np.zeros(1 << 16, np.int64)
-        for packed in rows["pack"].to_pylist():
-            words, weights = sent_words(packed)
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            if len(number) > len(total):
-                total = np.concatenate([total, np.zeros(max(len(total), len(number)), np.int64)])
-            total[at] += weights  # a block has each word once
-            asked.append(at.astype(np.uint32))
-        words = list(number)
-        total = total[: len(words)]
+        found, asked, weights = sent_words(rows["pack"].to_pylist())
+        words = found.to_pylist()
+        total = np.bincount(np.concatenate(asked), np.concatenate(weights), len(words)).astype(np.int64)
         top = np.argsort(-total, kind="stable")
         if len(top) > heads:  # all that the last of them ties with
             top = top[: int(np.searchsorted(-total[top], -total[top[heads - 1]], "right"))]
@@ -103,7 +101,7 @@ def train(blocks: DataFrame, folder: str, heads: dict[bytes, int], shape: Shape,
             for batch in batches:
                 for block, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids, null, sizes, numbers, _, lengths, data = held(folder, block, digest)
-                    rows = _rows(heads, shape, cut_up(lengths, data)).astype(np.int64)[numbers]
+                    rows = _rows(heads, shape, spell(lengths, data).to_pylist()).astype(np.int64)[numbers]
                     each = np.split(rows, np.cumsum(sizes, dtype=np.int64)[:-1])
                     out = _kept_out(pa.array(ids, mask=null)).tolist()
                     texts += [t for t, o in zip(each, out, strict=True) if not o]
@@ -179,7 +177,7 @@ def scored(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, rate: float
     values = flat(params)
 
     def finish(ids: pa.Array, sizes: np.ndarray, numbers: np.ndarray, packs: list[list[np.ndarray]], order: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> pa.Table:
-        row = _rows(heads, shape, cut_up(lengths, data)).astype(np.int64)
+        row = _rows(heads, shape, spell(lengths, data).to_pylist()).astype(np.int64)
         c = np.concatenate([p[0] for p in packs])[order].astype(np.float64)
         tail = np.maximum(row - shape.head, 0)
         within = np.where(row < shape.head, 0.0, np.log((c + 0.5) / (tail_n[tail] + 0.5 * (tail_v[tail] + 1))))

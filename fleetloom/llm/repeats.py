@@ -6,13 +6,14 @@ alike, whatever surrounds them. A maximal run of window starts that choose one k
 stretch: the k-gram with what its windows reach to the left and right, at most 2 * length - k symbols.
 
 1. Blocks send the hashes of their chosen k-grams, packed; those found in two documents are repeated.
-2. Blocks send their distinct stretches around repeated k-grams, each with its smallest doc_id, to the
-   hash partition of the k-gram. There equal windows of different stretches meet, and the smallest
-   doc_id of each window is known.
+2. Blocks send their distinct stretches around repeated k-grams, each with what it holds and its
+   smallest doc_id, to the hash partition of the k-gram. There stretches are compared by what they
+   hold, equal windows of different stretches meet, and the smallest doc_id of each window is known.
 3. Blocks hear that smallest doc_id for those of their windows where it is smaller than an own one.
 
 Nothing is expanded into pairs, and no window that could repeat is left out: a window equal to one in
-another document has its k-gram in both, so both stretches reach the same hash partition.
+another document has its k-gram in both, so both stretches reach the same hash partition. Hashes only
+say where to meet and, within one block, which stretches are equal (64 bits, some 2 ** 17 a block).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from .blocks import Block, met, pack, packs, parts_for, returned, unpack
 
 _BASE = 0x9E3779B97F4A7C15
-_LOW = np.uint64(0xFFFFFFFF)
+LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _powers: dict[str, np.ndarray] = {}
 
@@ -83,10 +84,11 @@ def least_in_window(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Stretches:
-    """first, last: window starts. anchor: hash of the chosen k-gram. key: hash of the whole stretch."""
+    """first, last: window starts. place: of the chosen k-gram. anchor: its hash. key: hash of the whole stretch."""
 
     first: np.ndarray
     last: np.ndarray
+    place: np.ndarray
     anchor: np.ndarray
     key: np.ndarray
     doc: np.ndarray
@@ -98,10 +100,10 @@ def stretches(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> S
     rolling = Rolling(symbols)
     none = np.zeros(0, np.int64)
     if len(symbols) < length:
-        return Stretches(none, none, none.astype(np.uint64), none.astype(np.uint64), none, rolling)
+        return Stretches(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, rolling)
     hashes = rolling.every(k)
     places = np.arange(len(hashes), dtype=np.uint64)
-    chosen = least_in_window((hashes & _HIGH) | (_LOW - places), length - k + 1)  # of equal ones the last
+    chosen = least_in_window((hashes & _HIGH) | (LOW - places), length - k + 1)  # of equal ones the last
     step = np.zeros(len(symbols) + 1, np.int32)
     np.add.at(step, starts[:-1], 1)
     np.add.at(step, np.maximum(starts[:-1], starts[1:] - length + 1), -1)
@@ -112,14 +114,14 @@ def stretches(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> S
     lasts = np.append(begins[1:], len(chosen)) - 1
     good = inside[begins]
     first, last = begins[good], lasts[good]
-    anchor = hashes[(_LOW - (chosen[first] & _LOW)).astype(np.int64)]
+    place = (LOW - (chosen[first] & LOW)).astype(np.int64)
     key = rolling.some(first, last + length)
-    return Stretches(first, last, anchor, key, np.searchsorted(starts, first, "right") - 1, rolling)
+    return Stretches(first, last, place, hashes[place], key, np.searchsorted(starts, first, "right") - 1, rolling)
 
 
 def by_part(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Hash partition in the upper half, 32 bits to tell hashes apart there in the lower one."""
-    return ((hashes >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (hashes & _LOW)
+    return ((hashes >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (hashes & LOW)
 
 
 def slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -144,17 +146,18 @@ def _grams(found: Stretches, ids: np.ndarray, parts: int) -> tuple[np.ndarray, n
 def smallest_starts(
     blocks: DataFrame,
     read: Callable[[Block], tuple[np.ndarray, np.ndarray]],
-    content: Callable[[Stretches, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    meet: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    content: Callable[[Stretches, np.ndarray, Block], tuple[np.ndarray, ...]],
+    meet: Callable[..., np.ndarray],
     length: int,
     k: int,
     part_bytes: int,
 ) -> DataFrame:
     """Answers to blocks: (key, from, to, least), window starts of the stretch `key` and their smallest doc_id.
 
-    read(block): symbols, offsets. content(stretches, chosen, symbols): an array that describes those
-    stretches one after the other, and how much of it each has, for meet(numbers of windows, smallest
-    doc_ids, contents), which returns the smallest doc_id of each window of each stretch.
+    read(block): symbols, offsets. content(stretches, chosen, block): the bytes of those stretches one
+    after the other, how many each has, and further numbers of each, for meet(numbers of windows,
+    phrase of each occurrence, its doc_id, bytes, sizes, further numbers), which returns the smallest
+    doc_id of each window of each distinct stretch ("phrase").
     """
     parts = parts_for(blocks, part_bytes)
 
@@ -162,7 +165,7 @@ def smallest_starts(
         symbols, starts = read(block)
         keys, twice = _grams(stretches(symbols, starts, length, k), block.ids, parts)
         for part, a, b in slices(keys):
-            yield part, pack((keys[a:b] & _LOW).astype(np.uint32), np.packbits(twice[a:b]))
+            yield part, pack((keys[a:b] & LOW).astype(np.uint32), np.packbits(twice[a:b]))
 
     def shared(numbers: list[int], sent: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = [unpack(x) for x in sent]
@@ -203,29 +206,31 @@ def smallest_starts(
         for part, a, b in slices(mine[one]):
             chosen = one[a:b]
             windows = (found.last[chosen] - found.first[chosen] + 1).astype(np.uint16)
-            yield part, pack(found.key[chosen], found.anchor[chosen], low[a:b], high[a:b], windows, *content(found, chosen, symbols))
+            yield part, pack(found.key[chosen], found.anchor[chosen], low[a:b], high[a:b], windows, *content(found, chosen, block))
 
     def resolve(numbers: list[int], sent: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = [unpack(x) for x in sent]
         key, anchor, low, high, windows = (np.concatenate([g[i] for g in got]) for i in range(5))
         windows = windows.astype(np.int64)
         owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        # The dictionary: distinct stretches, with their smallest doc_id in the corpus.
-        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        flat, sizes, *more = (np.concatenate([g[i] for g in got]) for i in range(5, len(got[0])))
+        sizes = sizes.astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        one, which = distinct(key, flat, at, sizes)
+        # Where a k-gram has one stretch only, its windows have no others to meet.
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
-        # Where a k-gram has one stretch only, its windows have no others to meet.
         _, group, count = np.unique(anchor[one], return_inverse=True, return_counts=True)
         crowd = np.flatnonzero(count[group] > 1)
         size = windows[one]
         ends = np.cumsum(size)
         smallest = np.repeat(least, size)
         if len(crowd):
-            flat, sizes = (np.concatenate([g[i] for g in got]) for i in (5, 6))
-            sizes = sizes.astype(np.int64)
             rows = one[crowd]
-            flat = flat[_ranges((np.cumsum(sizes) - sizes)[rows], sizes[rows])]
-            smallest[_ranges(ends[crowd] - size[crowd], size[crowd])] = meet(size[crowd], least[crowd], flat)
+            number = np.full(len(one), -1)
+            number[crowd] = np.arange(len(crowd))
+            occur = np.flatnonzero(number[which] >= 0)
+            smallest[_ranges(ends[crowd] - size[crowd], size[crowd])] = meet(size[crowd], number[which[occur]], low[occur], flat[_ranges(at[rows], sizes[rows])], sizes[rows], *(m[rows] for m in more))
         # Runs of windows with one smallest doc_id.
         new = np.zeros(len(smallest), bool)
         new[ends - size] = True
@@ -256,6 +261,26 @@ def smallest_starts(
     return met(sent, resolve)
 
 
+def distinct(key: np.ndarray, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct stretch, and which of them each is. Equal hashes are held against the bytes."""
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    same = sizes == sizes[one[which]]
+    held = np.flatnonzero(same & (one[which] != np.arange(len(key))))
+    odd = flat[_ranges(at[held], sizes[held])] != flat[_ranges(at[one[which[held]]], sizes[held])]
+    same[np.repeat(held, sizes[held])[odd]] = False
+    if not same.all():  # hashes that collide: these are told apart by what they hold
+        known: dict[tuple, int] = {}
+        extra = []
+        for i in np.flatnonzero(~same).tolist():
+            held_ = (int(key[i]), flat[at[i] : at[i] + sizes[i]].tobytes())
+            if held_ not in known:
+                known[held_] = len(one) + len(extra)
+                extra.append(i)
+            which[i] = known[held_]
+        one = np.concatenate([one, np.array(extra, one.dtype)])
+    return one, which
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... of sizes[i], one range after the other."""
     total = int(sizes.sum())

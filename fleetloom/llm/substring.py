@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import NO_ID
 from .blocks import Block, returned, staged
 from .repeats import Rolling, Stretches, _ranges, covered, smallest_starts, stretches
 
@@ -15,9 +14,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, 256, np.uint64)
 
 
-def word_symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Each word of a block as a 64-bit hash; offsets of its documents in them."""
-    # A space after each document keeps its last word from the next one's first.
+def word_places(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a block with a space after each document, where its words begin and end, and offsets of documents in them."""
+    if hasattr(block, "_places"):
+        return block._places
+    # The space keeps a document's last word from the next one's first.
     n = len(block.ids)
     data = np.full(len(block.data) + n, 32, np.uint8)
     sizes = np.diff(block.starts)
@@ -25,8 +26,70 @@ def word_symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
     letter = ~_SPACE[data]
     turn = np.diff(letter.astype(np.int8), prepend=0, append=0)
     first, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    symbols = Rolling(_BYTE[data]).some(first, end) ^ (end - first).astype(np.uint64)
-    return symbols, np.searchsorted(first, np.append(block.starts[:-1] + np.arange(n), len(data)))
+    block._places = data, first, end, np.searchsorted(first, np.append(block.starts[:-1] + np.arange(n), len(data)))
+    return block._places
+
+
+def word_symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Each word of a block as a 64-bit hash; offsets of its documents in them."""
+    data, first, end, starts = word_places(block)
+    return Rolling(_BYTE[data]).some(first, end) ^ (end - first).astype(np.uint64), starts
+
+
+def _classes(own: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of numbers: a number for each that two or more have alike, and which those are."""
+    _, which, count = np.unique(own * (int(more.max(initial=0)) + 1) + more, return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    return which, shared
+
+
+def extended(words: np.ndarray, begins: np.ndarray, sizes: np.ndarray, seed: np.ndarray, length: int) -> tuple[list, list]:
+    """Seeds extended word by word: for each number of words to the left of the seed's begin, and to its
+    right, the stretches that agree so far with another one, and the class of those that agree.
+
+    A stretch goes no further where no other agrees, or where it ends.
+    """
+    sides = []
+    for step in (-1, 1):
+        alive = np.arange(len(begins))
+        own = np.zeros(len(begins), np.int64)
+        found = [(alive, own)]
+        for j in range(length):
+            at = seed[alive] + (j if step > 0 else -1 - j)
+            inside = (at >= 0) & (at < sizes[alive])
+            alive, own = alive[inside], own[inside]
+            own, shared = _classes(own, words[begins[alive] + at[inside]])
+            alive, own = alive[shared], own[shared]
+            found.append((alive, own))
+            if not len(alive):
+                break
+        sides.append(found)
+    return sides[0], sides[1]
+
+
+def smallest_by_seed(words: np.ndarray, sizes: np.ndarray, seed: np.ndarray, windows: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """The smallest doc_id of each window of stretches, from seeds at places `seed` and doc_ids `least`.
+
+    Windows of two stretches are equal where what lies to the left of the seeds and what lies to their
+    right agree as far as the window reaches.
+    """
+    begins, at = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    out = np.repeat(least, windows)
+    left, right = extended(words, begins, sizes, seed, length)
+    for l_, (here, own) in enumerate(left):
+        if length - l_ >= len(right):
+            continue
+        there, other = right[length - l_]
+        both, i, j = np.intersect1d(here, there, assume_unique=True, return_indices=True)
+        ok = (seed[both] >= l_) & (seed[both] - l_ < windows[both])
+        both, i, j = both[ok], i[ok], j[ok]
+        if not len(both):
+            continue
+        _, which = np.unique(own[i] * (int(other.max(initial=0)) + 1) + other[j], return_inverse=True)
+        small = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(small, which, least[both])
+        out[at[both] + seed[both] - l_] = small[which]
+    return out
 
 
 def repeated_words(docs: DataFrame, length: int = 50, seed_words: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 16 << 20) -> DataFrame:
@@ -37,25 +100,31 @@ def repeated_words(docs: DataFrame, length: int = 50, seed_words: int = 16, bloc
     runs of such words, kept is what is left, joined by single spaces.
 
     Seeds are winnowed: of the `seed_words`-grams in a window the one with the least hash. Documents
-    meet at seeds that two of them have; there each seed is extended to both sides, by the hash of
-    every `length`-word window around it, and windows that agree over the whole length are matches;
-    overlapping ones merge to maximal repeats. See repeats.py for how hot seeds stay cheap.
+    meet at seeds that two of them have, with the words that windows around the seed reach. There the
+    words are compared one by one, from the seed to the left and to the right, as long as another
+    document agrees; runs of `length` words that agree are matches, and overlapping ones merge to
+    maximal repeats. See repeats.py for how hot seeds stay cheap.
 
     Null text: as empty. A null doc_id counts as larger than any other. Rows with one doc_id never
-    cost each other words. Texts shorter than the window lose nothing. No documents: no rows.
+    cost each other words. Texts shorter than the window lose nothing; a text of more than block_bytes
+    is a block of its own. No documents: no rows.
     """
     blocks = staged(docs, block_bytes)
 
-    def content(found: Stretches, chosen: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = found.last[chosen] - found.first[chosen] + 1
-        starts = _ranges(found.first[chosen], sizes)
-        return found.rolling.some(starts, starts + length), sizes.astype(np.uint16)
-
-    def meet(windows: np.ndarray, least: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        _, which = np.unique(hashes, return_inverse=True)
-        smallest = np.full(len(hashes), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, which, np.repeat(least, windows))
-        return smallest[which]
+    def content(found: Stretches, chosen: np.ndarray, block: Block) -> tuple[np.ndarray, ...]:
+        data, first, end, _ = word_places(block)
+        n = found.last[chosen] - found.first[chosen] + length
+        word = _ranges(found.first[chosen], n)
+        sizes = end[word] - first[word] + 1  # with a space after each
+        taken = data[_ranges(first[word], sizes)]
+        taken[np.cumsum(sizes) - 1] = 32
+        return taken, np.add.reduceat(sizes, np.cumsum(n) - n).astype(np.uint32), (found.place[chosen] - found.first[chosen]).astype(np.uint16)
+
+    def meet(windows: np.ndarray, phrase: np.ndarray, docs_: np.ndarray, data: np.ndarray, sizes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        words = pa.array(data.tobytes().split(b" ")[:-1], pa.large_binary()).dictionary_encode().indices.to_numpy()
+        least = np.full(len(windows), np.iinfo(np.int64).max)
+        np.minimum.at(least, phrase, docs_)
+        return smallest_by_seed(words.astype(np.int64), windows + length - 1, seed.astype(np.int64), windows, least, length)
 
     def finish(number: int, block: Block, told: dict[int, bytes]) -> pa.Table:
         symbols, starts = word_symbols(block)
@@ -68,7 +137,7 @@ def repeated_words(docs: DataFrame, length: int = 50, seed_words: int = 16, bloc
             kept.append(b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if n_removed[-1] else words))
         return pa.table(
             {
-                "doc_id": pa.array(block.ids, mask=block.ids == NO_ID),
+                "doc_id": block.named(),
                 "n_words": pa.array(np.diff(starts), pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "n_repeats": pa.array(n_repeats, pa.int64()),

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import NO_ID, pick
+from ._common import pick
 from .blocks import Block, returned, staged
 from .repeats import Stretches, _ranges, covered, smallest_starts, stretches
 
@@ -44,20 +44,35 @@ def prefix_ranks(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarra
     return ranks[places]
 
 
-def suffix_order(phrases: list[bytes], parse: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
-    """Corpus positions (doc, phrase place, offset) in order of their `length`-byte strings, then of the parse.
+def suffix_array(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffixes of a dictionary at these places: their order by their first `length` bytes, and where in it each run of equal ones begins."""
+    ranks = prefix_ranks(data, places, length)
+    order = np.argsort(ranks, kind="stable")
+    return order, np.flatnonzero(np.diff(ranks[order].astype(np.int64), prepend=-1))
 
-    phrases: the dictionary. parse: (doc, phrase) in corpus order. The suffix array of the dictionary
-    orders the suffixes of phrases that have `length` bytes; occurrences in the parse inherit it.
+
+def parse_array(phrase: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parse's places in order of their phrase, then of their document, and where each phrase begins.
+
+    The strings asked for end within their phrase, so what follows in the parse orders none of them.
+    """
+    order = np.lexsort((docs, phrase))
+    return order, np.flatnonzero(np.diff(phrase[order], prepend=-1))
+
+
+def smallest_in_corpus(windows: np.ndarray, phrase: np.ndarray, docs: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """The smallest document that has each `length`-byte string of the phrases, which lie in data one after the other.
+
+    Corpus order of all strings: by the suffix array of the dictionary, and among equal ones by that of
+    the parse. In it, the first of a run of equal strings is that with the smallest document.
     """
-    data = np.frombuffer(b"".join(phrases), np.uint8)
-    sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
-    begins = np.cumsum(sizes) - sizes
-    n = np.maximum(sizes - length + 1, 0)
-    ranks = prefix_ranks(data, _ranges(begins, n), length)
-    at = np.cumsum(n) - n
-    out = [(int(ranks[at[p] + o]), d, i, o) for i, (d, p) in enumerate(parse) for o in range(int(n[p]))]
-    return [x[1:] for x in sorted(out)]
+    sizes = windows + length - 1
+    order, runs = suffix_array(data, _ranges(np.cumsum(sizes) - sizes, windows), length)
+    in_parse, begins = parse_array(phrase, docs)
+    first = docs[in_parse[begins]][np.repeat(np.arange(len(windows)), windows)[order]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(first, runs), np.diff(np.append(runs, len(order))))
+    return out
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -70,28 +85,26 @@ def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, b
     Prefix-free parsing: a rolling hash over `trigger_bytes` bytes sets off a phrase at its minimum
     within each string, so triggers lie at most `length` bytes apart, and a phrase overlaps the next
     by length - 1 bytes: each `length`-byte string starts in exactly one phrase and ends within it,
-    and no proper suffix that counts is the prefix of another. Equal phrases are one entry of the
-    dictionary, with the smallest doc_id of the parse. The suffix array of the dictionary brings
-    equal strings of different phrases together; their smallest doc_id goes back to the parse.
-    Dictionary and parse are cut up by the hash of the trigger, which equal strings share, so the
-    array is made in pieces of bounded size, and phrases whose trigger one document alone has stay out.
+    and no proper suffix that counts is the prefix of another. Equal phrases, told by their bytes, are
+    one entry of the dictionary, and the parse is the list of who has which. The suffix array of the
+    dictionary, made by prefix doubling, and that of the parse combine into corpus order, where the
+    first of equal strings is that with the smallest doc_id. Dictionary and parse are cut up by the
+    hash of the trigger, which equal strings share, so the arrays are made in pieces of bounded size,
+    and phrases whose trigger one document alone has stay out.
 
     Null text: as empty. A null doc_id counts as larger than any other. Rows with one doc_id never
-    cost each other bytes. Texts shorter than the string lose nothing. No documents: no rows.
+    cost each other bytes. Texts shorter than the string lose nothing; a text of more than block_bytes
+    is a block of its own. No documents: no rows.
     """
     blocks = staged(docs, block_bytes, carry)
     others = "".join(f", {pick(docs, c).schema.simpleString()[7:-1].replace(':', ' ', 1)}" for c in carry)
 
-    def content(found: Stretches, chosen: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def content(found: Stretches, chosen: np.ndarray, block: Block) -> tuple[np.ndarray, ...]:
         sizes = found.last[chosen] - found.first[chosen] + length
-        return _LETTER[_letters(symbols[_ranges(found.first[chosen], sizes)])], sizes.astype(np.uint16)
+        return block.data[_ranges(found.first[chosen], sizes)], sizes.astype(np.uint16)
 
-    def meet(windows: np.ndarray, least: np.ndarray, data: np.ndarray) -> np.ndarray:
-        sizes = windows + length - 1
-        ranks = prefix_ranks(data, _ranges(np.cumsum(sizes) - sizes, windows), length).astype(np.int64)
-        smallest = np.full(int(ranks.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, ranks, np.repeat(least, windows))
-        return smallest[ranks]
+    def meet(windows: np.ndarray, phrase: np.ndarray, docs_: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return smallest_in_corpus(windows, phrase, docs_, data, length)
 
     def finish(number: int, block: Block, told: dict[int, bytes]) -> pa.Table:
         symbols, starts = byte_symbols(block)
@@ -104,7 +117,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, b
             kept.append(block.data[a:b][~out].tobytes() if n_removed[-1] else text)
         return pa.table(
             {
-                "doc_id": pa.array(block.ids, mask=block.ids == NO_ID),
+                "doc_id": block.named(),
                 "n_bytes": pa.array(np.diff(starts), pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "n_spans": pa.array(n_spans, pa.int64()),
@@ -117,16 +130,6 @@ def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, b
     return returned(blocks, answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + others)
 
 
-_ORDER = np.argsort(_BYTE)
-_SORTED = _BYTE[_ORDER]
-_LETTER = _ORDER.astype(np.uint8)
-
-
-def _letters(symbols: np.ndarray) -> np.ndarray:
-    """Places of symbols in the sorted table, to get bytes back."""
-    return np.searchsorted(_SORTED, symbols)
-
-
 def op10_suffix_dedup(spark, sf_dir):
     """Contract query of operator 10 over all of documents."""
     from pyspark.sql import functions as F
