@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space. `bytes.split()` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Stands for a null document id inside kernels: larger than any other id.
+#: Stands for a null document id where ids are compared; a mask tells it from a document that has this id.
 NO_ID = (1 << 63) - 1
 
 
@@ -41,9 +41,10 @@ def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
-    """Shuffle partitions for n_bytes: the session's number, or more where they would be large."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more, by whatever file system Spark has for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

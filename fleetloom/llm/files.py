@@ -32,12 +32,6 @@ def whole(folder: str, name: str) -> bytes:
         return f.read()
 
 
-def remove(folder: str) -> None:
-    """Deletes a folder that nothing reads any more."""
-    fs, base = opened(folder)
-    fs.delete_dir(base)
-
-
 class Ranges:
     """Reads ranges of one file after the other."""
 
