@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import dropped, shared_dir, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,11 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     repeated links do no harm; links with a null end are no links. No links: no rows.
     """
     # Orient each link from the larger end to the smaller.
-    edges = written(
-        links.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
+    spark, at = links.sparkSession, shared_dir(links.sparkSession)
+    edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), at)
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -29,7 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(hung.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, at = at, shared_dir(spark)
+        edges = written(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), at)
+        dropped(spark, last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break

@@ -8,11 +8,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, utf8, written
+from ._common import cut, dropped, pick, shared_dir, utf8, written
+from .blocks import pack, unpack
+from .files import put, whole
 from .graph import components
+from .lexicon import by_block, give_back, parts_of
+from .repeats import LOW, by_part, slices
 
 BITS = 64
 
@@ -130,85 +135,142 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(found, np.uint64).view(np.int64))
 
 
-#: Texts whose shingles tell which are common, and how many common ones the executors are told.
-ORDER_TEXTS, MOST_COMMON = 20_000, 500_000
+#: Rounds in which sets of a shingle are held against a hub of it before the pairs that are left.
+HUB_ROUNDS = 2
 
 
-def _common_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles that several of some ORDER_TEXTS sets have, sorted. They only order shingles, so any choice is right."""
-    share = max(1, sets.count() // ORDER_TEXTS)
-    some = sets.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp", "sh").dropDuplicates(["fp"])
-    seen = some.select(F.explode("sh").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 2")
-    return np.sort(seen.orderBy(F.desc("c"), "k").limit(MOST_COMMON).select("k").toArrow()["k"].to_numpy())
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, component_id): near copies by the Jaccard similarity of their `words`-word shingles, with
     the smallest doc_id of their group. Every pair of `similarity` or more is linked, and no other.
 
-    Two sets that similar share one of their first n - ceil(similarity * n) + 1 shingles, in whatever
-    order all sets are held; common shingles come last, so few other pairs meet. Sets that meet are
-    compared whole: first each with the smallest and the largest fingerprint of its shingle, and then
-    all pairs whose ends are not yet in one group. Equal sets are one class (64-bit digest) and cost
-    no pairs.
-
-    Null and empty texts have no shingles and link with nothing. Null doc_id: linked like any other,
-    never a component_id unless all of the group are null. Repeated rows stay rows.
+    Multi-index hashing finds the fingerprints at most `radius` bits apart, and their shingle sets are
+    then compared whole. Sets as far apart as `similarity` allows differ in a sixth of all bits, and no
+    balls of a few flips reach there; so for the rest sets meet at shingles. How many texts have a
+    shingle is counted over all of them. A text with more shingles of its own than `similarity` leaves
+    open is near no other and takes no further part, fingerprints included. The others meet at the
+    first n - ceil(similarity * n) + 1 of their shingles, the rarest first; two that similar share one
+    of those. Sets that meet are first held against some hubs of their shingle, the one whose shingles
+    most texts have before all, round by round, while sets of one shingle are in several groups; only
+    pairs whose ends are in two groups then are left to compare. So a large group costs no pairs, its
+    hub has them all. Of those pairs, the Hamming distance of 1024-bit parity sketches, which no two sets
+    exceed the difference of, leaves few. Equal sets are one class (64-bit digest) and cost no pairs.
+
+    Null and empty texts have no shingles and link with nothing; a text of fewer words is one shingle.
+    Null doc_id: linked like any other, never a component_id unless all of the group are null. Repeated
+    rows stay rows. A text of more than block_bytes is a block of its own. No documents: no rows.
     """
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    parts = parts_of(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in utf8(batch.column(1))]
-            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            sh = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(np.diff(ends)), sh], ["doc_id", "fp", "n", "sh"])
-
-    each = written(pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, n int, sh array<bigint>"))
-    spark, sets = docs.sparkSession, each.where("n > 0")
-    told = spark.sparkContext.broadcast(_common_shingles(sets))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = told.value
+    def keyed(flat: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each shingle as a by_part() key; the distinct ones in order, and how many classes of the block have them."""
+        keys, once = by_part(flat.view(np.uint64), parts), np.zeros(len(fps), bool)
+        once[np.unique(fps, return_index=True)[1]] = True
+        return keys, *np.unique(keys[np.repeat(once, sizes)], return_counts=True)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            fps, ns, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            takes = (ns - np.ceil(similarity * ns - 1e-9) + 1).astype(np.int64)
-            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-            often = common[at] == values if len(common) else np.zeros(len(values), bool)
-            for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), takes.tolist(), strict=True):
-                keys.append(values[a:b][np.argsort(often[a:b], kind="stable")[:t]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(fps, takes)), pa.array(np.repeat(ns, takes))], ["k", "fp", "n"])
-
-    keys = sets.select("fp", "n", "sh").mapInArrow(first, "k long, fp long, n int")
-    met = keys.groupBy("k").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp < hi.fp")
-    met = written(keys.join(met, "k").distinct())
-    held = written(sets.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "sh").dropDuplicates(["fp"]))
+            for part in cut([batch], "text", block_bytes):
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
+                ids = part.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                sets = [shingle_set(t, words) for t in utf8(part.column(1))]
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+                marks = np.array([_majority(x.view(np.uint64)) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                sizes, flat = np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
+                made = pack(ids, null, fps, marks, sizes, flat)
+                digest = xxhash.xxh64_intdigest(made) >> 1
+                put(folder, f"{block:016x}-{digest:016x}.sets", [made])
+                _, keys, counts = keyed(flat, sizes, fps)
+                sent = [(p, pack((keys[a:b] & LOW).astype(np.uint32), np.minimum(counts[a:b], 255).astype(np.uint8))) for p, a, b in slices(keys)]
+                sent = sent or [(0, pack(np.zeros(0, np.uint32), np.zeros(0, np.uint8)))]
+                n = len(sent)
+                out = pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in sent], pa.int32()), "block": pa.array([block] * n, pa.int64()), "digest": pa.array([digest] * n, pa.int64()), "pack": pa.array([x for _, x in sent], pa.binary())})
+                del sets, flat, made, keys, counts, sent
+                give_back()
+                yield out
+                block += 1
+
+    def count(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        got = [unpack(x) for x in rows["pack"].to_pylist()]
+        _, which = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        total = np.minimum(np.bincount(which, np.concatenate([g[1] for g in got])), 255).astype(np.uint8)
+        ends = np.cumsum([len(g[0]) for g in got]).tolist()
+        return pa.table({**{c: rows[c] for c in ("part", "block", "digest")}, "pack": pa.array([pack(total[which[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+    def finish(key: tuple[pa.Scalar, ...], told: pa.Table) -> pa.Table:
+        ids, null, fps, marks, sizes, flat = unpack(whole(folder, f"{key[0].as_py():016x}-{key[1].as_py():016x}.sets"))
+        keys, ranked, _ = keyed(flat, sizes, fps)
+        counts = np.concatenate([unpack(x)[0] for _, x in sorted(zip(told["part"].to_pylist(), told["pack"].to_pylist(), strict=True))])
+        often = counts[np.searchsorted(ranked, keys)] if len(keys) else counts
+        ends = np.cumsum(sizes)
+        spare = (sizes - np.ceil(similarity * sizes - 1e-9)).astype(np.int64)
+        own = np.diff(np.concatenate([[0], np.cumsum(often == 1)])[np.concatenate([[0], ends])])
+        met, sets, odds = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+        for i in np.flatnonzero((own <= spare) & (sizes > 0)).tolist():
+            a, b = int(ends[i] - sizes[i]), int(ends[i])
+            first = a + np.lexsort((flat[a:b], often[a:b]))[: spare[i] + 1]
+            met[i], sets[i] = flat[first[often[first] > 1]], flat[a:b]
+            odds[i] = np.packbits(np.bincount(flat[a:b] & 1023, minlength=1024) & 1).view(np.int64)
+        shared = np.diff(np.concatenate([[0], np.cumsum(often, dtype=np.int64)])[np.concatenate([[0], ends])]) * 1000 // np.maximum(sizes, 1)
+        made = pa.table({"doc_id": pa.array(ids, mask=null), "fp": pa.array(fps), "mark": pa.array(marks), "n": pa.array(sizes, pa.int32()), "own": pa.array(own, pa.int32()), "often": pa.array(shared, pa.int32()), "ks": pa.array(met, pa.list_(pa.int64())), "sh": pa.array(sets, pa.list_(pa.int64())), "odd": pa.array(odds, pa.list_(pa.int64()))})
+        give_back()
+        return made
+
+    sent = pick(docs, "doc_id", "text").mapInArrow(tell, "part int, block long, digest long, pack binary")
+    counted = sent.groupBy("part").applyInArrow(count, "part int, block long, digest long, pack binary")
+    each = written(by_block(counted, parts).applyInArrow(finish, "doc_id long, fp long, mark long, n int, own int, often int, ks array<bigint>, sh array<bigint>, odd array<bigint>"))
+    dropped(spark, folder)
+    held = written(each.where("ks is not null").select("fp", "mark", F.struct("n", "own").alias("size"), "often", "ks", "sh", "odd").dropDuplicates(["fp"]))
+
+    # Of two sets that similar, what one has and the other lacks is at most this share of both sizes; shingles of its own a set has alone.
+    apart = (1 - similarity) / (1 + similarity)
+    possible = (F.least("sa.n", "sb.n") >= similarity * F.greatest("sa.n", "sb.n") - 1e-9) & (F.col("sa.own") + F.col("sb.own") <= apart * (F.col("sa.n") + F.col("sb.n")) + 1e-9)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, na, nb) those that are similar."""
-        pairs = pairs.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (F.col("a") != F.col("b")))
+        """Of pairs (a, b, sa, sb) those that are similar."""
+        pairs = pairs.where(possible & (F.col("a") != F.col("b")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(held.select(F.col("fp").alias("a"), F.col("sh").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("sh").alias("y")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
         return written(shared.where(F.col("o") >= similarity * (F.col("s") - F.col("o")) - 1e-9).select("a", "b"))
 
-    ends = [met.select("fp", F.col(f"{e}.fp").alias("b"), "n", F.col(f"{e}.n").alias("nb")) for e in ("lo", "hi")]
-    links = linked(ends[0].union(ends[1]).distinct().toDF("a", "b", "na", "nb"))
-    roots = written(components(links))
-    rooted = met.join(roots, met.fp == roots.node, "left").select("k", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted)
-    open_ = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
-    left = written(rooted.join(open_, "k", "left_semi"))
-    x, y = left.toDF("k", "a", "na", "ra"), left.toDF("k2", "b", "nb", "rb")
-    fit = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))
-    rest = linked(x.join(y, (F.col("k") == F.col("k2")) & fit).select("a", "b", "na", "nb"))
+    # Of equal fingerprints the smallest class stands for all, and each of them is held against it.
+    marked = written(held.groupBy("mark").agg(F.min(F.struct("fp", "size")).alias("one")))
+    close = hamming_links(marked.select(F.col("mark").alias("fp")), radius, 4, 2)
+    one = lambda c: marked.select(F.col("mark").alias(c), F.col("one").alias(f"{c}1"))
+    close = close.join(one("a"), "a").join(one("b"), "b").select("a1.fp", "b1.fp", "a1.size", "b1.size").toDF("a", "b", "sa", "sb")
+    equal = held.select("fp", "mark", "size").join(marked, "mark").select("fp", "one.fp", "size", "one.size").toDF("a", "b", "sa", "sb")
+    keys = held.select(F.explode("ks").alias("k"), "fp", "size", "often")
+    several = keys.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("k")
+    met = written(keys.join(several, "k").select("k", "fp", "size", "often"))
+    links = linked(close.union(equal))
+    for i in range(HUB_ROUNDS + 1):
+        roots = written(components(links))
+        rooted = met.join(roots, met.fp == roots.node, "left").select("k", "fp", "size", "often", F.coalesce("root", "fp").alias("root"))
+        rooted = written(rooted)
+        open_ = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
+        met_ = rooted.join(open_, "k", "left_semi")
+        if i == HUB_ROUNDS:
+            break
+        rank = F.struct("often", "fp") if not i else F.struct(F.xxhash64("fp", F.lit(i)).alias("h"), "fp")
+        hubs = met_.groupBy("k").agg(F.max_by(F.struct("fp", "size", "root"), rank).alias("hub"))
+        stars = met_.join(hubs, "k").where("root <> hub.root").select("fp", "hub.fp", "size", "hub.size").toDF("a", "b", "sa", "sb")
+        links = written(links.union(linked(stars)))
+        met = written(met_.select("k", "fp", "size", "often"))
+    # Bits that tell of 1024 parts of all shingles whether a set has an odd number: where two sets' bits differ, they differ in a shingle at least.
+    left = written(met_.join(held.select("fp", "odd"), "fp").select("k", "fp", "size", "root", "odd"))
+    x, y = left.toDF("k", "a", "sa", "ra", "oa"), left.toDF("k2", "b", "sb", "rb", "ob")
+    differ = F.expr(" + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(16)))
+    fit = possible & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (differ <= apart * (F.col("sa.n") + F.col("sb.n")) + 1e-9)
+    rest = linked(x.join(y, (F.col("k") == F.col("k2")) & fit).select("a", "b", "sa", "sb"))
     roots = components(links.union(rest))
     classes = each.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
-    return sets.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id").union(each.where("n = 0").select("doc_id", F.col("doc_id").alias("component_id")))
+    found = each.where("n > 0").select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+    return found.union(each.where("n = 0").select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

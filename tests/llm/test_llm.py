@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from fleetloom.llm import bpe, contamination, gru, licenses, lm, quality, simhash, store, substring, suffix, warc
+from fleetloom.llm import bpe, contamination, gru, licenses, lm, quality, repeats, simhash, store, substring, suffix, warc
 from fleetloom.llm._common import shared_dir
 
 SCHEMA = "doc_id long, text string, w string, h long, block int"
@@ -26,6 +27,7 @@ def some_texts(seed=3, n=40):
         texts.append(t)
     texts += texts[7:12]
     texts.append(texts[8].replace("a", "A", 1) + " extra")
+    texts += ["Say <|endoftext|> and<|startoftext|>, <|ENDOFTEXT|>.", " ".join(say(4000) for _ in range(5)) + "z" * 70_000]
     return texts
 
 
@@ -80,12 +82,43 @@ def test_suffix(spark, docs, texts, block_bytes):
     assert got == want
 
 
-def test_suffix_order():
-    phrases = [b"abcabcabd", b"bcabx"]
-    parse = [(0, 0), (1, 1), (2, 0)]
-    got = suffix.suffix_order(phrases, parse, 3)
-    strings = [phrases[parse[i][1]][o : o + 3] for _, i, o in got]
-    assert strings == sorted(strings) and len(got) == 7 + 3 + 7
+def test_corpus_order():
+    rng = random.Random(4)
+    phrases = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(3, 9))) for _ in range(30)]
+    parse = [(rng.randrange(30), rng.randrange(100)) for _ in range(200)] + [(i, 1000) for i in range(30)]
+    least = {}
+    for p, d in parse:
+        for o in range(len(phrases[p]) - 2):
+            w = phrases[p][o : o + 3]
+            least[w] = min(least.get(w, d), d)
+    got = suffix.smallest_in_corpus(np.array([len(p) - 2 for p in phrases]), *np.array(parse).T, np.frombuffer(b"".join(phrases), np.uint8), 3)
+    assert got.tolist() == [least[p[o : o + 3]] for p in phrases for o in range(len(p) - 2)]
+
+
+def test_seeds_extended():
+    rng = np.random.default_rng(5)
+    length, n = 6, 60
+    rows = []
+    for i in range(n):  # the seed, two words 8 and 9, at a place of its own; each window holds it
+        left, right = rng.integers(0, 3, rng.integers(0, 5)), rng.integers(0, 3, rng.integers(0, 5))
+        words = np.concatenate([left, [8, 9], right])
+        if len(words) >= length:
+            rows.append((words, len(left), int(rng.integers(0, 100))))
+    least = {}
+    key = lambda w, at, i: (at - i, *w[i : i + length].tolist())
+    for w, at, d in rows:
+        for i in range(len(w) - length + 1):
+            least[key(w, at, i)] = min(least.get(key(w, at, i), d), d)
+    sizes = np.array([len(w) for w, _, _ in rows])
+    got = substring.smallest_by_seed(np.concatenate([w for w, _, _ in rows]), sizes, np.array([a for _, a, _ in rows]), sizes - length + 1, np.array([d for _, _, d in rows]), length)
+    assert got.tolist() == [least[key(w, at, i)] for w, at, _ in rows for i in range(len(w) - length + 1)]
+
+
+def test_hashes_that_collide():
+    held = [b"ab", b"ab", b"cd", b"abc", b"cd", b"x"]
+    sizes = np.array([len(x) for x in held])
+    one, which = repeats.distinct(np.array([7, 7, 7, 7, 7, 9], np.uint64), np.frombuffer(b"".join(held), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert [held[one[w]] for w in which] == held and len(one) == 4
 
 
 def test_simhash(spark, docs, texts):
@@ -179,7 +212,6 @@ def test_store(spark, docs, texts):
     folder = shared_dir(spark)
     store.write_store(docs, path, folder, batch_bytes=500)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = sorted((str(i), np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in all_rows(texts))
     rows = store.read_store(spark, folder).collect()
     assert sorted((str(r.doc_id), bytes(r.data)) for r in rows) == want
@@ -207,9 +239,10 @@ def test_words_of_the_encoder():
     import public_tokenizers as P
 
     e = store.WordEncoder(P.path("word_bpe_49k.json"), 2, "<u2")
-    texts = ["Ab  c", "x", "", "\n", "İ ß ΑΣ", "a" * 300]
-    for t, got in zip(texts, e([t.encode() for t in texts]), strict=True):
-        assert got == np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes()
+    texts = ["Ab  c", "x", "", "\n", "İ ß ΑΣ", "a" * 300, "hello <|endoftext|> world", "Hello<|startoftext|>b, <|ENDOFTEXT|>. <|End", "word, word. it's. don't! x.,;:? y.#", "a\u00a0b\u3000, c\u0301. \u0301 d", "1, e.g. ,, A.\tB.\x0bC.\x1cD", "\u00a0 \u2003", "\ue000 \ue000\ue000."]
+    e.most = 3
+    for t, got in zip(texts + texts, e(pa.array(texts, pa.large_string())).each() + e(pa.array(texts, pa.large_string())).each(), strict=True):
+        assert got.tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
 def test_warc(spark):
