@@ -29,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/fleetloom-{os.getpid()}"
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/fleetloom-{os.getpid()}"
     return f"{base.rstrip('/')}/fleetloom-{uuid.uuid4().hex}"
 
 

@@ -135,10 +135,6 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(found, np.uint64).view(np.int64))
 
 
-#: Rounds in which sets of a shingle are held against a hub of it before the pairs that are left.
-HUB_ROUNDS = 2
-
-
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, component_id): near copies by the Jaccard similarity of their `words`-word shingles, with
     the smallest doc_id of their group. Every pair of `similarity` or more is linked, and no other.
@@ -149,10 +145,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     shingle is counted over all of them. A text with more shingles of its own than `similarity` leaves
     open is near no other and takes no further part, fingerprints included. The others meet at the
     first n - ceil(similarity * n) + 1 of their shingles, the rarest first; two that similar share one
-    of those. Sets that meet are first held against some hubs of their shingle, the one whose shingles
-    most texts have before all, round by round, while sets of one shingle are in several groups; only
-    pairs whose ends are in two groups then are left to compare. So a large group costs no pairs, its
-    hub has them all. Of those pairs, the Hamming distance of 1024-bit parity sketches, which no two sets
+    of those. Sets that meet are first held against the hub of their shingle, the one whose own shingles
+    most texts have; then only pairs whose ends are in two groups are left to compare. So a large
+    group costs no pairs, its hub has them all. Of those pairs, the Hamming distance of 1024-bit parity sketches, which no two sets
     exceed the difference of, leaves few. Equal sets are one class (64-bit digest) and cost no pairs.
 
     Null and empty texts have no shingles and link with nothing; a text of fewer words is one shingle.
@@ -242,29 +237,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     close = close.join(one("a"), "a").join(one("b"), "b").select("a1.fp", "b1.fp", "a1.size", "b1.size").toDF("a", "b", "sa", "sb")
     equal = held.select("fp", "mark", "size").join(marked, "mark").select("fp", "one.fp", "size", "one.size").toDF("a", "b", "sa", "sb")
     keys = held.select(F.explode("ks").alias("k"), "fp", "size", "often")
-    several = keys.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("k")
-    met = written(keys.join(several, "k").select("k", "fp", "size", "often"))
-    links = linked(close.union(equal))
-    for i in range(HUB_ROUNDS + 1):
-        roots = written(components(links))
-        rooted = met.join(roots, met.fp == roots.node, "left").select("k", "fp", "size", "often", F.coalesce("root", "fp").alias("root"))
-        rooted = written(rooted)
-        open_ = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
-        met_ = rooted.join(open_, "k", "left_semi")
-        if i == HUB_ROUNDS:
-            break
-        rank = F.struct("often", "fp") if not i else F.struct(F.xxhash64("fp", F.lit(i)).alias("h"), "fp")
-        hubs = met_.groupBy("k").agg(F.max_by(F.struct("fp", "size", "root"), rank).alias("hub"))
-        stars = met_.join(hubs, "k").where("root <> hub.root").select("fp", "hub.fp", "size", "hub.size").toDF("a", "b", "sa", "sb")
-        links = written(links.union(linked(stars)))
-        met = written(met_.select("k", "fp", "size", "often"))
+    rank = F.struct("often", "fp")
+    several = keys.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max_by(F.struct("fp", "size"), rank).alias("hub")).where("lo < hi")
+    met = written(keys.join(several, "k").select("k", "fp", "size", "hub"))
+    stars = met.select("fp", "hub.fp", "size", "hub.size").toDF("a", "b", "sa", "sb")
+    links = linked(close.union(equal).union(stars))
+    roots = written(components(links))
+    rooted = written(met.join(roots, met.fp == roots.node, "left").select("k", "fp", "size", F.coalesce("root", "fp").alias("root")))
+    open_ = rooted.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
+    met = rooted.join(open_, "k", "left_semi")
     # Bits that tell of 1024 parts of all shingles whether a set has an odd number: where two sets' bits differ, they differ in a shingle at least.
-    left = written(met_.join(held.select("fp", "odd"), "fp").select("k", "fp", "size", "root", "odd"))
+    left = written(met.join(held.select("fp", "odd"), "fp").select("k", "fp", "size", "root", "odd"))
     x, y = left.toDF("k", "a", "sa", "ra", "oa"), left.toDF("k2", "b", "sb", "rb", "ob")
     differ = F.expr(" + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(16)))
     fit = possible & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (differ <= apart * (F.col("sa.n") + F.col("sb.n")) + 1e-9)
     rest = linked(x.join(y, (F.col("k") == F.col("k2")) & fit).select("a", "b", "sa", "sb"))
-    roots = components(links.union(rest))
+    if not rest.isEmpty():
+        roots = components(links.union(rest))
     classes = each.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -44,7 +44,12 @@ def _clean(url: str | None) -> bytes:
     return b"".join(b"%%%02X" % c if c <= 32 or c == 127 else bytes([c]) for c in (url or "").encode())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_id(page_id: int | None, digest: str, again: str = "") -> bytes:
+    """The URI of a record: of a page and what it holds; again tells repeated ones apart. A page without number is "-"."""
+    return b"<urn:page:%s:%s%s>" % (b"-" if page_id is None else b"%d" % page_id, digest[:32].encode(), again.encode())
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, again: str = "") -> bytes:
     """One WARC record: a response with its payload, or a revisit of another page's response."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = refers_to is not None
@@ -52,13 +57,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     lines = [
         VERSION,
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: <urn:page:%s>" % (b"" if page_id is None else b"%d" % page_id),
+        b"WARC-Record-ID: " + record_id(page_id, digest, again),
         b"WARC-Date: " + date.encode(),
         b"WARC-Target-URI: " + _clean(url),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
     ]
     if revisit:
-        lines += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: <urn:page:%d>" % refers_to]
+        lines += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: " + record_id(refers_to, digest)]
     lines += [b"Content-Type: " + HTTP_TYPE, b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -74,7 +79,7 @@ def parsed(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
     kind, digest = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
-    number = lambda name: int(x) if (x := fields[name][len(b"<urn:page:") : -1]) else None
+    number = lambda name: None if (x := fields[name].split(b":")[2]) == b"-" else int(x)
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"page {number(b'WARC-Record-ID')}: the payload is not what its digest says")
     return {
@@ -88,14 +93,14 @@ def parsed(data: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "1970-01-01T00:00:00Z", block_lines: int = 512, level: int = 3) -> None:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date: str = "1970-01-01T00:00:00Z", block_lines: int = 512, level: int = 3, archive_bytes: int = 64 << 20) -> None:
     """Writes a record for each page, and the index of all captures.
 
     Of pages with equal payloads of least_bytes or more, the one with the smallest page_id is the
     response and the others revisit it (rows with that same page_id are responses too). The smallest
     ids come from an aggregate with partial results; the join with them is one that AQE splits at a
-    payload that very many pages share. Captures are sorted by reversed-host key and page, so a host
-    with very many pages spreads over index files.
+    payload that very many pages share. A task begins a new archive each archive_bytes. Captures are
+    sorted by reversed-host key and page, so a host with very many pages spreads over index files.
 
     Null html: an empty payload. Null url: key "". Null page_id: a record without number, a revisit
     if its payload has a response elsewhere, never one that others refer to. No pages: no records.
@@ -108,13 +113,21 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date:
     typed = known.select("page_id", "url", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"), "payload")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, parts, at = f"{TaskContext.get().partitionId():08d}.warc.gz", [], 0
+        number, k, parts, at, last, same = TaskContext.get().partitionId(), 0, [], 0, None, 0
+        name = f"{number:08d}-{k:06d}.warc.gz"
         for batch in batches:
             rows = []
             for page, url, digest, refers, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                parts.append(gzip.compress(record(page, url, payload, digest, refers, date), level, mtime=0))
+                same = same + 1 if last == (page, digest) else 0
+                last = page, digest
+                again = f":{number}-{same}" if same else ""
+                parts.append(gzip.compress(record(page, url, payload, digest, refers, date, again), level, mtime=0))
                 rows.append((url_key(url), page, name, at, len(parts[-1])))
                 at += len(parts[-1])
+                if at >= archive_bytes:
+                    put(f"{folder}/warc", name, parts)
+                    k, parts, at = k + 1, [], 0
+                    name = f"{number:08d}-{k:06d}.warc.gz"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "file", "place", "size"])
         if parts:
             put(f"{folder}/warc", name, parts)
@@ -148,6 +161,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, date:
     put(f"{folder}/index", "first.json", [json.dumps(sorted([x.key, x.file] for x in files)).encode()])
 
 
+def _batch(rows: list, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 def _loaded(folder: str, name: str):
     fs, base = opened(folder)
     with fs.open_input_file(f"{base}/{name}") as f:
@@ -187,33 +205,73 @@ def _before(entries: list, key: str) -> int:
     return lo - 1
 
 
-def read_archives(spark: SparkSession, folder: str, ahead: int = 4 << 20) -> DataFrame:
-    """All records, by way of the index: (page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload).
+def lookups(spark: SparkSession, folder: str, urls: DataFrame, ahead: int = 4 << 20) -> DataFrame:
+    """All captures of the URLs in urls(url): (page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload).
 
-    Index files give the places; each archive is read front to back, in ranges of a few MB.
+    Keys are dealt in order, and each is searched for: by halves in the first keys of index files, then
+    in the sparse directory of a file. That gives blocks, and a key of very many captures is one row a
+    block. Blocks are read as ranges, and the lines of a key found in them by halves; records are read
+    as ranges as well, neighbours of an archive together. Repeated and unknown URLs do no harm.
     """
-    firsts = _loaded(f"{folder}/index", "first.json")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = spark.createDataFrame([(name,) for _, name in firsts], "file string").repartition(max(1, min(n, len(firsts))), "file")
+    n, most_rows = int(spark.conf.get("spark.sql.shuffle.partitions")), 20_000
+    places_ = {"file": pa.string(), "place": pa.int64(), "size": pa.int64()}
+    spots = {"key": pa.string(), **places_}
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, held, directory = _loaded(f"{folder}/index", "first.json"), None, []
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                for first, name in firsts[max(0, _before(firsts, key)) :]:
+                    if first > key:
+                        break
+                    if name != held:
+                        held, directory = name, _loaded(f"{folder}/index", f"{name}.dir")
+                    for first_, at, size in directory[max(0, _before(directory, key)) :]:
+                        if first_ > key:
+                            break
+                        rows.append((key, name, at, size))
+                        if len(rows) == most_rows:
+                            yield _batch(rows, spots)
+                            rows = []
+            yield _batch(rows, spots)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Ranges(f"{folder}/index")
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                for _, at, size in _loaded(f"{folder}/index", f"{name}.dir"):
-                    rows = [json.loads(x)[2:] for x in zlib.decompress(reader.read(f"{name}.idx", at, size)).split(b"\n")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["file", "place", "size"])
+            rows = []
+            for name, at, size, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                block = [json.loads(x) for x in zlib.decompress(reader.read(f"{name}.idx", at, size)).split(b"\n")]
+                for key in keys:
+                    i = _before(block, key) + 1
+                    while i < len(block) and block[i][0] == key:
+                        rows.append(block[i][2:])
+                        i += 1
+                if len(rows) >= most_rows:
+                    yield _batch(rows, places_)
+                    rows = []
+            yield _batch(rows, places_)
 
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, name, begin = Ranges(f"{folder}/warc"), b"", None, 0
         for batch in batches:
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
             rows, size_of = [], 0
-            for file, place, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for j, (file, place, size) in enumerate(places):
                 if file != name or place < begin or place + size > begin + len(held):
+                    end = place + size
+                    for f, p, z in places[j + 1 :]:  # on over small gaps
+                        if f != file or p - end > 1 << 16 or p + z - place > ahead:
+                            break
+                        end = p + z
                     name, begin = file, place
-                    held = reader.read(file, place, max(size, ahead))
+                    held = reader.read(file, place, end - place)
                 rows.append(parsed(gzip.decompress(held[place - begin : place - begin + size])))
                 size_of += rows[-1]["payload_bytes"]
                 if size_of > ahead:
@@ -222,17 +280,22 @@ def read_archives(spark: SparkSession, folder: str, ahead: int = 4 << 20) -> Dat
             if rows:
                 yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
-    found = files.mapInArrow(places, "file string, place long, size long").repartition(n, "file").sortWithinPartitions("file", "place")
+    keys = urls.select("url").mapInArrow(keyed, "key string").distinct()
+    blocks = keys.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(search, "key string, file string, place long, size long")
+    asked = blocks.groupBy("file", "place", "size").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    found = asked.repartition(n, "file", "place").sortWithinPartitions("file", "place").mapInArrow(lines, "file string, place long, size long")
+    found = found.repartition(n, "file").sortWithinPartitions("file", "place")
     return found.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def op3_warc(spark, sf_dir):
-    """Contract query of operator 3 over all of pages."""
+    """Contract query of operator 3 over all of pages: all captures of their URLs, by way of the index."""
     from ._common import shared_dir, table
 
     folder = shared_dir(spark)
-    write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, folder)
+    return lookups(spark, folder, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """

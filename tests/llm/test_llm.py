@@ -1,7 +1,10 @@
 """Each operator against plain Python on small texts with nulls, empty and repeated rows, ties and extra columns."""
 
+import glob
+import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -251,7 +254,7 @@ def test_warc(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
     folder = shared_dir(spark)
     warc.write_archives(df, folder, block_lines=2)
-    got = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, folder).collect())
+    got = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.lookups(spark, folder, df).collect())
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = [("3", "revisit", 1, 200, sha(h)), ("1", "response", None, 200, sha(h)), ("None", "revisit", 1, 200, sha(h)), ("7", "revisit", 1, 200, sha(h)), ("7", "revisit", 1, 200, sha(h))]
     want += [("9", "response", None, 0, sha("")), ("10", "response", None, 60, sha("é" * 30)), ("11", "response", None, 60, sha("é" * 30))]
@@ -260,7 +263,12 @@ def test_warc(spark):
     assert warc.lookup(folder, "http://zz/") == []
     empty = shared_dir(spark)
     warc.write_archives(df.limit(0), empty)
-    assert warc.read_archives(spark, empty).count() == 0
+    assert warc.lookups(spark, empty, df).count() == 0
+    some = df.select("url").where("page_id = 9").union(df.select("url").where("page_id = 9"))
+    assert sorted(r.page_id for r in warc.lookups(spark, folder, some).collect()) == [3, 9]
+    data = b"".join(gzip.open(f).read() for f in glob.glob(f"{folder.removeprefix('file://')}/warc/*.gz"))
+    ids = re.findall(rb"WARC-Record-ID: (<[^>]*>)", data)
+    assert len(ids) == len(set(ids)) == len(rows) and set(re.findall(rb"WARC-Refers-To: (<[^>]*>)", data)) <= set(ids)
 
 
 def test_quality(spark, docs, texts):
@@ -281,6 +289,89 @@ def test_quality(spark, docs, texts):
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_quality_verdicts_by_plain_python(spark, docs, texts):
+    """Symbols, characters, ratios and verdicts; XXH64 with seed 42 as the engine hashes words, and pairs of hashes."""
+    import math
+    import struct
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    word = lambda w: signed(xxhash.xxh64_intdigest(w, 42))
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+    good, buckets, threshold = {0, 3, 7, 8, 12, 15, 20}, 1 << 8, -0.05
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    grams = []
+    for i, t in all_rows(texts):
+        h = [word(w) for w in t.encode().split()]
+        grams.append((i, [x & (buckets - 1) for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]))
+    raw, trusted = [0] * buckets, [0] * buckets
+    for i, g in grams:
+        for x in g:
+            raw[x] += 1
+            trusted[x] += i in good
+    scale = sum(trusted) / sum(raw)
+    ratio = [math.floor(1e6 * (math.log(t + 1.0) - math.log(r * scale + 1.0)) * r / (r + 30.0) + 0.5) for t, r in zip(trusted, raw, strict=True)]
+    got = sorted(quality.quality_rules(docs, labels, threshold, buckets).collect(), key=lambda r: str((r.doc_id, r.n_words, r.llr)))
+    want = []
+    for (i, t), (_, g) in zip(all_rows(texts), grams, strict=True):
+        want.append((i, len(t.split()) if t.isascii() else len(t.encode().split()), sum(ratio[x] for x in g) / max(len(g), 1) / 1e6, sum(map(len, t.encode().decode().split())), sum(c in "#*$%&|<>" for c in t)))
+    want.sort(key=lambda x: str(x[:3]))
+    assert len(got) == len(want)
+    for r, (i, n, llr, chars, symbols) in zip(got, want, strict=True):
+        assert (r.doc_id, r.n_words, r.word_chars, r.n_symbols) == (i, n, chars, symbols)
+        assert r.llr == pytest.approx(llr, abs=2e-6)
+        assert r.kept == (not r.base_failed and r.llr >= threshold) or abs(r.llr - threshold) < 2e-6
+
+
+def test_quality_repeats_of_long_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for i, n in enumerate((4000, 4100, 9000))]
+    rows.append((3, " ".join(f"u{i}" for i in range(9000)) + " u1 u2 u3"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.n_repeat_words for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    for i, t in rows:
+        w = t.split()
+        seen, marks = {}, [False] * len(w)
+        for k in range(len(w) - 2):
+            seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+        for ks in seen.values():
+            for k in ks if len(ks) > 1 else ():
+                marks[k] = marks[k + 1] = marks[k + 2] = True
+        assert got[i] == sum(marks)
+
+
+def test_empty_tables_and_clashing_columns(spark, docs):
+    """No documents: no rows, from any operator; columns that are called as an operator's own do no harm."""
+    import public_tokenizers as P
+
+    none, ranks = docs.limit(0), P.path("byte_bpe_50k.tiktoken")
+    items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    ids = spark.createDataFrame([], "doc_id long, ids array<int>")
+    made = [contamination.leaks(none, items), contamination.leaks(docs, items.limit(0)), simhash.simhash_components(none), simhash.near_copies(none), bpe.encoded(none, ranks, P.PATTERN), bpe.decoded(ids, ranks), licenses.license_scan(none), substring.repeated_words(none), suffix.repeated_bytes(none)]
+    for df in made:
+        assert df.count() == 0
+    rows = [(1, "a b c d e f g h", 1, 2, 3, 4), (2, "a b c d e f g h", 1, 2, 3, 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, fp int, sh int, k int, item_id int")
+    assert sorted((r.doc_id, r.item_id) for r in contamination.leaks(odd, items).collect()) == [(1, 1), (2, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(odd).collect()) == [(1, 1), (2, 1)]
+    known = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>")
+    table = {i: t for t, i in bpe.read_ranks(ranks).items()}
+    assert {r.doc_id: bytes(r.data) for r in bpe.decoded(known, ranks).collect()} == {1: b"", 2: b"", 3: table[0] + table[1]}
+    with pytest.raises(Exception, match="an id without a token"):
+        bpe.decoded(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>"), ranks).collect()
+
+
+def test_largest_id_is_no_null(spark):
+    import public_tokenizers as P
+
+    big = (1 << 63) - 1
+    df = spark.createDataFrame([(big, "one two three"), (4, "one two"), (None, "x")], "doc_id long, text string")
+    path, folder = P.path("word_bpe_49k.json"), shared_dir(spark)
+    store.write_store(df, path, folder)
+    made = [bpe.encoded(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), store.read_store(spark, folder), substring.repeated_words(df), suffix.repeated_bytes(df), lm.scored(df, gru.Shape(2, 2, 2, 2), rounds=1), simhash.near_copies(df)]
+    for x in made:
+        assert sorted(str(r.doc_id) for r in x.select("doc_id").collect()) == sorted(["4", str(big), "None"])
+
+
 def test_quality_lines_of_f_and_of_form_feeds(spark):
     texts = ["f\nf\nff f\nff f\nfoo", "\f\na\n\f\nb\n \f\t\n \f\t"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -289,9 +380,51 @@ def test_quality_lines_of_f_and_of_form_feeds(spark):
 
 
 def test_licenses(spark):
-    rows = [(1, "Hello.\nLicensed under the APACHE license, version 2.0\nmore text here", 0), (2, None, 0), (3, "", 0), (4, "nothing of that kind", 0), (None, "All rights reserved.", 0), (4, "nothing of that kind", 0)]
+    grant = licenses.TEMPLATES["MIT"][1].split()
+    wrapped = "\n".join(" ".join(grant[i : i + 8]) for i in range(0, len(grant), 8))
+    rows = [
+        (1, "Hello.\nLicensed under the APACHE license, version 2.0\nmore text here", 0),
+        (2, None, 0),
+        (3, "", 0),
+        (4, "nothing of that kind", 0),
+        (None, "All rights reserved.", 0),
+        (4, "nothing of that kind", 0),
+        (5, "Some words before.\n" + wrapped + "\nand some after it, all in one paragraph.", 0),
+        (6, "All rights reserved.\n" * 200, 0),
+        (7, ("lorem ipsum " * 20_000) + "all rights reserved", 0),
+    ]
     got = sorted((str(r.doc_id), r.license, r.n_matches) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, words int")).collect())
-    assert got == [("1", "Apache-2.0", 1), ("2", None, 0), ("3", None, 0), ("4", None, 0), ("4", None, 0), ("None", "Proprietary", 1)]
+    assert got == [("1", "Apache-2.0", 1), ("2", None, 0), ("3", None, 0), ("4", None, 0), ("4", None, 0), ("5", "MIT", 1), ("6", "Proprietary", 200), ("7", "Proprietary", 1), ("None", "Proprietary", 1)]
+    assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(6)
+    kinds = {"one": ["a b c d e f g h"], "two": ["a b x d e f g h", "p q r"], "tie": ["q r p q"]}
+    rows = []
+    for i in range(60):
+        w = [rng.choice("mnopqrx") for _ in range(rng.randrange(12))]
+        for t in rng.sample([t for ts in kinds.values() for t in ts], rng.randrange(3)):
+            part = t.split()
+            if rng.random() < 0.5:
+                part[rng.randrange(len(part))] = rng.choice("abcz")
+            w += part + [rng.choice("mno")]
+        rows.append((i, " ".join(w)))
+    want = []
+    for i, text in rows:
+        w = text.split()
+        b, best, n = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)], None, 0
+        for name, t in ((name, set(licenses.bigrams(t))) for name, ts in kinds.items() for t in ts):
+            last = None
+            for p in range(len(b)):
+                found = [2.0 * len(t & set(b[p : z + 1])) / (len(set(b[p : z + 1])) + len(t)) for z in range(p, min(len(b), p + int(1.5 * len(t)))) if b[p] in t and b[z] in t]
+                if found and max(found) >= 0.8:
+                    best = max(best or (0.0, ""), (max(found), name))
+                    n += last is None or p - last >= len(t)
+                    last = p
+        want.append((i, best[1] if best else None, best[0] if best else 0.0, n))
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), kinds).collect()
+    assert sorted((r.doc_id, r.license, r.dice, r.n_matches) for r in got) == want
 
 
 def test_leaks(spark):
@@ -366,6 +499,8 @@ def test_lm(spark, docs, texts):
     want = {str(i): sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for i, t in tokens}
     for i, r in rows:
         assert r.base_score == pytest.approx(want[str(i)]) and r.train_tokens == n and r.held_out == out(i)
+        t = next(t for k, t in tokens if k == i and len(t) == r.n_tokens)
+        assert r.n_known == sum(c[w] > 0 for w in t)
     assert sum(r.score for _, r in rows) > sum(r.base_score for _, r in rows) * 1.2
     assert lm.scored(docs.limit(0), gru.Shape(4, 4, 4, 6), rounds=1).count() == 0
 
@@ -386,6 +521,35 @@ def test_pipeline(spark, tmp_path):
     assert got == {2, 4, 5, None}
 
 
+def test_cuts_within_characters(spark):
+    import corpus_pipeline
+
+    shared = "é" + "ab" * 30 + "é"
+    rows = [(1, "x " + shared + " y"), (2, "own \ufffd and \ue000b " + shared[:-1] + "è end \ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    data = [t.encode() for _, t in rows]
+    strings = {data[0][i : i + 50] for i in range(len(data[0]) - 49)}
+    gone = set()
+    for i in range(len(data[1]) - 49):
+        if data[1][i : i + 50] in strings:
+            gone |= set(range(i, i + 50))
+    left = bytes(c for i, c in enumerate(data[1]) if i not in gone)
+    want = left.decode("utf-8", "ignore")
+    assert left != want.encode() and "\ufffd" in want and "\ue000b" in want
+    assert got[1].text == rows[0][1] and got[2].text == want and got[2].n_chars == len(want)
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row int, kept string"
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_rows_of_one_id(spark, tmp_path):
     import corpus_pipeline
 
