@@ -54,19 +54,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that an earlier document has; documents that lose all their words go.
 
-    A cut may leave parts of a character at its borders; they go as well.
+    A cut may leave parts of a character at its borders; they go as well, replacement characters of the text stay.
     """
     kept = repeated_bytes(docs, carry=("lang", "source", "n_chars"))
-    whole = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.decode(_valid("kept"), "UTF-8"), "�", ""))
-    found = kept.withColumn("text", whole)
+    found = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_whole_characters("kept")))
     found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return found.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
-def _valid(column: str):
-    """Bytes with U+FFFD in place of those that are no UTF-8."""
-    return F.make_valid_utf8(F.col(column).cast("string")).cast("binary")
+def _whole_characters(column: str):
+    """Bytes as text, without those that are no UTF-8. What Spark puts in their place goes, after the text's own are written otherwise."""
+    mark, own, ours = F.lit("\ue000"), F.lit("\ufffd"), (F.lit("\ue000a"), F.lit("\ue000b"))
+    text = F.replace(F.replace(F.col(column).cast("string"), mark, ours[0]), own, ours[1])
+    return F.replace(F.replace(F.replace(F.make_valid_utf8(text), own, F.lit("")), ours[1], own), ours[0], mark)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
