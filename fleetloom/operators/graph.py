@@ -23,6 +23,16 @@ def adjacency(segments: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.seg").alias("src"), F.col("b.seg").alias("dst"), F.col("a.length").alias("weight"))
 
 
+def adjacent(pairs: DataFrame, edges: DataFrame, apart: bool = False) -> DataFrame:
+    """Of pairs(src, dst) those that an edge joins; apart: those that none does."""
+    return pairs.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti" if apart else "left_semi")
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(src, degree, to): each segment's ways out, ascending."""
+    return edges.groupBy("src").agg(F.count_distinct("dst").alias("degree"), F.sort_array(F.collect_set("dst")).alias("to"))
+
+
 def hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """(src, node, hops): what each source reaches in at most k steps, itself included."""
     seen = front = sources.select("src", F.col("src").alias("node"), F.lit(0).alias("hops")).distinct()

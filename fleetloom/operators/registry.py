@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import angular, models, sequence, tooling, travel_time
 from .graph import shortest_paths
+from .kernels import settled
 
 
 class SegmentIndex(Protocol):
@@ -84,7 +85,7 @@ class _Base:
 
 class FrequentPatterns(_Base):
     def train(self, traj: DataFrame) -> None:
-        self.model = models.frequent(traj, self.options.longest, self.options.min_support)
+        self.model = settled(models.frequent(traj, self.options.longest, self.options.min_support))
 
     def compress(self, traj: DataFrame) -> DataFrame:
         return models.pattern_compress(traj, self.model)
@@ -103,7 +104,7 @@ class PathsAndPatterns(_Base):
 
 class Contexts(_Base):
     def train(self, traj: DataFrame) -> None:
-        self.model = models.context_model(traj, self.options.order)
+        self.model = settled(models.context_model(traj, self.options.order))
 
     def compress(self, traj: DataFrame) -> DataFrame:
         return models.context_compress(traj, self.model, self.options.order, self.options.edges)
@@ -139,7 +140,7 @@ class TravelTimes(_Base):
 class Combined(TravelTimes):
     def train(self, traj: DataFrame) -> None:
         super().train(traj)
-        self.model = models.context_model(traj, self.options.order)
+        self.model = settled(models.context_model(traj, self.options.order))
 
     def compress(self, traj: DataFrame) -> DataFrame:
         o = self.options

@@ -191,7 +191,8 @@ KEPT = f"""{TRAJ}, {_model_sql(2)}, hits AS (
 
 def _kept(spark, d):
     t = traj(spark, d)
-    return t, models.context_model(t, 2), models.context_compress(t, models.context_model(t, 2), 2)
+    model = kernels.settled(models.context_model(t, 2))
+    return t, model, models.context_compress(t, model, 2)
 
 
 @query(f"WITH {KEPT} SELECT obj, id, seg FROM kept")
@@ -573,7 +574,7 @@ def time_restore(spark, d):
 
 def _combined(spark, d):
     t = filled(spark, d)
-    model = models.context_model(t, 2)
+    model = kernels.settled(models.context_model(t, 2))
     flags = models.predicted(t, model, 2).select("obj", "id", (F.col("seg") == F.col("pred")).alias("hit"))
     return t, model, travel_time.combined_compress(t, flags, _times(spark, d), 20_000.0)
 
@@ -717,6 +718,29 @@ def routes(spark, d):
     return _as_text(graph.routes(e, pairs, 60.0), "via")
 
 
+def _nation_pairs(spark, d):
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("src"))
+    return n.join(n.select(F.col("src").alias("dst")), F.col("src") % 5 == F.col("dst") % 5).select("src", "dst")
+
+
+PAIRS = "pairs AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_nationkey % 5 = b.n_nationkey % 5)"
+
+
+@query(f"WITH {EDGES}, {PAIRS} SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM pairs SEMI JOIN edges USING (src, dst)")
+def adjacent_pairs(spark, d):
+    return graph.adjacent(_nation_pairs(spark, d), nation_edges(spark, d)).select(F.col("src").cast("long"), F.col("dst").cast("long"))
+
+
+@query(f"WITH {EDGES}, {PAIRS} SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM pairs ANTI JOIN edges USING (src, dst)")
+def pairs_apart(spark, d):
+    return graph.adjacent(_nation_pairs(spark, d), nation_edges(spark, d), apart=True).select(F.col("src").cast("long"), F.col("dst").cast("long"))
+
+
+@query(f"WITH {EDGES} SELECT src::BIGINT AS src, count(DISTINCT dst) AS degree, array_to_string(list_sort(list(DISTINCT dst)), '-') AS neighbours FROM edges GROUP BY src")
+def neighbours(spark, d):
+    return _as_text(graph.neighbours(nation_edges(spark, d)), "to").select(F.col("src").cast("long"), "degree", F.col("to").alias("neighbours"))
+
+
 @query(f"WITH RECURSIVE {PATHS} SELECT (src * 100 + dst)::BIGINT AS pid, CASE WHEN src = dst THEN 0.5 ELSE d - 2.0 + 1.5 END::DOUBLE AS distance FROM sp")
 def point_distance(spark, d):
     e = nation_edges(spark, d)

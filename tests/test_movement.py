@@ -478,6 +478,30 @@ def test_online_is_batch(spark, tmp_path):
     assert {(r.obj, r.id) for r in spark.table("online").collect()} == want
 
 
+def test_stream_with_watermark(spark, tmp_path):
+    """Late rows go, a silent object's last row is sent, and times that the model has are not."""
+    from fleetloom.streaming.online import latest, online_compress
+
+    kinds = "obj string, id int, seg int, time long, ts timestamp"
+    put = lambda rows, n: spark.createDataFrame([(o, i, s, t) for o, i, s, t in rows], "obj string, id int, seg int, time long").withColumn("ts", F.timestamp_seconds("time")).select(*[c.split()[0] for c in kinds.split(", ")]).coalesce(1).write.parquet(str(tmp_path / "in" / n))
+    put([("a", 0, 0, 1000), ("a", 1, 1, 1010), ("a", 2, 4, 1020)], "1")
+    source = spark.readStream.schema(kinds).parquet(str(tmp_path / "in" / "*"))
+    model = {(0,): 1, (1,): 4, (0, 1): 4}
+    times = {1: (10.0, 2.0), 4: (10.0, 2.0)}
+    q = online_compress(source, model, 2, "60 seconds", times, 5.0).writeStream.format("memory").queryName("silent").outputMode("append").start()
+    w = latest(source, "60 seconds", "1 minute").writeStream.format("memory").queryName("places").outputMode("append").start()
+    for n, rows in (("2", [("b", 0, 2, 5000)]), ("3", [("b", 1, 3, 9000), ("c", 0, 1, 1500)]), ("4", [("b", 2, 3, 12000)])):
+        for x in (q, w):
+            x.processAllAvailable()
+        put(rows, n)
+    for x in (q, w):
+        x.processAllAvailable()
+        x.stop()
+    got = {(r.obj, r.id) for r in spark.table("silent").collect()}
+    assert {("a", 0), ("a", 2), ("b", 0)} <= got and ("a", 1) not in got and ("c", 0) not in got
+    assert ("a", 4) in {(r.obj, r.seg) for r in spark.table("places").collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
