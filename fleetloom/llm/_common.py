@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Stands for a null document id where ids are compared; a mask tells it from a document that has this id.
 NO_ID = (1 << 63) - 1
 
+_watching: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/fleetloom-{os.getpid()}"
-    return f"{base.rstrip('/')}/fleetloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/fleetloom-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def making() -> Iterator[list[str]]:
+    """A list of the shared folders that are made within."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
 
 
 def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
