@@ -1,14 +1,19 @@
 """Cleans `documents` for training, stage by stage.
 
 Every stage works on all that the one before kept, and all but the last return the columns of documents.
+Further columns of the input are left out, whatever they are called; ids may be null or stand for several
+rows, and rows are kept or dropped one by one. No documents: no rows, from any stage. Very long texts go
+through whole.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm._common import pick, table, written
+from fleetloom.llm._common import dropped, making, pick, table, written
 from fleetloom.llm.bpe import decoded, encoded
 from fleetloom.llm.contamination import leaks
 from fleetloom.llm.quality import quality_rules
@@ -20,6 +25,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 2_000_000
 
 
+#: Shared folders of the stage before, whose result is in a table of its own when the next one begins.
+_left: list[str] = []
+
+
+def _stage(work):
+    """A stage that first deletes what the one before left in the shared folder, but for what docs are read from."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {part for file in docs.inputFiles() for part in file.split("/")} if _left else set()
+        for path in _left:
+            if path.rsplit("/", 1)[-1] not in names:
+                dropped(spark, path)
+        _left.clear()
+        with making() as made:
+            found = work(spark, docs, sf_dir)
+        _left.extend(made)
+        return found
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of each row, written once so that it stays the same: an id may be null or stand for several rows."""
     return written(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()))
@@ -32,13 +59,15 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts fail them; a text on the threshold stays; equal rows are judged alike."""
     judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=("text", "lang", "source", "n_chars"))
     # A filter on kept alone would go below the expressions that it is made of, and compute them again.
     return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*COLUMNS)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id, nulls last; of rows with one id and text, one."""
     rows = _keyed(docs)
@@ -51,8 +80,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, rows.select("row").join(first, "row", "left_anti"))
 
 
+@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that an earlier document has; documents that lose all their words go.
+    """Texts without the 50-byte strings that a document with a smaller id has; documents that lose all their words go.
+    Rows of one id never cost each other bytes; null texts stay as empty ones.
 
     A cut may leave parts of a character at its borders; they go as well, replacement characters of the text stay.
     """
@@ -70,15 +101,17 @@ def _whole_characters(column: str):
     return F.replace(F.replace(F.replace(F.make_valid_utf8(text), own, F.lit("")), ours[1], own), ours[0], mark)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item. Null and empty texts hold none; without items all stay."""
     rows = _keyed(docs)
     found = leaks(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return _without(rows, found.select(F.col("doc_id").alias("row")))
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): texts as token ids, and what they decode to."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): texts as token ids, and what they decode to. Null text: as empty, no ids."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
