@@ -589,17 +589,46 @@ def _asked_seconds(spark, d):
     return _asked(spark, d).withColumn("at", F.floor(F.col("at") / 1_000_000).cast("double"))
 
 
-@query()
+#: What the combined compressor stores, the times of all rows from it, and the latest row of each question.
+COMPRESSED = f"""WITH RECURSIVE {FILLED}, {_model_sql(2)}, {TIMES}, hits AS (
+    SELECT g.obj, g.id, g.seg = coalesce(m2.nxt, m1.nxt, 0) AS hit FROM g LEFT JOIN model m1 ON m1.k = 1 AND m1.ctx = g.p1::VARCHAR LEFT JOIN model m2 ON m2.k = 2 AND m2.ctx = g.p2 || '-' || g.p1),
+  parts AS (SELECT *, coalesce(count(time) OVER (PARTITION BY obj ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk, count(time) OVER (PARTITION BY obj) AS n, max(id) OVER (PARTITION BY obj) AS last_id FROM filled JOIN times USING (seg)),
+  sums AS (SELECT *, sum(length) OVER (PARTITION BY obj, chunk ORDER BY id) AS own, sum(length) OVER c AS whole, sum(mu) OVER c AS ahead, sum(sigma ** 2) OVER c AS spread, max(time) OVER c AS t_end FROM parts WINDOW c AS (PARTITION BY obj, chunk)),
+  obs AS (SELECT obj, chunk, any_value(ahead) AS ahead, any_value(spread) AS spread, any_value(whole) AS whole, max(time) AS t FROM sums WHERE chunk < n GROUP BY obj, chunk),
+  fold(obj, chunk, t, told, fused, begin, step, missed) AS (SELECT obj, chunk, t, t::DOUBLE, t::DOUBLE, t::DOUBLE, 0.0::DOUBLE, true FROM obs WHERE chunk = 0
+    UNION ALL SELECT obj, chunk, t, CASE WHEN miss THEN fresh ELSE told + ahead END, fresh, told, CASE WHEN miss THEN fresh - told ELSE ahead END, miss
+    FROM (SELECT *, abs(told + ahead - fresh) > 20000 AS miss FROM (
+      SELECT o.obj, o.chunk, o.t, o.ahead, f.told, f.fused + (o.ahead + o.spread / (o.spread + (10 / CASE WHEN o.t > f.t AND o.whole / (o.t - f.t) > 0 THEN o.whole / (o.t - f.t) ELSE 40 END) ** 2) * ((o.t - f.t) - o.ahead)) AS fresh
+      FROM fold f JOIN obs o ON o.obj = f.obj AND o.chunk = f.chunk + 1))),
+  ends AS (SELECT obj, arg_max(told, chunk) AS told FROM fold GROUP BY obj),
+  stored AS (SELECT s.obj, s.id, s.seg, s.mu,
+      CASE WHEN s.chunk = 0 AND s.time IS NOT NULL THEN f.told
+           WHEN s.chunk = 0 AND s.n > 0 THEN NULL
+           WHEN s.chunk < s.n AND (NOT h.hit OR (s.time IS NOT NULL AND f.missed)) THEN CASE WHEN h.hit THEN f.fused ELSE f.begin + f.step * s.own / s.whole END
+           WHEN s.chunk >= s.n AND NOT h.hit THEN e.told + s.ahead * s.own / s.whole
+           WHEN s.id = s.last_id AND s.chunk < s.n THEN f.told
+           WHEN s.id = s.last_id THEN e.told + s.ahead END AS time
+    FROM sums s JOIN hits h USING (obj, id) LEFT JOIN fold f ON f.obj = s.obj AND f.chunk = s.chunk LEFT JOIN ends e ON e.obj = s.obj),
+  k AS (SELECT obj, id, seg, time, count(time) OVER w AS k, last_value(time IGNORE NULLS) OVER w AS before, sum(mu) OVER w AS run,
+    first_value(time IGNORE NULLS) OVER (PARTITION BY obj ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, lead(mu) OVER (PARTITION BY obj ORDER BY id) AS own
+    FROM stored WINDOW w AS (PARTITION BY obj ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  l AS (SELECT *, run - min(run) OVER p AS part, max(run + own) OVER p - min(run) OVER p AS whole FROM k WINDOW p AS (PARTITION BY obj, k)),
+  full_ AS (SELECT obj, id, seg, coalesce(time, before + (after - before) * (part / nullif(whole, 0))) AS time FROM l), {ASKED},
+  found AS (SELECT qid, max(struct_pack(t := f.time, id := f.id, seg := f.seg)) AS b FROM asked a JOIN full_ f ON f.obj = a.obj AND f.time <= a.at // 1000000 GROUP BY qid)
+  SELECT a.qid, a.obj, (a.at // 1000000)::DOUBLE AS at, b.id AS id, b.seg AS seg, round(b.t, 3) AS time FROM asked a LEFT JOIN found USING (qid)"""
+
+
+@query(COMPRESSED)
 def where_at_compressed(spark, d):
     _, model, kept = _combined(spark, d)
-    return joins.as_of(store.restored(kept, model, _times(spark, d), 2), _asked_seconds(spark, d), "time", "id")
+    return joins.as_of(store.restored(kernels.settled(kept), model, _times(spark, d), 2), _asked_seconds(spark, d), "time", "id").withColumn("time", F.round("time", 3))
 
 
-@query()
+@query(COMPRESSED)
 def where_at_part(spark, d):
     """The same answers from the stretches that questions fall into."""
     _, model, kept = _combined(spark, d)
-    return store.where_at_part(kernels.settled(kept), _asked_seconds(spark, d), model, _times(spark, d), 2)
+    return store.where_at_part(kernels.settled(kept), _asked_seconds(spark, d), model, _times(spark, d), 2).withColumn("time", F.round("time", 3))
 
 
 # Sequences, continued
