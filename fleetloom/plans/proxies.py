@@ -461,7 +461,20 @@ def spfs_compress(spark, d):
     return _as_text(models.path_pattern_compress(runs, _type_paths(spark, d), runs, 3, 20))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILLED}, {TYPE_EDGES}, {RUNS}, {PATH_KEPT}, {_parse_sql('left_rows', 20)},
+  timed AS (SELECT r.obj, r.pos, r.seg, f.time FROM runs r JOIN filled f USING (obj, id)),
+  late(obj, pos, seg, piece, start) AS (SELECT obj, pos, seg, 0, time FROM timed WHERE pos = 0
+    UNION ALL SELECT t.obj, t.pos, t.seg, CASE WHEN t.time - l.start > 86400 THEN l.piece + 1 ELSE l.piece END, CASE WHEN t.time IS NULL THEN l.start WHEN l.start IS NULL OR t.time - l.start > 86400 THEN t.time ELSE l.start END
+    FROM late l JOIN timed t ON t.obj = l.obj AND t.pos = l.pos + 1),
+  own AS (SELECT *, row_number() OVER w - 1 AS at_, count(*) OVER (PARTITION BY obj, piece) AS m, lead(seg) OVER w AS nx FROM late WINDOW w AS (PARTITION BY obj, piece ORDER BY pos)),
+  ck(obj, piece, at_, start, kept) AS (SELECT obj, piece, at_, seg, true FROM own WHERE at_ = 0
+    UNION ALL SELECT a.obj, a.piece, a.at_, CASE WHEN p.pred IS DISTINCT FROM a.seg AND a.at_ < a.m - 1 THEN a.seg ELSE k.start END, a.at_ = a.m - 1 OR p.pred IS DISTINCT FROM a.seg
+    FROM ck k JOIN own a ON a.obj = k.obj AND a.piece = k.piece AND a.at_ = k.at_ + 1 LEFT JOIN preds p ON p.src = k.start AND p.dst = a.nx),
+  b2 AS (SELECT obj, piece, seg, lag(seg) OVER w AS s1, lag(seg, 2) OVER w AS s2, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY obj, piece) AS n FROM ck JOIN own USING (obj, piece, at_) WHERE kept WINDOW w AS (PARTITION BY obj, piece ORDER BY at_)),
+  e2 AS (SELECT b2.obj, b2.piece, b2.pos, b2.n, CASE WHEN f3.seg IS NOT NULL THEN 3 WHEN f2.seg IS NOT NULL THEN 2 ELSE 1 END AS len, concat_ws('-', CASE WHEN f3.seg IS NOT NULL THEN b2.s2 END, CASE WHEN f2.seg IS NOT NULL THEN b2.s1 END, b2.seg) AS pattern
+    FROM b2 LEFT JOIN f2 ON f2.s1 = b2.s1 AND f2.seg = b2.seg LEFT JOIN f3 ON f3.s2 = b2.s2 AND f3.s1 = b2.s1 AND f3.seg = b2.seg),
+  p2(obj, piece, pos, len, pattern) AS (SELECT obj, piece, pos, len, pattern FROM e2 WHERE pos = n - 1 UNION ALL SELECT e.obj, e.piece, e.pos, e.len, e.pattern FROM p2 p JOIN e2 e ON e.obj = p.obj AND e.piece = p.piece AND e.pos = p.pos - p.len)
+  SELECT obj, CAST(row_number() OVER (PARTITION BY obj ORDER BY piece, pos) - 1 AS INTEGER) AS place, pattern FROM p2""")
 def spfs_compress_delay(spark, d):
     """The same in chunks of a day; each is parsed by itself."""
     runs = sequence.dedup_runs(filled(spark, d))
