@@ -206,7 +206,7 @@ def smallest_starts(
         for part, a, b in slices(mine[one]):
             chosen = one[a:b]
             windows = (found.last[chosen] - found.first[chosen] + 1).astype(np.uint16)
-            yield part, pack(found.key[chosen], found.anchor[chosen], low[a:b], high[a:b], windows, *content(found, chosen, block))
+            yield part, pack(found.key[chosen], (found.anchor[chosen] & LOW).astype(np.uint32), low[a:b], high[a:b], windows, *content(found, chosen, block))
 
     def resolve(numbers: list[int], sent: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = [unpack(x) for x in sent]
@@ -217,7 +217,7 @@ def smallest_starts(
         sizes = sizes.astype(np.int64)
         at = np.cumsum(sizes) - sizes
         one, which = distinct(key, flat, at, sizes)
-        # Where a k-gram has one stretch only, its windows have no others to meet.
+        # Where a k-gram has one stretch only, its windows have no others to meet. Half a hash will do: k-grams that it mixes up are compared in vain.
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
         _, group, count = np.unique(anchor[one], return_inverse=True, return_counts=True)
