@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import project
 from .joins import as_of, in_range, nearest, objects_on_segment, within_distance
-from .kernels import object_type
+from .kernels import object_type, settled
 from .models import context_decompress, decompressor, predicted
 from .sequence import set_times_uniform
 from .travel_time import combined_compress, time_restore
@@ -139,7 +139,7 @@ def pieces(kept: DataFrame, queries: DataFrame, order: int) -> DataFrame:
 
 def where_at_part(kept: DataFrame, queries: DataFrame, model: DataFrame, times: DataFrame, order: int, neighbours: DataFrame | None = None) -> DataFrame:
     """(qid, obj, at, id, seg, time): where objects were at a time, from compressed rows and partial decompression."""
-    part, run = pieces(kept, queries, order), decompressor(model, order, neighbours)
+    part, run = settled(pieces(kept, queries, order)), decompressor(model, order, neighbours)
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
@@ -149,4 +149,4 @@ def where_at_part(kept: DataFrame, queries: DataFrame, model: DataFrame, times:
     full = part.groupBy("obj", "piece").applyInPandas(kernel, f"obj {object_type(kept)}, piece int, id int, seg int")
     known = full.join(part.select("obj", "piece", "id", "time"), ["obj", "piece", "id"], "left")
     rows = time_restore(known, times, "piece").where("time is not null").groupBy("obj", "id").agg(F.min("seg").alias("seg"), F.min("time").alias("time"))
-    return as_of(rows, queries, "time", "id")
+    return as_of(settled(rows), queries, "time", "id")
