@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,9 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         coder = kept_by_worker(("tiktoken", ranks_path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}))
         words, numbers, _ = sent_words(rows["pack"].to_pylist())
-        found = [np.array(x, np.uint32) for x in coder.encode_ordinary_batch(words.cast(pa.large_string()).to_pylist(), num_threads=1)]
+        found = list(map(coder.encode_ordinary, words.cast(pa.large_string()).to_pylist()))
         sizes = np.fromiter(map(len, found), np.uint32, len(found))
-        flat = np.concatenate([np.zeros(0, np.uint32), *found])
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         flat = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
         ends, packs = np.cumsum(sizes, dtype=np.int64), []
         del found, words
