@@ -118,20 +118,27 @@ def restored(kept: DataFrame, model: DataFrame, times: DataFrame, order: int, ne
 def pieces(kept: DataFrame, queries: DataFrame, order: int) -> DataFrame:
     """(obj, piece, id, seg, time): of compressed rows, the stretches that are needed to restore what queries fall into.
 
-    A query falls between the stored row at or before its time and the next one with a time. What the
-    model predicts there depends on the `order` segments before; where that many neighbours are stored,
-    or at the beginning, nothing before them is needed. So a piece goes from the last such place to
-    that next row; queries of one stretch share it.
+    Stored times may go back where the compressor corrected itself, so stretches end only at stored rows
+    that nothing before is later than and nothing after is earlier; a query falls into the one from the
+    last such row at or before its time to the next. What the model predicts there depends on the
+    `order` segments before; where that many neighbours are stored, or at the beginning, nothing before
+    them is needed. So a piece goes from the last such place to the end of the stretch; queries of one
+    stretch share it.
     """
-    w = Window.partitionBy("obj").orderBy("id")
+    w, back = Window.partitionBy("obj").orderBy("id"), Window.partitionBy("obj").orderBy(F.desc("id"))
     run = kept.withColumn("_g", F.col("id") - F.row_number().over(w))
     run = run.withColumn("_n", F.row_number().over(Window.partitionBy("obj", "_g").orderBy("id")))
     whole = (F.col("_n") >= order) | (F.col("id") == F.col("_n") - 1)
     begin = F.when(whole, F.greatest(F.col("id") - order + 1, F.lit(0)))
     timed = F.col("time").isNotNull()
     marked = run.withColumn("_begin", F.last(begin, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    marked = marked.withColumn("_end", F.first(F.when(timed, F.col("id")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    anchors = marked.where(timed).select("obj", "id", "time", "_begin", F.coalesce("_end", F.col("id")).alias("_end"))
+    marked = marked.withColumn("_before", F.max("time").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("_after", F.min("time").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # The first row with a time opens a stretch too, one that holds from the earliest time of all.
+    opens = timed & (F.col("_before").isNull() | ((F.col("_before") <= F.col("time")) & (F.col("time") == F.col("_after"))))
+    marked = marked.withColumn("_opens", opens)
+    marked = marked.withColumn("_end", F.coalesce(F.last(F.when(F.col("_opens"), F.col("id")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.max(F.when(timed, F.col("id"))).over(Window.partitionBy("obj"))))
+    anchors = marked.where("_opens").select("obj", "id", F.col("_after").alias("time"), "_begin", "_end")
     found = as_of(anchors, queries.select("qid", "obj", "at"), "time", "id").where("id is not null")
     spans = found.groupBy("obj", F.col("_begin").alias("piece")).agg(F.max("_end").alias("_until"))
     return kept.join(spans, "obj").where((F.col("id") >= F.col("piece")) & (F.col("id") <= F.col("_until"))).select("obj", "piece", "id", "seg", "time")
@@ -142,11 +149,15 @@ def where_at_part(kept: DataFrame, queries: DataFrame, model: DataFrame, times:
     part, run = settled(pieces(kept, queries, order)), decompressor(model, order, neighbours)
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ids, segs = run(rows["id"].tolist(), rows["seg"].tolist())
-        return pd.DataFrame({"obj": rows["obj"].iloc[0], "piece": rows["piece"].iloc[0], "id": ids, "seg": segs})
-
-    full = part.groupBy("obj", "piece").applyInPandas(kernel, f"obj {object_type(kept)}, piece int, id int, seg int")
+        rows = rows.sort_values(["piece", "id"], kind="stable")
+        found, ids, segs = [], rows["id"].tolist(), rows["seg"].tolist()
+        begins = [*(~rows["piece"].duplicated()).to_numpy().nonzero()[0].tolist(), len(rows)]
+        for a, b in zip(begins, begins[1:], strict=False):
+            found.append((rows["piece"].iloc[a], *run(ids[a:b], segs[a:b])))
+        out = pd.DataFrame({"piece": [p for p, i, _ in found for _ in i], "id": [x for _, i, _ in found for x in i], "seg": [x for *_, s in found for x in s]})
+        return out.assign(obj=rows["obj"].iloc[0])[["obj", "piece", "id", "seg"]]
+
+    full = part.groupBy("obj").applyInPandas(kernel, f"obj {object_type(kept)}, piece int, id int, seg int")
     known = full.join(part.select("obj", "piece", "id", "time"), ["obj", "piece", "id"], "left")
     rows = time_restore(known, times, "piece").where("time is not null").groupBy("obj", "id").agg(F.min("seg").alias("seg"), F.min("time").alias("time"))
     return as_of(settled(rows), queries, "time", "id")

@@ -232,11 +232,11 @@ def time_restore(traj: DataFrame, model: DataFrame, *by: str) -> DataFrame:
     by: further columns that tell pieces of an object apart, which are kept.
     """
     keys = ["obj", *by]
-    along_ = Window.partitionBy(*keys).orderBy("id")
+    along_, back = Window.partitionBy(*keys).orderBy("id"), Window.partitionBy(*keys).orderBy(F.desc("id"))
     so_far_ = along_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = traj.join(model.select("seg", "mu"), "seg").withColumn("_k", F.coalesce(F.count("time").over(so_far_), F.lit(0)))
     rows = rows.withColumn("_last", F.last("time", ignorenulls=True).over(so_far_))
-    rows = rows.withColumn("_next", F.first("time", ignorenulls=True).over(along_.rowsBetween(1, Window.unboundedFollowing))).withColumn("_run", F.sum("mu").over(so_far_))
+    rows = rows.withColumn("_next", F.last("time", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_run", F.sum("mu").over(so_far_))
     part = Window.partitionBy(*keys, "_k")
     rows = rows.withColumn("_begin", F.min("_run").over(part)).withColumn("_own", F.lead("mu").over(along_))
     rows = rows.withColumn("_all", F.max(F.when(F.col("_own").isNotNull(), F.col("_run") + F.col("_own"))).over(part) - F.col("_begin"))

@@ -516,3 +516,18 @@ def test_path_of_many_hops(spark):
     paths = graph.shortest_paths(edges, 1000.0, spark.createDataFrame([(0,)], "src long"))
     via = {r.dst: (r.via, r.path_length) for r in graph.path_table(paths).collect()}
     assert via == {d: (list(range(1, d)), d - 1.0) for d in range(1, n + 1)}
+
+
+def test_partial_restore_where_stored_times_go_back(spark):
+    from fleetloom.operators.store import restored, where_at_part
+
+    whole = spark.createDataFrame([(o, i, (i * (o + 1)) % 4) for o in (1, 2) for i in range(21)], "obj long, id int, seg int")
+    model = models.context_model(whole, 1).cache()
+    times = spark.createDataFrame([(s, 5.0 + s, 1.0) for s in range(4)], "seg int, mu double, sigma double")
+    stored = {1: {0: 0.0, 4: 100.0, 8: 60.0, 12: 400.0, 16: 400.0, 20: 500.0}, 2: {0: 90.0, 5: 40.0, 10: 900.0, 11: 890.0, 20: 950.0}}
+    kept = whole.join(spark.createDataFrame([(o, i, t) for o, ts in stored.items() for i, t in ts.items()], "obj long, id int, time double"), ["obj", "id"])
+    asked = spark.createDataFrame([(1, 1, 95.0), (2, 2, 85.0), (3, 2, 895.0), (4, 1, 400.0), (5, 2, 30.0), (6, 3, 5.0)], "qid long, obj long, at double")
+    row = lambda r: (r.id, r.seg, r.time and round(r.time, 6))
+    want = {r.qid: row(r) for r in joins.as_of(restored(kept, model, times, 1), asked, "time", "id").collect()}
+    assert {r.qid: row(r) for r in where_at_part(kept, asked, model, times, 1).collect()} == want
+    assert {q: i for q, (i, *_) in want.items() if q not in (3, 4)} == {1: 5, 2: 1, 5: None, 6: None}
