@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance_point_segment
+from ..functions.geometry import distance_point_segment, std_distance
 from .kernels import settled
 
 
@@ -60,49 +62,69 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def within_distance(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+def within_distance(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
     """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: (pid, seg, d).
 
     Segments are listed under the grid cells along their way, wider by the radius; a point has one cell,
-    so a pair meets once and nothing is compared outside its cell.
+    so a pair meets once and nothing is compared outside its cell. Of those that meet, most that are too
+    far are told by the distance to the segment's line. size: of a cell; None is the radius.
     """
-    size = 2 * radius
-    box = segments.withColumn("cx", F.explode(_cells(F.least("ax", "bx") - radius, F.greatest("ax", "bx") + radius, size)))
+    size = size or radius
+    reach = radius * (1 + 1e-6)  # cells and lines take in a little more than the distances that decide
+    box = segments.select("seg", "ax", "ay", "bx", "by").withColumn("cx", F.explode(_cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, size)))
     # In a column of cells only the rows that the part of the segment near it reaches.
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     share = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / F.when(dx != 0, dx))), F.lit(0.0))
-    a, b = (F.col("ay") + share(x) * dy for x in (F.col("cx") * size - radius, (F.col("cx") + 1) * size + radius))
+    a, b = (F.col("ay") + share(x) * dy for x in (F.col("cx") * size - reach, (F.col("cx") + 1) * size + reach))
     low = F.when(dx == 0, F.least("ay", "by")).otherwise(F.least(a, b))
     high = F.when(dx == 0, F.greatest("ay", "by")).otherwise(F.greatest(a, b))
-    box = box.withColumn("cy", F.explode(_cells(low - radius, high + radius, size)))
-    own = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    box = box.withColumn("cy", F.explode(_cells(low - reach, high + reach, size)))
+    own = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    off = (F.col("x") - F.col("ax")) * dy - (F.col("y") - F.col("ay")) * dx
     d = distance_point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    return own.join(box, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("pid", "seg", "d")
+    met = own.join(box, ["cx", "cy"]).where(off * off <= (dx * dx + dy * dy) * (reach * reach))
+    return met.withColumn("d", d).where(F.col("d") <= radius).select("pid", "seg", "d")
+
+
+def _start_radius(points: DataFrame, segments: DataFrame, k: int, radius: float) -> tuple[float, float]:
+    """A radius to begin a search with, radius at most, and one that reaches from any point to any segment.
+
+    Small cells list a segment often, large ones compare a point with many; the work of both is least
+    where about one point lies in a cell. With few segments the radius is that in which k are found.
+    The area is that of the points without the outermost twentieths, as a few that are far off say nothing.
+    """
+    span = segments.agg(*[F.min(F.least(a, b)) for a, b in (("ax", "bx"), ("ay", "by"))], *[F.max(F.greatest(a, b)) for a, b in (("ax", "bx"), ("ay", "by"))], F.sum(std_distance(F.col("ax"), F.col("bx"), F.col("ay"), F.col("by")))).first()
+    reach = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*"), *[F.percentile_approx(c, [0.05, 0.95]) for c in ("x", "y")]).first()
+    if reach[0] is None or span[0] is None:
+        return radius, 0.0
+    far = sum(max(span[i + 2], reach[i + 2]) - min(span[i], reach[i]) for i in (0, 1))
+    area = (reach[5][1] - reach[5][0]) * (reach[6][1] - reach[6][0])
+    if area > 0:
+        fit = max(math.sqrt(area / reach[4]) / 2, k * area / (2 * span[4]) if span[4] > 0 else radius)
+        radius = min(radius, fit)
+    return radius, far
 
 
 def nearest(points: DataFrame, segments: DataFrame, k: int, radius: float) -> DataFrame:
     """The k nearest segments of each point: (pid, seg, d, rank); of equals the smaller segment.
 
-    Radii grow fourfold, each round for the points that still have fewer than k; one that has k within a
-    radius has its k nearest there. A map with fewer than k segments gives them all.
+    Radii begin by the density of the points, at the given one at most, and grow fourfold, each round for
+    the points that still have fewer than k; one that has k within a radius has its k nearest there. A
+    map with fewer than k segments gives them all.
     """
     n = segments.limit(k).count()
-    if not n:
-        return within_distance(points, segments, radius).withColumn("rank", F.lit(1)).limit(0)
-    span = segments.agg(*[F.min(F.least(a, b)) for a, b in (("ax", "bx"), ("ay", "by"))], *[F.max(F.greatest(a, b)) for a, b in (("ax", "bx"), ("ay", "by"))]).first()
-    reach = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if reach[0] is None:
-        return within_distance(points, segments, radius).withColumn("rank", F.lit(1)).limit(0)
-    far = sum(max(span[i + 2], reach[i + 2]) - min(span[i], reach[i]) for i in (0, 1))
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("d", "seg"))
+    if not n or points.isEmpty():
+        return within_distance(points, segments, radius).withColumn("rank", F.lit(1)).limit(0)
+    radius, far = _start_radius(points, segments, k, radius)
     open_, done = points, []
     while True:
-        found = settled(within_distance(open_, segments, radius).withColumn("rank", rank).where(F.col("rank") <= k))
+        found = settled(within_distance(open_, segments, radius, 2 * radius).withColumn("rank", rank).where(F.col("rank") <= k))
         full = found.withColumn("_n", F.count("*").over(Window.partitionBy("pid"))).where(F.col("_n") >= n).drop("_n")
         done.append(full)
         if radius > far:
             break
-        open_ = open_.join(full.select("pid").distinct(), "pid", "left_anti")
+        open_ = settled(open_.join(full.select("pid").distinct(), "pid", "left_anti"))
         if open_.isEmpty():
             break
         radius *= 4

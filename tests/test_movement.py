@@ -531,3 +531,32 @@ def test_partial_restore_where_stored_times_go_back(spark):
     want = {r.qid: row(r) for r in joins.as_of(restored(kept, model, times, 1), asked, "time", "id").collect()}
     assert {r.qid: row(r) for r in where_at_part(kept, asked, model, times, 1).collect()} == want
     assert {q: i for q, (i, *_) in want.items() if q not in (3, 4)} == {1: 5, 2: 1, 5: None, 6: None}
+
+
+def test_nearest_begins_by_density(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at = rng.normal(0, 0.13, (600, 2))
+    at[-1] = (9.0, -7.0)  # far off
+    lines = [(i, *map(float, (*at[i], *at[i + 1]))) for i in range(598)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "pid int, x double, y double")
+    shape = spark.createDataFrame(lines, "seg int, ax double, ay double, bx double, by double").cache()
+    asked, met = joins.within_distance, []
+
+    def counted(*a):
+        out = asked(*a)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "within_distance", counted)
+    got = {(r.pid, r.rank): (r.seg, r.d) for r in joins.nearest(points, shape, 3, 0.5).collect()}
+    assert sum(met) < 600 * 598 / 5  # half a unit around a point is nearly all of them
+    monkeypatch.undo()
+    ax, ay, bx, by = (np.array(c) for c in list(zip(*lines, strict=True))[1:])
+    for i, (x, y) in enumerate(at):
+        t = np.clip(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0, 1)
+        d = np.hypot(x - np.where(t >= 1, bx, ax + t * (bx - ax)), y - np.where(t >= 1, by, ay + t * (by - ay)))
+        want = sorted(zip(d.tolist(), range(598), strict=True))[:3]
+        assert [got[i, r][0] for r in (1, 2, 3)] == [s for _, s in want] and all(abs(got[i, r + 1][1] - want[r][0]) < 1e-12 for r in range(3))
+    assert len(got) == 1800
+    near = {(r.pid, r.seg) for r in joins.within_distance(points, shape, 0.02).collect()}
+    assert near == {(i, s) for i, (x, y) in enumerate(at) for s in range(598) if (lambda t: math.dist((x, y), (ax[s] + t * (bx[s] - ax[s]), ay[s] + t * (by[s] - ay[s]))))(min(1, max(0, ((x - ax[s]) * (bx[s] - ax[s]) + (y - ay[s]) * (by[s] - ay[s])) / ((bx[s] - ax[s]) ** 2 + (by[s] - ay[s]) ** 2)))) <= 0.02}
