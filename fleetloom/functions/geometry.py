@@ -38,7 +38,11 @@ def share_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 def closest_point(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
     """The point of a segment nearest to p; an end of it is that end exactly, so segments that meet there are as far."""
-    t = share_on_segment(px, py, ax, ay, bx, by)
+    return point_at(share_on_segment(px, py, ax, ay, bx, by), ax, ay, bx, by)
+
+
+def point_at(t: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    """The point of a segment at a share of it."""
     return F.when(t >= 1, bx).otherwise(ax + t * (bx - ax)), F.when(t >= 1, by).otherwise(ay + t * (by - ay))
 
 
@@ -64,7 +68,7 @@ def line_probability(px: float, py: float, ax: float, ay: float, bx: float, by:
 
 
 def erf(x: np.ndarray) -> np.ndarray:
-    """The error function of an array, to some 1e-15: its series near 0, a continued fraction beyond."""
+    """The error function of an array, to some 1e-15: its series near 0, a continued fraction beyond, 1 from 6 on."""
     out = np.sign(x)
     size = np.abs(x)
     near = size < 2.5
@@ -74,11 +78,12 @@ def erf(x: np.ndarray) -> np.ndarray:
         term = term * z * z * 2 / (2 * n + 1)
         total = total + term
     out[near] *= np.exp(-z * z) * total * 2 / math.sqrt(math.pi)
-    z = np.minimum(size[~near], 30.0)
+    mid = ~near & (size < 6)  # beyond, what is missing to 1 is less than 1 can tell
+    z = size[mid]
     tail = np.zeros_like(z)
     for n in range(60, 0, -1):
         tail = n / 2 / (z + tail)
-    out[~near] *= 1 - np.exp(-z * z) / ((z + tail) * math.sqrt(math.pi))
+    out[mid] *= 1 - np.exp(-z * z) / ((z + tail) * math.sqrt(math.pi))
     return out
 
 

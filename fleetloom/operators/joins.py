@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance_point_segment, std_distance
+from ..functions.geometry import point_at, share_on_segment, std_distance
 from .kernels import settled
 
 
@@ -62,8 +62,8 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def within_distance(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
-    """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: (pid, seg, d).
+def close_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+    """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: the columns of both, and d.
 
     Segments are listed under the grid cells along their way, wider by the radius; a point has one cell,
     so a pair meets once and nothing is compared outside its cell. Of those that meet, most that are too
@@ -71,7 +71,7 @@ def within_distance(points: DataFrame, segments: DataFrame, radius: float, size:
     """
     size = size or radius
     reach = radius * (1 + 1e-6)  # cells and lines take in a little more than the distances that decide
-    box = segments.select("seg", "ax", "ay", "bx", "by").withColumn("cx", F.explode(_cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, size)))
+    box = segments.withColumn("cx", F.explode(_cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, size)))
     # In a column of cells only the rows that the part of the segment near it reaches.
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     share = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / F.when(dx != 0, dx))), F.lit(0.0))
@@ -79,11 +79,23 @@ def within_distance(points: DataFrame, segments: DataFrame, radius: float, size:
     low = F.when(dx == 0, F.least("ay", "by")).otherwise(F.least(a, b))
     high = F.when(dx == 0, F.greatest("ay", "by")).otherwise(F.greatest(a, b))
     box = box.withColumn("cy", F.explode(_cells(low - reach, high + reach, size)))
-    own = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    own = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     off = (F.col("x") - F.col("ax")) * dy - (F.col("y") - F.col("ay")) * dx
-    d = distance_point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    met = own.join(box, ["cx", "cy"]).where(off * off <= (dx * dx + dy * dy) * (reach * reach))
-    return met.withColumn("d", d).where(F.col("d") <= radius).select("pid", "seg", "d")
+    # Dealt by number: what meets is far more than what is sent, by which Spark would put it all in a task.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = own.repartition(n, "cx", "cy").join(box.repartition(n, "cx", "cy"), ["cx", "cy"]).where(off * off <= (dx * dx + dy * dy) * (reach * reach))
+    # Step by step, and kept out of the join by a column that no filter is moved below: as one expression the
+    # share is written out eight times, a method so long that the JVM only interprets it.
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    steps = met.withColumn("_t", share_on_segment(F.col("x"), F.col("y"), *ends)).withColumn("_p", F.spark_partition_id())
+    near = steps.withColumns(dict(zip(("_x", "_y"), point_at(F.col("_t"), *ends), strict=True)))
+    d = std_distance(F.col("x"), F.col("_x"), F.col("y"), F.col("_y"))
+    return near.withColumn("d", d).where((F.col("d") <= radius) & (F.col("_p") >= 0)).drop("cx", "cy", "_t", "_p", "_x", "_y")
+
+
+def within_distance(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+    """close_pairs() as (pid, seg, d)."""
+    return close_pairs(points.select("pid", "x", "y"), segments.select("seg", "ax", "ay", "bx", "by"), radius, size).select("pid", "seg", "d")
 
 
 def _start_radius(points: DataFrame, segments: DataFrame, k: int, radius: float) -> tuple[float, float]:

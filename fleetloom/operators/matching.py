@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.geometry import segment_probability, share_on_segment, std_distance, transition_probability
 from .graph import adjacency, routes, shortest_paths
-from .joins import nearest, within_distance
+from .joins import close_pairs, nearest
 from .kernels import object_type, settled
 from .sequence import along, expand_trajectories
 
@@ -22,18 +22,18 @@ def candidates(points: DataFrame, segments: DataFrame, config: Config = DEFAULT)
     Probabilities are shares of all segments within the radius, and stay so when only the best are kept.
     """
     radius = config.radius_sigmas * config.sigma
-    near = within_distance(points, segments, radius)
-    lone = nearest(points.join(near, "pid", "left_anti"), segments, 1, 2 * radius).select("pid", "seg", "d")
     shape = segments.select("seg", "ax", "ay", "bx", "by", "length")
     xy = [F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]
-    known = near.join(shape, "seg").join(points.select("pid", "x", "y"), "pid")
-    scored = known.withColumn("raw", segment_probability(config.sigma)(*xy))
-    scored = scored.withColumn("p", F.col("raw") / F.sum("raw").over(Window.partitionBy("pid")))
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("p"), "seg"))
-    best = scored.withColumn("r", rank).where(F.col("r") <= config.max_candidates)
-    single = lone.join(shape, "seg").join(points.select("pid", "x", "y"), "pid").withColumn("p", F.lit(1.0))
-    cols = ["pid", "seg", "p", (share_on_segment(*xy) * F.col("length")).alias("offset")]
-    return best.select(*cols).unionByName(single.select(*cols))
+    offset = (share_on_segment(*xy) * F.col("length")).alias("offset")
+    scored = close_pairs(points.select("pid", "x", "y"), shape, radius).select("pid", "seg", segment_probability(config.sigma)(*xy).alias("raw"), offset)
+    # Ranks first, so the shares go by the same sort.
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("raw"), "seg")))
+    shares = ranked.withColumn("p", F.col("raw") / F.sum("raw").over(Window.partitionBy("pid")))
+    best = settled(shares.where(F.col("r") <= config.max_candidates).select("pid", "seg", "p", "offset"))  # pairs are met once
+    far = settled(points.join(best.select("pid").distinct(), "pid", "left_anti"))
+    lone = nearest(far, segments, 1, 2 * radius).select("pid", "seg")
+    single = lone.join(shape, "seg").join(far.select("pid", "x", "y"), "pid").withColumn("p", F.lit(1.0))
+    return best.unionByName(single.select("pid", "seg", "p", offset))
 
 
 def viterbi(steps: list[list[int]], emission: list[list[float]], transition: list[dict[tuple[int, int], float]]) -> list[int]:

@@ -560,3 +560,22 @@ def test_nearest_begins_by_density(spark, monkeypatch):
     assert len(got) == 1800
     near = {(r.pid, r.seg) for r in joins.within_distance(points, shape, 0.02).collect()}
     assert near == {(i, s) for i, (x, y) in enumerate(at) for s in range(598) if (lambda t: math.dist((x, y), (ax[s] + t * (bx[s] - ax[s]), ay[s] + t * (by[s] - ay[s]))))(min(1, max(0, ((x - ax[s]) * (bx[s] - ax[s]) + (y - ay[s]) * (by[s] - ay[s])) / ((bx[s] - ax[s]) ** 2 + (by[s] - ay[s]) ** 2)))) <= 0.02}
+
+
+def test_pairs_are_measured_after_they_meet(spark, segments):
+    points = spark.createDataFrame([(1, 50.0, 3.0)], "pid int, x double, y double")
+    plan = joins.within_distance(points, segments, 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    (join,) = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(join) < 1000 and "least(" not in join  # a longer condition is a method that the JVM does not compile
+
+
+def test_candidates_and_those_without_any(spark, segments):
+    config = matching.Config(sigma=2.0, radius_sigmas=5.0, max_candidates=2)
+    points = spark.createDataFrame([(1, 99.0, 1.0), (2, 500.0, 500.0), (3, 50.0, 9.9)], "pid int, x double, y double")
+    got = {(r.pid, r.seg): (r.p, r.offset) for r in matching.candidates(points, segments, config).collect()}
+    assert {k for k in got if k[0] != 1} == {(2, 2), (3, 0), (3, 4)} and got[2, 2][0] == 1.0 and len(got) == 5
+    near = {s: line_probability(99.0, 1.0, ax, ay, bx, by, 2.0) for s, _, _, ax, ay, bx, by, _ in SEGMENTS if s != 3}
+    best = sorted(near, key=lambda s: (-near[s], s))[:2]
+    assert {k[1] for k in got if k[0] == 1} == set(best)
+    for s in best:
+        assert abs(got[1, s][0] - near[s] / sum(near.values())) < 1e-12
