@@ -16,6 +16,17 @@ def std_distance(x1: Column, x2: Column, y1: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double of 0 or more to so many digits, halves up, by arithmetic as SQL engines do it.
+
+    F.round() makes a decimal from the text of each number, which takes longer than to find and measure a pair.
+    """
+    unit = 10.0**digits
+    x = c * unit
+    whole = F.floor(x)
+    return (whole + F.when(x - whole >= 0.5, 1).otherwise(0)) / unit
+
+
 def project(lat: Column, lon: Column, lat0: float) -> tuple[Column, Column]:
     """Equirectangular metres around latitude lat0, that of the middle of a map: (north, east)."""
     return F.radians(lat) * EARTH_RADIUS, F.radians(lon) * (EARTH_RADIUS * math.cos(math.radians(lat0)))

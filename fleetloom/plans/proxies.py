@@ -338,7 +338,7 @@ PTS = """pts AS (SELECT vec_id AS pid, label, embedding[1]::DOUBLE AS x, embeddi
 
 @query(f"WITH {PTS} SELECT pid, seg, round(d, 9) AS d FROM dists WHERE d <= 0.01")
 def within_distance(spark, d):
-    return joins.within_distance(_points(spark, d), _segments(spark, d), 0.01).withColumn("d", F.round("d", 9))
+    return joins.within_distance(_points(spark, d), _segments(spark, d), 0.01).withColumn("d", geo.rounded(F.col("d"), 9))
 
 
 @query(f"WITH {PTS} SELECT pid, seg, round(d, 9) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, seg) AS rank FROM dists) WHERE rank <= 3")

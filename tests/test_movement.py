@@ -579,3 +579,23 @@ def test_candidates_and_those_without_any(spark, segments):
     assert {k[1] for k in got if k[0] == 1} == set(best)
     for s in best:
         assert abs(got[1, s][0] - near[s] / sum(near.values())) < 1e-12
+
+
+def test_distances_are_rounded_as_in_sql_and_without_decimals(spark, tmp_path):
+    import duckdb
+
+    from fleetloom.functions.geometry import rounded
+    from fleetloom.plans import proxies
+
+    rng = np.random.default_rng(9)
+    halves = [float(f"{k}.5e-9") for k in rng.integers(0, 10**7, 3000)]  # where the text of a number and the number part
+    at = pd.DataFrame({"d": [0.0, 0.01, 5e-10, 4.9999999999999996e-10, *halves, *(rng.random(3000) * 0.01)]})
+    want = duckdb.sql('SELECT d, round(d, 9) AS r FROM "at"').fetchall()
+    assert sorted(map(tuple, spark.createDataFrame(at).select("d", rounded(F.col("d"), 9)).collect())) == sorted(want)
+    vectors = [(i, [float(x), float(y)], i % 3) for i, (x, y) in enumerate(rng.normal(0, 0.05, (300, 2)))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = proxies.within_distance(spark, str(tmp_path))
+    assert "round(" not in near._jdf.queryExecution().optimizedPlan().toString()  # a decimal for each of the pairs
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert sorted(map(tuple, near.collect())) == sorted(c.execute(proxies.SQL["within_distance"]).fetchall())
