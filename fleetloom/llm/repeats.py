@@ -1,6 +1,6 @@
 """Which windows of a document also start in a document with a smaller id.
 
-Shared by the two substring operators. Texts are arrays of 64-bit symbols (hashed words, or bytes).
+Shared by the two substring operators. Texts are arrays of 64-bit symbols (hashed words), or of bytes.
 Each window of `length` symbols chooses the k-gram in it with the least hash; equal windows choose
 alike, whatever surrounds them. A maximal run of window starts that choose one k-gram occurrence is a
 stretch: the k-gram with what its windows reach to the left and right, at most 2 * length - k symbols.
@@ -13,7 +13,11 @@ stretch: the k-gram with what its windows reach to the left and right, at most 2
 
 Nothing is expanded into pairs, and no window that could repeat is left out: a window equal to one in
 another document has its k-gram in both, so both stretches reach the same hash partition. Hashes only
-say where to meet and, within one block, which stretches are equal (64 bits, some 2 ** 17 a block).
+say where to meet and, within one block, which stretches are equal (64 bits, some 2 ** 20 a block).
+
+Each block has a pack for each hash partition, so packs grow with the product of the two and cost more
+than their content once both are many. Blocks and partitions are therefore large, and worked on in
+pieces: whole documents of a block, whole k-grams of a partition.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ _BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64(0xFFFFFFFF)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _powers: dict[str, np.ndarray] = {}
+#: Bytes as symbols.
+_BYTE = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 63, 256, np.uint64)
+#: Symbols of a block, and bytes of a hash partition, that are worked on at once.
+PIECE_SYMBOLS, PIECE_BYTES = 1 << 20, 1 << 20
 
 
 def _power(kind: str, n: int) -> np.ndarray:
@@ -92,15 +100,28 @@ class Stretches:
     anchor: np.ndarray
     key: np.ndarray
     doc: np.ndarray
-    rolling: Rolling
 
 
 def stretches(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> Stretches:
     """All stretches of documents that lie one after the other; starts: their offsets and the end."""
+    cuts = [0]
+    for i in range(1, len(starts) - 1):
+        if starts[i + 1] - starts[cuts[-1]] > PIECE_SYMBOLS:
+            cuts.append(i)
+    made = []
+    for a, b in zip(cuts, cuts[1:] + [len(starts) - 1], strict=True):
+        at = int(starts[a])
+        piece = symbols[at : starts[b]]
+        found = _stretches(_BYTE[piece] if piece.dtype == np.uint8 else piece, starts[a : b + 1] - at, length, k)
+        made.append((found.first + at, found.last + at, found.place + at, found.anchor, found.key, found.doc + a))
+    return Stretches(*(np.concatenate(x) for x in zip(*made, strict=True)))
+
+
+def _stretches(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> Stretches:
     rolling = Rolling(symbols)
     none = np.zeros(0, np.int64)
     if len(symbols) < length:
-        return Stretches(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, rolling)
+        return Stretches(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     hashes = rolling.every(k)
     places = np.arange(len(hashes), dtype=np.uint64)
     chosen = least_in_window((hashes & _HIGH) | (LOW - places), length - k + 1)  # of equal ones the last
@@ -116,7 +137,7 @@ def stretches(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> S
     first, last = begins[good], lasts[good]
     place = (LOW - (chosen[first] & LOW)).astype(np.int64)
     key = rolling.some(first, last + length)
-    return Stretches(first, last, place, hashes[place], key, np.searchsorted(starts, first, "right") - 1, rolling)
+    return Stretches(first, last, place, hashes[place], key, np.searchsorted(starts, first, "right") - 1)
 
 
 def by_part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -211,45 +232,21 @@ def smallest_starts(
     def resolve(numbers: list[int], sent: list[bytes]) -> Iterator[tuple[int, bytes]]:
         got = [unpack(x) for x in sent]
         key, anchor, low, high, windows = (np.concatenate([g[i] for g in got]) for i in range(5))
-        windows = windows.astype(np.int64)
         owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         flat, sizes, *more = (np.concatenate([g[i] for g in got]) for i in range(5, len(got[0])))
+        del got
         sizes = sizes.astype(np.int64)
         at = np.cumsum(sizes) - sizes
-        one, which = distinct(key, flat, at, sizes)
-        # Where a k-gram has one stretch only, its windows have no others to meet. Half a hash will do: k-grams that it mixes up are compared in vain.
-        least = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, low)
-        _, group, count = np.unique(anchor[one], return_inverse=True, return_counts=True)
-        crowd = np.flatnonzero(count[group] > 1)
-        size = windows[one]
-        ends = np.cumsum(size)
-        smallest = np.repeat(least, size)
-        if len(crowd):
-            rows = one[crowd]
-            number = np.full(len(one), -1)
-            number[crowd] = np.arange(len(crowd))
-            occur = np.flatnonzero(number[which] >= 0)
-            smallest[_ranges(ends[crowd] - size[crowd], size[crowd])] = meet(size[crowd], number[which[occur]], low[occur], flat[_ranges(at[rows], sizes[rows])], sizes[rows], *(m[rows] for m in more))
-        # Runs of windows with one smallest doc_id.
-        new = np.zeros(len(smallest), bool)
-        new[ends - size] = True
-        new[1:] |= smallest[1:] != smallest[:-1]
-        runs = np.flatnonzero(new)
-        run_end = np.append(runs[1:], len(smallest))
-        stretch = np.searchsorted(ends, runs, "right")
-        begin = (ends - size)[stretch]
-        n_runs = np.bincount(stretch, minlength=len(one))
-        run_at = np.cumsum(n_runs) - n_runs
-        picked = _ranges(run_at[which], n_runs[which])
-        row = np.repeat(np.arange(len(which)), n_runs[which])
-        real = smallest[runs[picked]] < high[row]
-        picked, row = picked[real], row[real]
-        for i, number in enumerate(numbers):
-            a, b = np.searchsorted(owner[row], [i, i + 1])
+        made = []
+        for held in gram_pieces(anchor, sizes, PIECE_BYTES):
+            row, *told = _resolved(key[held], anchor[held], low[held], high[held], windows[held].astype(np.int64), flat[_ranges(at[held], sizes[held])], sizes[held], [m[held] for m in more], meet)
+            made.append((owner[held][row], key[held][row], *told))
+        whose, *told = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(whose, kind="stable")
+        ends = np.searchsorted(whose[order], np.arange(len(numbers) + 1))
+        for number, a, b in zip(numbers, ends[:-1], ends[1:], strict=True):
             if a < b:
-                r = picked[a:b]
-                yield number, pack(key[row[a:b]], (runs[r] - begin[r]).astype(np.uint16), (run_end[r] - begin[r]).astype(np.uint16), smallest[runs[r]])
+                yield number, pack(*(x[order[a:b]] for x in told))
 
     repeated = met(packs(blocks, tell), shared)
 
@@ -261,6 +258,55 @@ def smallest_starts(
     return met(sent, resolve)
 
 
+def gram_pieces(anchor: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The stretches of whole k-grams, most bytes at a time or one k-gram that alone has more; in a piece as they came."""
+    order = np.argsort(anchor, kind="stable")
+    ranked = anchor[order]
+    ends = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, len(order))
+    held = np.cumsum(sizes[order])[ends - 1]
+    a = done = 0
+    while a < len(order):
+        i = np.searchsorted(held, done + most, "right")
+        i = max(int(i) - 1, int(np.searchsorted(ends, a, "right")))
+        yield np.sort(order[a : ends[i]])
+        a, done = int(ends[i]), int(held[i])
+
+
+def _resolved(key: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, windows: np.ndarray, flat: np.ndarray, sizes: np.ndarray, more: list[np.ndarray], meet: Callable[..., np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(stretch, from, to, least): runs of windows of stretches that a smaller doc_id than their largest one has."""
+    at = np.cumsum(sizes) - sizes
+    one, which = distinct(key, flat, at, sizes)
+    # Where a k-gram has one stretch only, its windows have no others to meet. Half a hash will do: k-grams that it mixes up are compared in vain.
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, low)
+    _, group, count = np.unique(anchor[one], return_inverse=True, return_counts=True)
+    crowd = np.flatnonzero(count[group] > 1)
+    size = windows[one]
+    ends = np.cumsum(size)
+    smallest = np.repeat(least, size)
+    if len(crowd):
+        rows = one[crowd]
+        number = np.full(len(one), -1)
+        number[crowd] = np.arange(len(crowd))
+        occur = np.flatnonzero(number[which] >= 0)
+        smallest[_ranges(ends[crowd] - size[crowd], size[crowd])] = meet(size[crowd], number[which[occur]], low[occur], flat[_ranges(at[rows], sizes[rows])], sizes[rows], *(m[rows] for m in more))
+    # Runs of windows with one smallest doc_id.
+    new = np.zeros(len(smallest), bool)
+    new[ends - size] = True
+    new[1:] |= smallest[1:] != smallest[:-1]
+    runs = np.flatnonzero(new)
+    run_end = np.append(runs[1:], len(smallest))
+    stretch = np.searchsorted(ends, runs, "right")
+    begin = (ends - size)[stretch]
+    n_runs = np.bincount(stretch, minlength=len(one))
+    run_at = np.cumsum(n_runs) - n_runs
+    picked = _ranges(run_at[which], n_runs[which])
+    row = np.repeat(np.arange(len(which)), n_runs[which])
+    real = smallest[runs[picked]] < high[row]
+    r, row = picked[real], row[real]
+    return row, (runs[r] - begin[r]).astype(np.uint16), (run_end[r] - begin[r]).astype(np.uint16), smallest[runs[r]]
+
+
 def distinct(key: np.ndarray, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each distinct stretch, and which of them each is. Equal hashes are held against the bytes."""
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
@@ -296,7 +342,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def covered(block: Block, found: Stretches, told: dict[int, bytes], n_symbols: int, length: int) -> np.ndarray:
     """True at each symbol in a window that also starts in a document with a smaller id."""
-    step = np.zeros(n_symbols + 1, np.int64)
+    step = np.zeros(n_symbols + 1, np.int32)
     if told and len(found.key):
         key, frm, to, least = (np.concatenate(x) for x in zip(*map(unpack, told.values()), strict=True))
         order = np.argsort(key, kind="stable")
@@ -307,4 +353,4 @@ def covered(block: Block, found: Stretches, told: dict[int, bytes], n_symbols: i
         at, row = at[hit], row[hit]
         np.add.at(step, found.first[row] + frm[at], 1)
         np.add.at(step, found.first[row] + to[at] - 1 + length, -1)
-    return np.cumsum(step)[:-1] > 0
+    return np.cumsum(step, out=step)[:-1] > 0

@@ -10,45 +10,60 @@ from ._common import pick
 from .blocks import Block, returned, staged
 from .repeats import Stretches, _ranges, covered, smallest_starts, stretches
 
-_BYTE = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 63, 256, np.uint64)
-
 
 def byte_symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTE[block.data], block.starts
+    return block.data, block.starts
+
 
+def _placed(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """x, numbers of so many bits, in order, and where each was; equal ones as they came.
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    """The rank of each value among the distinct ones."""
-    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+    Where number and place fit 64 bits they are sorted as one, in a fifth of the time of an argsort.
+    """
+    n = len(x).bit_length()
+    if bits + n > 64:
+        order = np.argsort(x, kind="stable")
+        return x[order], order
+    both = (x << np.uint64(n)) | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    return both >> np.uint64(n), (both & np.uint64((1 << n) - 1)).astype(np.int64)
+
+
+def _dense(x: np.ndarray, bits: int) -> np.ndarray:
+    """The rank of each value, a number of so many bits, among the distinct ones."""
+    ordered, order = _placed(x, bits)
+    out = np.empty(len(x), np.uint64)
+    out[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
+    return out
 
 
 def prefix_ranks(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """The rank of the `length` bytes at each place among all such strings, equal strings alike.
 
-    Prefix doubling: from ranks of 8 bytes to 16, 32 and so on, then of the length asked for. Each
-    place needs `length` bytes in data.
+    Prefix doubling: from ranks of some bytes to twice as many and so on, then of the length asked
+    for. Each place needs `length` bytes in data.
     """
     n = len(data)
+    bits = n.bit_length()
     wide = np.zeros(n + 8, np.uint8)
     wide[:n] = data
-    first = min(8, length)
+    first = min(8 if 3 * bits > 64 else (64 - bits) // 8, length)
     key = np.zeros(n, np.uint64)
     for i in range(first):
         key = (key << np.uint64(8)) | wide[i : i + n]
-    ranks, have = _dense(key), first
+    ranks, have = _dense(key, 8 * first), first
     while have < length:
         step = min(have, length - have)
         ahead = np.zeros(n, np.uint64)
         ahead[: n - step] = ranks[step:] if step < n else 0
-        ranks, have = _dense((ranks << np.uint64(32)) | ahead), have + step
+        ranks, have = _dense((ranks << np.uint64(bits)) | ahead, 2 * bits), have + step
     return ranks[places]
 
 
 def suffix_array(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the suffixes of a dictionary at these places: their order by their first `length` bytes, and where in it each run of equal ones begins."""
-    ranks = prefix_ranks(data, places, length)
-    order = np.argsort(ranks, kind="stable")
-    return order, np.flatnonzero(np.diff(ranks[order].astype(np.int64), prepend=-1))
+    ranks, order = _placed(prefix_ranks(data, places, length), len(data).bit_length())
+    return order, np.flatnonzero(np.diff(ranks.astype(np.int64), prepend=-1))
 
 
 def parse_array(phrase: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +90,7 @@ def smallest_in_corpus(windows: np.ndarray, phrase: np.ndarray, docs: np.ndarray
     return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, trigger_bytes: int = 16, block_bytes: int = 8 << 20, part_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the bytes that a document with a smaller id has in the same `length`-byte string.
 
     (doc_id, n_bytes, n_removed, n_spans, kept): a byte goes if it lies in a `length`-byte string of

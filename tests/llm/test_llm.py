@@ -3,6 +3,7 @@
 import glob
 import gzip
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -117,6 +118,32 @@ def test_seeds_extended():
     assert got.tolist() == [least[key(w, at, i)] for w, at, _ in rows for i in range(len(w) - length + 1)]
 
 
+def test_packs_stay_few_as_the_input_grows():
+    size = {k: v.default for k, v in inspect.signature(suffix.repeated_bytes).parameters.items()}
+    text = 10 << 30  # of 6 GB of documents
+    assert (text // size["block_bytes"]) * (text // size["part_bytes"]) <= 1_000_000
+
+
+def test_blocks_and_partitions_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    data, starts = rng.integers(97, 99, 5000, np.uint8), np.array([0, 0, 40, 900, 2500, 2501, 4000, 5000])
+    whole = repeats.stretches(data, starts, 50, 16)
+    for size in (1, 1000, 3000):
+        monkeypatch.setattr(repeats, "PIECE_SYMBOLS", size)
+        found = repeats.stretches(data, starts, 50, 16)
+        assert all(np.array_equal(getattr(whole, f), getattr(found, f)) for f in ("first", "last", "place", "anchor", "key", "doc"))
+    anchor, sizes = rng.integers(0, 40, 300).astype(np.uint32), rng.integers(1, 60, 300)
+    for most in (1, 500, 5000, 1 << 20):
+        pieces = list(repeats.gram_pieces(anchor, sizes, most))
+        assert sorted(np.concatenate(pieces).tolist()) == list(range(300))
+        assert all(sizes[x].sum() <= most or len(np.unique(anchor[x])) == 1 for x in pieces)
+        assert sum(len(np.unique(anchor[x])) for x in pieces) == len(np.unique(anchor))
+    x = rng.integers(0, 50, 200).astype(np.uint64)
+    for bits in (6, 64):
+        ordered, order = suffix._placed(x, bits)
+        assert np.array_equal(order, np.argsort(x, kind="stable")) and np.array_equal(ordered, np.sort(x))
+
+
 def test_hashes_that_collide():
     held = [b"ab", b"ab", b"cd", b"abc", b"cd", b"x"]
     sizes = np.array([len(x) for x in held])
