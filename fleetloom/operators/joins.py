@@ -62,13 +62,8 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def close_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
-    """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: the columns of both, and d.
-
-    Segments are listed under the grid cells along their way, wider by the radius; a point has one cell,
-    so a pair meets once and nothing is compared outside its cell. Of those that meet, most that are too
-    far are told by the distance to the segment's line. size: of a cell; None is the radius.
-    """
+def by_cell(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points and segments with the grid cells (cx, cy) where those at most radius apart meet: a point has one."""
     size = size or radius
     reach = radius * (1 + 1e-6)  # cells and lines take in a little more than the distances that decide
     box = segments.withColumn("cx", F.explode(_cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach, size)))
@@ -80,6 +75,19 @@ def close_pairs(points: DataFrame, segments: DataFrame, radius: float, size: flo
     high = F.when(dx == 0, F.greatest("ay", "by")).otherwise(F.greatest(a, b))
     box = box.withColumn("cy", F.explode(_cells(low - reach, high + reach, size)))
     own = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    return own, box
+
+
+def close_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+    """points(pid, x, y) with segments(seg, ax, ay, bx, by) at most radius away: the columns of both, and d.
+
+    Segments are listed under the grid cells along their way, wider by the radius; a point has one cell,
+    so a pair meets once and nothing is compared outside its cell. Of those that meet, most that are too
+    far are told by the distance to the segment's line. size: of a cell; None is the radius.
+    """
+    own, box = by_cell(points, segments, radius, size)
+    reach = radius * (1 + 1e-6)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     off = (F.col("x") - F.col("ax")) * dy - (F.col("y") - F.col("ay")) * dx
     # Dealt by number: what meets is far more than what is sent, by which Spark would put it all in a task.
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -4,18 +4,76 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.geometry import segment_probability, share_on_segment, std_distance, transition_probability
+from ..functions.geometry import line_probabilities, share_on_segment, std_distance, transition_probability
 from .graph import adjacency, routes, shortest_paths
-from .joins import close_pairs, nearest
+from .joins import by_cell, nearest
 from .kernels import object_type, settled
 from .sequence import along, expand_trajectories
 
 
+#: Points of a cell that go to one group, and pairs that are measured at once.
+MOST_POINTS, MOST_PAIRS = 2048, 1 << 17
+#: From so many sigmas on, what line_probability() adds to epsilon is less than a double of its size can tell.
+FAR_SIGMAS = 13.0
+
+
+def best_of(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, radius: float, sigma: float, k: int, epsilon: float = DEFAULT.epsilon) -> tuple[np.ndarray, ...]:
+    """(point, segment, share of the probability of all segments within radius, share of the way): the k most probable of each point, of equals the first."""
+    n, m = len(px), len(ax)
+    dx, dy = bx - ax, by - ay
+    squared = dx * dx + dy * dy
+    safe = np.where(squared > 0, squared, 1.0)
+    total, least = np.zeros(n), np.zeros(n)  # least: of the k best so far, 0 while there are fewer
+    point, way, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    more: list[tuple[np.ndarray, ...]] = []
+    step = max(1, MOST_PAIRS // max(n, 1))
+    near_radius = min(radius, FAR_SIGMAS * sigma)
+    for a in range(0, m if n else 0, step):
+        b = min(a + step, m)
+        x, y = px[:, None], py[:, None]
+        t = np.clip(((x - ax[a:b]) * dx[a:b] + (y - ay[a:b]) * dy[a:b]) / safe[a:b], 0.0, 1.0)
+        ex = x - np.where(t >= 1, bx[a:b], ax[a:b] + t * dx[a:b])
+        ey = y - np.where(t >= 1, by[a:b], ay[a:b] + t * dy[a:b])
+        d = np.sqrt(ex * ex + ey * ey)
+        within, near = d <= radius, d <= near_radius
+        i, j = np.nonzero(near)
+        j = j + a
+        p = line_probabilities(px[i], py[i], ax[j], ay[j], bx[j], by[j], sigma, epsilon)
+        far = within & ~near
+        total += np.bincount(i, p, n) + epsilon * far.sum(1)
+        good = p > least[i]
+        more.append((i[good], j[good], p[good]))
+        short = np.flatnonzero(least < epsilon)
+        if len(short):
+            i, j = np.nonzero(far[short])
+            more.append((short[i], j + a, np.full(len(i), epsilon)))
+        if len(short) or b == m or sum(len(x[0]) for x in more) > 2 * k * n:
+            point, way, raw = (np.concatenate(x) for x in zip((point, way, raw), *more, strict=True))
+            more = []
+            order = np.lexsort((way, -raw, point))
+            point, way, raw = point[order], way[order], raw[order]
+            first = np.searchsorted(point, np.arange(n))
+            rank = np.arange(len(point)) - first[point]
+            full = rank == k - 1
+            least[point[full]] = raw[full]
+            point, way, raw = point[rank < k], way[rank < k], raw[rank < k]
+    x, y = px[point], py[point]
+    t = np.clip(((x - ax[way]) * dx[way] + (y - ay[way]) * dy[way]) / safe[way], 0.0, 1.0)
+    return point, way, raw / total[point], t
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """A type as Spark reads it from a schema in words, where all fields can be null."""
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def candidates(points: DataFrame, segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(pid, seg, p, offset): the most probable segments near each point, or the nearest one if none is near.
 
@@ -23,13 +81,25 @@ def candidates(points: DataFrame, segments: DataFrame, config: Config = DEFAULT)
     """
     radius = config.radius_sigmas * config.sigma
     shape = segments.select("seg", "ax", "ay", "bx", "by", "length")
-    xy = [F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]
-    offset = (share_on_segment(*xy) * F.col("length")).alias("offset")
-    scored = close_pairs(points.select("pid", "x", "y"), shape, radius).select("pid", "seg", segment_probability(config.sigma)(*xy).alias("raw"), offset)
-    # Ranks first, so the shares go by the same sort.
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("raw"), "seg")))
-    shares = ranked.withColumn("p", F.col("raw") / F.sum("raw").over(Window.partitionBy("pid")))
-    best = settled(shares.where(F.col("r") <= config.max_candidates).select("pid", "seg", "p", "offset"))  # pairs are met once
+    # Pairs are measured where they meet, by cell, and only the best leave it: all of them, a square of the
+    # input, would be sorted on disk. A cell with many points is dealt to several groups.
+    own, box = by_cell(points.select("pid", "x", "y"), shape, radius)
+    cells = own.groupBy("cx", "cy").agg(F.ceil(F.count("*") / MOST_POINTS).cast("int").alias("_n"))
+    own = own.join(cells, ["cx", "cy"]).withColumn("_c", F.pmod(F.xxhash64("pid"), F.col("_n")).cast("int")).drop("_n")
+    box = box.join(cells, ["cx", "cy"]).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [side.repartition(n, "cx", "cy", "_c").groupBy("cx", "cy", "_c") for side in (own, box)]
+
+    def run(near: pa.Table, ways: pa.Table) -> pa.Table:
+        ways = ways.sort_by("seg")
+        x, y = (near[c].to_numpy() for c in ("x", "y"))
+        ends = [ways[c].to_numpy() for c in ("ax", "ay", "bx", "by")]
+        point, way, share, offset = best_of(x, y, *ends, radius, config.sigma, config.max_candidates)
+        return pa.table({"pid": near["pid"].take(point).cast(_nullable(near.schema.field("pid").type)), "seg": ways["seg"].take(way), "p": share, "offset": offset * ways["length"].to_numpy()[way]})
+
+    kinds = [points.schema["pid"].dataType.simpleString(), segments.schema["seg"].dataType.simpleString()]
+    best = settled(sides[0].cogroup(sides[1]).applyInArrow(run, f"pid {kinds[0]}, seg {kinds[1]}, p double, offset double"))
+    offset = (share_on_segment(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]) * F.col("length")).alias("offset")
     far = settled(points.join(best.select("pid").distinct(), "pid", "left_anti"))
     lone = nearest(far, segments, 1, 2 * radius).select("pid", "seg")
     single = lone.join(shape, "seg").join(far.select("pid", "x", "y"), "pid").withColumn("p", F.lit(1.0))

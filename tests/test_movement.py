@@ -581,6 +581,47 @@ def test_candidates_and_those_without_any(spark, segments):
         assert abs(got[1, s][0] - near[s] / sum(near.values())) < 1e-12
 
 
+def test_best_candidates_leave_the_cells_not_the_pairs(spark, segments, monkeypatch):
+    kept, plans = matching.settled, []
+    monkeypatch.setattr(matching, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    points = spark.createDataFrame([(1, 99.0, 1.0)], "pid int, x double, y double")
+    matching.candidates(points, segments, matching.Config(sigma=2.0, radius_sigmas=5.0)).collect()
+    assert "Window" not in plans[0]  # a window over all pairs would sort them on disk
+
+
+def test_candidates_of_points_that_are_never_null(spark, segments):
+    points = spark.range(1).select(F.struct(F.lit(5).alias("obj"), F.lit("a").alias("id")).alias("pid"), F.lit(99.0).alias("x"), F.lit(1.0).alias("y"))
+    assert {tuple(r.pid) for r in matching.candidates(points, segments, matching.Config(sigma=2.0, radius_sigmas=5.0)).collect()} == {(5, "a")}
+
+
+@pytest.mark.parametrize("pairs", [64, 1 << 17])
+def test_best_candidates_by_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(matching, "MOST_PAIRS", pairs)
+    rng = np.random.default_rng(7)
+    px, py, ax, ay = (rng.uniform(0, 60, n) for n in (25, 25, 80, 80))
+    bx, by = ax + rng.normal(0, 15, 80), ay + rng.normal(0, 15, 80)
+    bx[:5], by[:5] = ax[:5], ay[:5]
+    ax[9:12], ay[9:12], bx[9:12], by[9:12] = ax[9], ay[9], bx[9], by[9]  # equals
+    px[0], py[0] = 90.0, 90.0  # has only far ones, or none
+    k, sigma, radius = 7, 0.8, 24.0
+    got = {}
+    for i, j, p, t in zip(*matching.best_of(px, py, ax, ay, bx, by, radius, sigma, k), strict=True):
+        got.setdefault(int(i), []).append((int(j), p, t))
+    for i in range(25):
+        raw = {}
+        for j in range(80):
+            dx, dy = bx[j] - ax[j], by[j] - ay[j]
+            t = min(1.0, max(0.0, ((px[i] - ax[j]) * dx + (py[i] - ay[j]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            if np.hypot(px[i] - ax[j] - t * dx, py[i] - ay[j] - t * dy) <= radius:
+                raw[j] = line_probability(px[i], py[i], ax[j], ay[j], bx[j], by[j], sigma), t
+        best = sorted(raw, key=lambda j: (-raw[j][0], j))[:k]
+        mine = sorted(got.get(i, []), key=lambda x: (-x[1], x[0]))
+        assert [p for _, p, _ in mine] == pytest.approx([raw[j][0] / sum(p for p, _ in raw.values()) for j in best], rel=1e-9)
+        assert all(t == pytest.approx(raw[j][1], abs=1e-9) for j, _, t in mine)
+        if all(abs(raw[a][0] - raw[b][0]) > 1e-12 for a, b in zip(best, best[1:])):
+            assert [j for j, _, _ in mine] == best
+
+
 def test_distances_are_rounded_as_in_sql_and_without_decimals(spark, tmp_path):
     import duckdb
 
